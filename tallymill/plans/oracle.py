@@ -16,18 +16,19 @@ def cte(name: str, text: str) -> None:
 def sql(body: str) -> str:
     """The body with a WITH clause of every expression that it uses, directly or not."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for name in _CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"(?<!')\b{name}\b", text):
+                seen.add(name)
                 need(_CTES[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     need(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in needed) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in needed) + "\n" + body
 
 
 def literal(value) -> str:

@@ -27,6 +27,7 @@ def query(name: str, oracle: str | None = None):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return at_edge(build(pin_utc(spark), folder))
 
+        run.group = build.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
