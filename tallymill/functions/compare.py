@@ -47,13 +47,14 @@ def parity_label(pct: Column) -> Column:
 
 
 def age_label(moment: Column, now: Column) -> Column:
-    """``just now``, ``5m ago``, ``3h ago`` or ``2d ago``."""
-    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(moment)) / 60)
+    """``just now``, ``5m ago``, ``3h ago``, ``2d ago``; from seven days on the date and time."""
+    minutes = F.floor((F.unix_millis(now) - F.unix_millis(moment)) / 60000)
     return (
         F.when(minutes < 1, F.lit("just now"))
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
         .when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago")))
-        .otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
+        .when(minutes < 10080, F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
+        .otherwise(F.date_format(moment, "MMM d, yyyy, hh:mm a"))
     )
 
 

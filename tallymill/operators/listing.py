@@ -113,3 +113,17 @@ def usage_against_limits(usage: DataFrame, limits: DataFrame) -> DataFrame:
     joined = lookup(usage, limits, ["metric"], "left")
     share = F.col("current").cast("double") / F.col("usage_limit").cast("double") * 100
     return joined.withColumn("percent", F.when(F.col("usage_limit") > 0, share).otherwise(F.lit(0.0)))
+
+
+def list_mappings(
+    mappings: DataFrame, tenant: str | None = None, active: bool | None = None, metric: str | None = None
+) -> DataFrame:
+    """Mappings with their ``view``: shadow or live."""
+    kept = mappings
+    if tenant is not None:
+        kept = kept.filter(F.col("tenant_id") == tenant)
+    if active is not None:
+        kept = kept.filter(F.col("active") == active)
+    if metric is not None:
+        kept = kept.filter(F.col("metric") == metric)
+    return kept.withColumn("view", F.when(F.coalesce("shadow", F.lit(False)), "shadow").otherwise("live"))
