@@ -38,7 +38,8 @@ def tier_breakdown(usage: DataFrame) -> DataFrame:
     fee = F.when(F.col("price_config.model") == "graduated", F.col("t.flat_price")).otherwise(F.lit(0))
     return (
         usage.filter(F.col("price_config.model").isin("tiered", "graduated") & tiers.isNotNull())
-        .withColumn("t", F.explode(used))
+        .withColumn("t", F.explode_outer(used))
+        .filter(F.col("t").isNotNull())
         .select(
             *[c for c in usage.columns if c not in ("quantity", "price_config")],
             F.col("t.tier").alias("tier"),

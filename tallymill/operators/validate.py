@@ -211,6 +211,8 @@ def scenario_violations(scenarios: DataFrame) -> DataFrame:
         _per_item(F.col("commitments"), "inputs.commitments", "amount must be 0 or more", lambda c: c["amount"] < 0),
         _per_item(F.col("credits"), "inputs.credits", "amount must be 0 or more", lambda c: c["amount"] < 0),
     ]
-    return scenarios.select(
-        F.col("name").alias("scenario"), F.explode(reduce(lambda a, b: F.concat(a, b), found)).alias("v")
-    ).select("scenario", F.col("v.path").alias("path"), F.col("v.message").alias("message"))
+    # the outer form keeps the checks out of an inferred filter, where they would run a second time
+    broken = scenarios.select(
+        F.col("name").alias("scenario"), F.explode_outer(reduce(lambda a, b: F.concat(a, b), found)).alias("v")
+    ).filter(F.col("v").isNotNull())
+    return broken.select("scenario", F.col("v.path").alias("path"), F.col("v.message").alias("message"))

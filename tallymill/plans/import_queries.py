@@ -39,11 +39,11 @@ cte(
 )
 
 
-def spoiled(spark, folder):
+def spoiled(spark, folder, keep=()):
     """Arrivals as text, with broken quantities, times and meta in some rows."""
     s = F.col("seq") % 50
     return T.arrivals(spark, folder).select(
-        "tenant_id", "metric", "customer_ref", "resource_id",
+        *keep, "tenant_id", "metric", "customer_ref", "resource_id",
         F.when(s == 7, "12abc").otherwise(sinks.plain_number(F.col("quantity"))).alias("quantity"),
         F.when(s == 9, "soon").otherwise(identity.iso_millis(F.col("ts"))).alias("ts"),
         F.when(s == 11, "{bad").when(s == 13, "").otherwise(F.col("meta")).alias("meta"),
@@ -79,10 +79,11 @@ def csv_import_snake_case(spark, folder):
 
 @query("json_import", sql(f"SELECT {_IMPORTED} FROM spoiled"))
 def json_import(spark, folder):
-    """Files of one JSON array of 500 events each."""
+    """Files of one JSON array of at most 500 events each."""
     path = work.new_folder(spark, "events-json")
-    rows = sinks.events_for_export(spoiled(spark, folder)).withColumn("_file", F.pmod(F.xxhash64("customerRef", "ts", "metric"), F.lit(40)))
-    arrays = rows.groupBy("_file").agg(F.to_json(F.collect_list(F.struct(*sinks.EVENT_CSV))).alias("value")).select("value")
+    numbered = spoiled(spark, folder, keep=("seq",))
+    event = sinks.events_for_export(numbered).select(F.struct(*sinks.EVENT_CSV).alias("event"), F.col("seq"))
+    arrays = event.groupBy(F.floor(F.col("seq") / 500)).agg(F.to_json(F.collect_list("event")).alias("value")).select("value")
     arrays.write.option("maxRecordsPerFile", 1).text(path)
     loaded = files.read_events_json(spark, path)
     return loaded.withColumn("errors", F.array_join("errors", "; "))

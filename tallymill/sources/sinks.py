@@ -27,6 +27,7 @@ def plain_number(quantity: Column) -> Column:
 
 
 def events_for_export(events: DataFrame) -> DataFrame:
+    """The columns of the export; a ``seq`` column is kept behind them."""
     columns = set(events.columns)
     text = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
     quantity = F.col("quantity")
@@ -40,6 +41,7 @@ def events_for_export(events: DataFrame) -> DataFrame:
         F.coalesce(text("source"), F.lit("import")).alias("source"),
         text("meta").alias("meta"),
         text("idempotency_key").alias("idempotencyKey"),
+        *(["seq"] if "seq" in columns else []),
     )
 
 
