@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymill.plans import import_queries, ledger_queries, rating_queries, recon_queries, scenario_queries  # noqa: F401  (they register their queries)
+from tallymill.plans import import_queries, ledger_queries, rating_queries, recon_queries, scenario_queries, stream_queries  # noqa: F401  (they register their queries)
 from tallymill.plans.registry import ORACLES, QUERIES
 
 
