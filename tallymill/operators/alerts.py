@@ -20,11 +20,10 @@ def _open(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(ANY))
 
 
-def scope_totals(counters: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+def scope_totals(counters: DataFrame) -> DataFrame:
     """Sum per tenant, period and scope; an open customer or metric is ``*``."""
-    rows = counters if tenants is None else lookup(counters, tenants, ["tenant_id"], "left_semi")
     return (
-        rows.groupBy("tenant_id", "period_start", "customer_ref", "metric")
+        counters.groupBy("tenant_id", "period_start", "customer_ref", "metric")
         .agg(F.sum("agg_sum").cast(SUM).alias("_sum"))
         .groupingSets(
             [
@@ -48,10 +47,10 @@ def evaluate(configs: DataFrame, counters: DataFrame, period: str | None = None)
     """
     rules = configs.filter("enabled").withColumn("_customer", _open("customer_ref")).withColumn("_metric", _open("metric"))
     scope = ["tenant_id", "_customer", "_metric"]
-    totals = scope_totals(counters, rules.select("tenant_id").distinct())
     if period is not None:
         day = F.lit(period).cast("date")
-        totals = totals.filter((F.col("period_start") == day) | (F.col("period_start") == F.add_months(day, -1)))
+        counters = counters.filter((F.col("period_start") == day) | (F.col("period_start") == F.add_months(day, -1)))
+    totals = scope_totals(counters)
     before = totals.select(*scope, F.add_months("period_start", 1).alias("period_start"), F.col("value").alias("_before"))
     both = totals.join(before, scope + ["period_start"], "left")
     if period is not None:
@@ -163,7 +162,7 @@ def caps(triggered: DataFrame) -> DataFrame:
 def enforce_caps(events: DataFrame, in_force: DataFrame) -> DataFrame:
     """Adds ``cap``: ``reject`` under a hard cap, ``warn`` under a soft one, else null.
 
-    One lookup per grain; a grain has at most one row per key, so events never multiply.
+    ``in_force`` is the written table of ``caps``. One lookup per grain; a grain has at most one row per key, so events never multiply.
     """
     marked = events
     flags = []

@@ -11,21 +11,53 @@ from tallymill.operators.joins import attach, fits_broadcast, lookup
 from tallymill.schemas import CKEY, KEY, QTY, SUM
 
 
+# Two quantities differ by less than this many millionths, so it separates event times.
+_STEP = "decimal(21,0)"
+
+
+def _step() -> Column:
+    return F.lit("200000000000000000000").cast(_STEP)
+
+
+def newest(ts: str = "ts", quantity: str = "quantity") -> Column:
+    """Aggregate that holds the newest event and its quantity as one number: microseconds x step + millionths.
+
+    A struct or string in the state would turn the whole aggregate into a sort; a number keeps it a
+    hash aggregate, and the wide key column is not read. Equal times: the greatest quantity wins.
+    """
+    moment = F.unix_micros(F.col(ts)).cast("decimal(18,0)") * _step()
+    return F.max((moment + (F.col(quantity) * 1000000).cast("decimal(20,0)")).cast("decimal(38,0)"))
+
+
+def newest_quantity(code: str = "_newest", ts: str = "watermark_ts") -> Column:
+    """The quantity in the number, given the newest event time."""
+    millionths = F.col(code) - F.unix_micros(F.col(ts)).cast("decimal(18,0)") * _step()
+    return (millionths.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast(QTY)
+
+
 def aggregates() -> list[Column]:
-    """Sum, maximum, value of the newest event (ties: greatest key) and newest event time."""
+    """Sum, maximum, newest event (see ``newest``) and newest event time."""
     return [
         F.sum("quantity").cast(SUM).alias("agg_sum"),
         F.max("quantity").cast(QTY).alias("agg_max"),
-        F.max_by("quantity", F.struct("ts", "idempotency_key")).cast(QTY).alias("agg_last"),
+        newest().alias("_newest"),
         F.max("ts").alias("watermark_ts"),
     ]
 
 
+def fold(events: DataFrame, keys: list[str]) -> DataFrame:
+    """agg_sum, agg_max, agg_last and watermark_ts per key."""
+    return (
+        events.groupBy(*keys)
+        .agg(*aggregates())
+        .select(*keys, "agg_sum", "agg_max", newest_quantity().alias("agg_last"), "watermark_ts")
+    )
+
+
 def period_totals(events: DataFrame) -> DataFrame:
     """One row over all given events: sum and max are 0, last is null when there are none."""
     zero = F.lit(0)
-    total, biggest, last, _ = aggregates()
-    return events.agg(total, biggest, last).select(
+    return fold(events, []).select(
         F.coalesce("agg_sum", zero).cast(SUM).alias("agg_sum"),
         F.coalesce("agg_max", zero).cast(QTY).alias("agg_max"),
         "agg_last",
@@ -36,10 +68,9 @@ def build_counters(events: DataFrame, kind: str | Column = "monthly") -> DataFra
     """One row per key and period, by one partial-then-final aggregate."""
     extra = [] if isinstance(kind, str) else [kind.alias("period_kind")]
     slim = events.select(
-        *KEY, "quantity", "ts", "idempotency_key", period_start(F.col("ts"), kind).alias("period_start"), *extra
+        *KEY, "quantity", "ts", period_start(F.col("ts"), kind).alias("period_start"), *extra
     )
-    keys = CKEY + (["period_kind"] if extra else [])
-    built = slim.groupBy(*keys).agg(*aggregates())
+    built = fold(slim, CKEY + (["period_kind"] if extra else []))
     end = period_end(F.col("period_start"), F.col("period_kind") if extra else kind)
     return built.withColumn("period_end", end)
 
@@ -72,13 +103,13 @@ def affected_keys(batch: DataFrame) -> DataFrame:
 def reaggregate(ledger: DataFrame, affected: DataFrame) -> DataFrame:
     """Counters of the affected keys only, folded over the whole ledger slice of each period."""
     events = ledger if "period_start" in ledger.columns else ledger.withColumn("period_start", period_start(F.col("ts")))
-    slim = events.select(*CKEY, "quantity", "ts", "idempotency_key")
+    slim = events.select(*CKEY, "quantity", "ts")
     if fits_broadcast(affected):
         # few keys: drop the other events before the shuffle, and prune the ledger's period folders
-        built = slim.join(F.broadcast(affected), CKEY, "left_semi").groupBy(*CKEY).agg(*aggregates())
+        built = fold(slim.join(F.broadcast(affected), CKEY, "left_semi"), CKEY)
     else:
         # many keys: aggregate first, so one row per key and task meets the semi join
-        built = slim.groupBy(*CKEY).agg(*aggregates()).join(affected, CKEY, "left_semi")
+        built = fold(slim, CKEY).join(affected, CKEY, "left_semi")
     return built.withColumn("period_end", period_end(F.col("period_start")))
 
 

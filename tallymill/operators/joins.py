@@ -1,8 +1,9 @@
 """Joins that survive hot keys.
 
 ``lookup`` attaches a configuration table: broadcast when its counted size is
-within the bound, otherwise a shuffle join whose hot keys are salted.
-``attach`` joins a derived table with one row per key and always salts.
+within the bound, otherwise the salted shuffle join of ``attach``. Count a table that is
+expensive to derive only after it was written.
+``attach`` joins a derived table with one row per key; it never counts up front.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 # Rows of a configuration table; their strings are validated to at most 255 characters.
 BROADCAST_ROWS = 100_000
-# A key with more rows than this is split; there are at most total / HOT_ROWS such keys.
+# A key with more rows than this is split over salts.
 HOT_ROWS = 5_000_000
+# The heaviest keys are broadcast to the facts, at most this many; a key behind them holds
+# less than 1 / HOT_KEYS of all rows and is joined like any other.
+HOT_KEYS = 20_000
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -45,11 +49,12 @@ def attach(
     """
     if weights is None:
         weights = facts.groupBy(*on).agg(F.count("*").alias("n_rows"))
-    hot = weights.filter(F.col("n_rows") > hot_rows).select(
-        *on, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_salts")
+    hot = F.broadcast(
+        weights.filter(F.col("n_rows") > hot_rows)
+        .orderBy(F.desc("n_rows"), *on)
+        .limit(HOT_KEYS)
+        .select(*on, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_salts"))
     )
-    if fits_broadcast(hot):
-        hot = F.broadcast(hot)
     spread = [F.col(c) for c in facts.columns if c not in on]
     left = (
         facts.join(hot, on, "left")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.period import in_period, period_start
-from tallymill.operators.counters import measure
+from tallymill.operators.counters import fold, measure
 from tallymill.operators.joins import lookup
-from tallymill.schemas import QTY, SUM
+from tallymill.schemas import SUM
 
 # Page sizes and sort columns of the listings.
 PAGE_SIZE = 25
@@ -81,11 +81,7 @@ def usage_history(
         (F.col("tenant_id") == tenant)
         & in_period(F.col("ts"), F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
     )
-    buckets = kept.groupBy("tenant_id", "metric", F.date_trunc(step, "ts").alias("bucket")).agg(
-        F.sum("quantity").cast(SUM).alias("agg_sum"),
-        F.max("quantity").cast(QTY).alias("agg_max"),
-        F.max_by("quantity", F.struct("ts", "idempotency_key")).cast(QTY).alias("agg_last"),
-    )
+    buckets = fold(kept.withColumn("bucket", F.date_trunc(step, "ts")), ["tenant_id", "metric", "bucket"])
     words = mappings.filter("active").select("tenant_id", "metric", "aggregation")
     valued = lookup(buckets, words, ["tenant_id", "metric"], "left").select(
         "metric", "bucket", measure(F.col("aggregation")).alias("value")

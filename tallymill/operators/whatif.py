@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,88 +141,132 @@ def mixed_cadence(plans: DataFrame) -> DataFrame:
 
 # ---- credit grants ----------------------------------------------------------
 
-_BURN_SCHEMA = (
-    "tenant_id string, customer_ref string, valid_from date, valid_to date, rollover boolean, "
-    "burned bigint, roll_marks array<bigint>, expired bigint, new_from date, new_to date, used bigint, overage bigint"
+_POOL = (
+    f"struct<valid_from:date,valid_to:date,rollover:boolean,left:{SUM},burned:{SUM},roll_marks:array<{SUM}>,"
+    f"expired:{SUM},first_from:date,first_to:date>"
 )
+_STATE = f"struct<pools:array<{_POOL}>,rest:{SUM},overage:{SUM}>"
+
+
+def _expire(pools: Column, day: Column, extend: int) -> Column:
+    """Pools past their end roll what is left into the days behind it, or lose it."""
+    zero = F.lit(0).cast(SUM)
+
+    def one(p):
+        over = (day > p["valid_to"]) & (p["left"] > 0)
+        rolls, loses = over & p["rollover"], over & ~p["rollover"]
+        return F.struct(
+            F.when(rolls, F.date_add(p["valid_to"], 1)).otherwise(p["valid_from"]).alias("valid_from"),
+            F.when(rolls, F.date_add(p["valid_to"], extend)).otherwise(p["valid_to"]).alias("valid_to"),
+            p["rollover"].alias("rollover"),
+            F.when(loses, zero).otherwise(p["left"]).alias("left"),
+            p["burned"].alias("burned"),
+            F.when(rolls, F.array_append(p["roll_marks"], p["burned"])).otherwise(p["roll_marks"]).alias("roll_marks"),
+            F.when(loses, p["left"]).otherwise(p["expired"]).cast(SUM).alias("expired"),
+            p["first_from"].alias("first_from"),
+            p["first_to"].alias("first_to"),
+        ).cast(_POOL)
+
+    # the order of the fields is the burn order
+    return F.sort_array(F.transform(pools, one))
 
 
 def burn_grants(
     daily: DataFrame, grants: DataFrame, start: dt.date, days: int, boundaries: list[dt.date], extend: int = 30
 ) -> DataFrame:
-    """Burn, expiry and rollover of credit grants, oldest first.
+    """Burn, expiry and rollover of credit grants, oldest first: one row per customer.
 
     ``daily``: tenant_id, customer_ref, day, quantity (one row per day). ``grants``: id, position, tenant_id,
     customer_ref, amount, valid_from, valid_to, rollover. A grant can be used on its days, both ends
     included. After the usage of each boundary day, and once after the window, a grant past its end
     either rolls what is left into the ``extend`` days behind its end or loses it.
 
-    Grants of one customer with the same days are pooled, so a group holds calendar days only;
-    pooled burn is then dealt to the grants by running sums. Amounts are whole millionths.
+    Grants of one customer with the same days are pooled first, so a row holds calendar days only,
+    however many grants there are; the walk over the days is an expression of that row.
     """
     customer = ["tenant_id", "customer_ref"]
+    zero = F.lit(0).cast(SUM)
+    first, last = F.lit(start), F.lit(start + dt.timedelta(days=days - 1))
     pool_keys = customer + ["valid_from", "valid_to", "rollover"]
-    micros = lambda c: (F.col(c).cast("decimal(18,6)") * 1000000).cast("bigint")
-    pools = grants.groupBy(*pool_keys).agg(F.sum(micros("amount")).alias("amount"))
-    usage = daily.select(*customer, "day", micros("quantity").alias("quantity"))
-    checks = {d for d in boundaries}
-    end = start + dt.timedelta(days=days)
-
-    def expire(pool_rows, day):
-        for p in pool_rows:
-            if day > p["to"] and p["left"] > 0:
-                if p["rollover"]:
-                    p["marks"].append(p["burned"])
-                    p["from"], p["to"] = p["to"] + dt.timedelta(days=1), p["to"] + dt.timedelta(days=extend)
-                else:
-                    p["expired"] += p["left"]
-                    p["left"] = 0
-
-    def burn(use: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        rows = [
-            {"key": (r.valid_from, r.valid_to, bool(r.rollover)), "from": r.valid_from, "to": r.valid_to,
-             "rollover": bool(r.rollover), "left": int(r.amount), "burned": 0, "marks": [], "expired": 0}
-            for r in pool.itertuples()
-        ]
-        by_day = dict(zip(use["day"], use["quantity"]))
-        used = overage = 0
-        for offset in range(days):
-            day = start + dt.timedelta(days=offset)
-            rest = int(by_day.get(day, 0))
-            used += rest
-            for p in sorted(rows, key=lambda p: (p["from"], p["to"], p["rollover"])) if rest else ():
-                if p["from"] <= day <= p["to"]:
-                    take = min(p["left"], rest)
-                    p["left"] -= take
-                    p["burned"] += take
-                    rest -= take
-            overage += rest
-            if day in checks:
-                expire(rows, day)
-        expire(rows, end)
-        source = pool if len(pool) else use
-        names = [source["tenant_id"].iloc[0], source["customer_ref"].iloc[0]] if len(source) else [None, None]
-        out = [
-            (*names, *p["key"], p["burned"], p["marks"], p["expired"], p["from"], p["to"], used, overage)
-            for p in rows
-        ] or [(*names, None, None, None, 0, [], 0, None, None, used, overage)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _BURN_SCHEMA.split(", ")])
-
-    burned = (
-        usage.groupBy(*customer).cogroup(pools.groupBy(*customer)).applyInPandas(burn, _BURN_SCHEMA)
+    pools = (
+        grants.groupBy(*pool_keys)
+        .agg(F.sum("amount").cast(SUM).alias("left"))
+        .groupBy(*customer)
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct(
+                        "valid_from", "valid_to", "rollover", "left", zero.alias("burned"),
+                        F.array().cast(f"array<{SUM}>").alias("roll_marks"), zero.alias("expired"),
+                        F.col("valid_from").alias("first_from"), F.col("valid_to").alias("first_to"),
+                    ).cast(_POOL)
+                )
+            ).alias("pools")
+        )
+    )
+    used = (
+        daily.filter(F.col("day").between(first, last))
+        .groupBy(*customer)
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("day", F.col("quantity").cast(SUM)))).alias("by_day"),
+            F.sum("quantity").cast(SUM).alias("usage_total"),
+        )
+    )
+    checks = F.array(*[F.lit(d) for d in boundaries]).cast("array<date>")
+
+    def walk(state, day):
+        use = F.coalesce(F.col("by_day")[day], zero)
+
+        def burn(acc, p):
+            open_ = (p["valid_from"] <= day) & (day <= p["valid_to"])
+            take = F.when(open_, F.least(p["left"], acc["rest"])).otherwise(zero)
+            after = p.withField("left", (p["left"] - take).cast(SUM)).withField("burned", (p["burned"] + take).cast(SUM))
+            return F.struct(
+                F.array_append(acc["pools"], after.cast(_POOL)).alias("pools"),
+                (acc["rest"] - take).cast(SUM).alias("rest"),
+                acc["overage"].alias("overage"),
+            ).cast(_STATE)
+
+        empty = F.struct(F.array().cast(f"array<{_POOL}>").alias("pools"), use.alias("rest"), state["overage"].alias("overage"))
+        return F.aggregate(
+            state["pools"],
+            empty.cast(_STATE),
+            burn,
+            lambda acc: F.struct(
+                F.when(F.array_contains(checks, day), _expire(acc["pools"], day, extend)).otherwise(acc["pools"]).alias("pools"),
+                zero.alias("rest"),
+                (acc["overage"] + acc["rest"]).cast(SUM).alias("overage"),
+            ).cast(_STATE),
+        )
+
+    joined = used.join(pools, customer, "full_outer")
+    begin = F.struct(
+        F.coalesce("pools", F.array().cast(f"array<{_POOL}>")).alias("pools"), zero.alias("rest"), zero.alias("overage")
+    ).cast(_STATE)
+    end = F.lit(start + dt.timedelta(days=days))
+    walked = joined.withColumn("_state", F.aggregate(F.sequence(first, last), begin, walk))
+    return walked.select(
+        *customer,
+        F.coalesce("usage_total", zero).alias("usage_total"),
+        F.col("_state.overage").alias("overage_total"),
+        _expire(F.col("_state.pools"), end, extend).alias("pools"),
     )
-    return burned
 
 
 def grant_ledger(burned: DataFrame, grants: DataFrame) -> DataFrame:
     """Burned, remaining, expired and rolled per grant: the pool's burn is dealt in grant order."""
     pool_keys = ["tenant_id", "customer_ref", "valid_from", "valid_to", "rollover"]
     placed = running_sum(grants, pool_keys, "position", "amount", "before")
-    pools = burned.filter(F.col("valid_from").isNotNull())
+    pools = burned.select("tenant_id", "customer_ref", F.explode_outer("pools").alias("p")).select(
+        "tenant_id", "customer_ref",
+        F.col("p.first_from").alias("valid_from"), F.col("p.first_to").alias("valid_to"), "p.rollover",
+        "p.burned", "p.roll_marks", "p.expired",
+        F.col("p.valid_from").alias("new_from"), F.col("p.valid_to").alias("new_to"),
+    )
     joined = attach(placed, pools, pool_keys, "inner")
 
     def dealt(pool_burned: Column) -> Column:
-        rest = (pool_burned.cast("decimal(20,0)") * F.lit("0.000001").cast(QTY) - F.col("before")).cast(SUM)
+        rest = (pool_burned - F.col("before")).cast(SUM)
         return F.greatest(F.lit(0).cast(SUM), F.least(F.col("amount").cast(SUM), rest)).cast(SUM)
 
     rolled = F.aggregate(
@@ -247,12 +290,8 @@ def grant_ledger(burned: DataFrame, grants: DataFrame) -> DataFrame:
 
 def burn_totals(burned: DataFrame) -> DataFrame:
     """Usage, burned and overage per customer."""
-    qty = lambda c: (c.cast("decimal(20,0)") * F.lit("0.000001").cast(QTY)).cast(SUM)
-    return burned.groupBy("tenant_id", "customer_ref").agg(
-        qty(F.max("used")).alias("usage_total"),
-        qty(F.sum("burned")).alias("burned_total"),
-        qty(F.max("overage")).alias("overage_total"),
-    )
+    total = F.aggregate("pools", F.lit(0).cast(SUM), lambda acc, p: (acc + p["burned"]).cast(SUM))
+    return burned.select("tenant_id", "customer_ref", "usage_total", total.alias("burned_total"), "overage_total")
 
 
 # ---- plan changes -----------------------------------------------------------

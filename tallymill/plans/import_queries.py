@@ -305,7 +305,7 @@ cte(
     "stored_counters",
     f"""
     SELECT {', '.join(CKEY)}, last_day(period_start) AS period_end, CAST(sum(quantity) AS DECIMAL(38,6)) AS agg_sum,
-           CAST(max(quantity) AS DECIMAL(20,6)) AS agg_max, CAST(arg_max(quantity, (ts, idempotency_key)) AS DECIMAL(20,6)) AS agg_last,
+           CAST(max(quantity) AS DECIMAL(20,6)) AS agg_max, CAST(arg_max(quantity, (ts, quantity)) AS DECIMAL(20,6)) AS agg_last,
            max(ts) AS watermark_ts FROM plain WHERE batch_id <= DATE '2024-01-20' GROUP BY ALL
     """,
 )

@@ -196,7 +196,7 @@ def count_events(spark, folder):
         """
         SELECT CAST(coalesce(sum(quantity), 0) AS DECIMAL(38,6)) AS agg_sum,
                CAST(coalesce(max(quantity), 0) AS DECIMAL(20,6)) AS agg_max,
-               CAST(arg_max(quantity, (ts, idempotency_key)) AS DECIMAL(20,6)) AS agg_last FROM shipments
+               CAST(arg_max(quantity, (ts, quantity)) AS DECIMAL(20,6)) AS agg_last FROM shipments
         """
     ),
 )
@@ -277,7 +277,7 @@ def _history(step: str, measure_of: dict[str, str]) -> str:
         SELECT metric, bucket, value, CAST(sum(value) OVER (PARTITION BY metric) AS DECIMAL(38,6)) AS total FROM (
           SELECT p.metric, date_trunc('{step}', ts) AS bucket,
                  CAST(CASE m.aggregation WHEN 'max' THEN max(quantity)
-                      WHEN 'last' THEN arg_max(quantity, (ts, idempotency_key)) ELSE sum(quantity) END AS DECIMAL(38,6)) AS value
+                      WHEN 'last' THEN arg_max(quantity, (ts, quantity)) ELSE sum(quantity) END AS DECIMAL(38,6)) AS value
           FROM plain p LEFT JOIN mappings m ON m.tenant_id = p.tenant_id AND m.metric = p.metric AND m.active
           WHERE p.tenant_id = 't1' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-29'
           GROUP BY p.metric, bucket, m.aggregation)
@@ -376,7 +376,7 @@ def late_adjustments(spark, folder):
         SELECT tenant_id, metric, customer_ref, period_start, last_day(period_start) AS period_end,
                CAST(sum(quantity) AS DECIMAL(38,6)) AS agg_sum,
                CAST(coalesce(max(quantity) FILTER (WHERE lateness_class <> 'very_late'), 0) AS DECIMAL(20,6)) AS agg_max,
-               CAST(arg_max(quantity, (ts, idempotency_key)) FILTER (WHERE lateness_class <> 'very_late') AS DECIMAL(20,6)) AS agg_last,
+               CAST(arg_max(quantity, (ts, quantity)) FILTER (WHERE lateness_class <> 'very_late') AS DECIMAL(20,6)) AS agg_last,
                max(ts) FILTER (WHERE lateness_class <> 'very_late') AS watermark_ts
         FROM classified GROUP BY ALL
         """

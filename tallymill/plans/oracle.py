@@ -116,7 +116,7 @@ cte(
 _FOLD = """
     SELECT tenant_id, metric, customer_ref, period_start, last_day(period_start) AS period_end,
            CAST(sum(quantity) AS DECIMAL(38,6)) AS agg_sum, CAST(max(quantity) AS DECIMAL(20,6)) AS agg_max,
-           CAST(arg_max(quantity, (ts, idempotency_key)) AS DECIMAL(20,6)) AS agg_last, max(ts) AS watermark_ts
+           CAST(arg_max(quantity, (ts, quantity)) AS DECIMAL(20,6)) AS agg_last, max(ts) AS watermark_ts
     FROM {source} GROUP BY ALL
 """
 cte("counters", _FOLD.format(source="ledger"))

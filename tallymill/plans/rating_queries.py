@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tallymill.functions import money, period
 from tallymill.operators import counters as C
 from tallymill.operators import rating, whatif
-from tallymill.operators.joins import lookup
 from tallymill.plans import tables as T
 from tallymill.plans.oracle import cte, half_up, literal, micros, rated, sql, two_places, values
 from tallymill.plans.registry import query
@@ -149,19 +148,10 @@ cte(
 )
 
 
-def _owners(spark, folder):
-    home = lookup(
-        T.table(spark, folder, "nation"),
-        T.table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey"),
-        ["n_regionkey"],
-    ).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("tenant_id"), F.col("n_name").alias("customer_ref"))
-    return lookup(T.table(spark, folder, "customer"), home, ["c_nationkey"])
-
-
 def commitments(spark, folder):
     k = F.col("c_custkey")
     start = F.date_add(F.lit("1995-01-15").cast("date"), ((k * 37) % 2200).cast("int"))
-    return _owners(spark, folder).select(
+    return T.owners(spark, folder).select(
         k.alias("position"),
         *CUSTOMER,
         (F.col("c_acctbal").cast(QTY) * F.lit("0.001").cast("decimal(6,3)")).cast(RATED_QTY).alias("amount"),
@@ -173,7 +163,7 @@ def commitments(spark, folder):
 
 def credits(spark, folder):
     k = F.col("c_custkey")
-    return _owners(spark, folder).select(
+    return T.owners(spark, folder).select(
         *CUSTOMER,
         (F.col("c_acctbal").cast(QTY) * F.lit("0.0001").cast("decimal(6,4)")).cast(RATED_QTY).alias("amount"),
         F.when(k % 4 != 0, F.date_add(F.lit("1995-01-15").cast("date"), ((k * 53) % 2400).cast("int"))).alias("expires_on"),
@@ -485,10 +475,10 @@ cte("plan_rated", rated("SELECT * FROM plan_usage", "plan, tenant_id, customer_r
 )
 def plan_overage(spark, folder):
     rows = [
-        (plan, m, T._dec(inc), T.price_struct(_plan_prices()[plan][m])) for plan, (_, a) in PLANS.items() for m, (inc, _) in a.items()
+        (plan, m, inc, T.price_struct(_plan_prices()[plan][m])) for plan, (_, a) in PLANS.items() for m, (inc, _) in a.items()
     ]
-    allowances = spark.createDataFrame(rows, f"plan string, metric string, included {RATED_QTY}, price_config {PRICE_CONFIG}")
-    base = spark.createDataFrame([(p, T._dec(b)) for p, (b, _) in PLANS.items()], f"plan string, base_price {MONEY}")
+    allowances = T.frame(spark, rows, f"plan string, metric string, included {RATED_QTY}, price_config {PRICE_CONFIG}")
+    base = T.frame(spark, [(p, b) for p, (b, _) in PLANS.items()], f"plan string, base_price {MONEY}")
     return whatif.rate_plans(_plan_of(spark, folder), allowances, base)
 
 
@@ -683,7 +673,7 @@ _CHANGES = """
 def item_split(spark, folder):
     """Usage split over the items of a customer's plan timeline; each supplier marks one change of its nation."""
     nation = T.table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("customer_ref"))
-    changes = lookup(T.table(spark, folder, "supplier"), nation, ["s_nationkey"]).select(
+    changes = T.table(spark, folder, "supplier").join(nation, "s_nationkey").select(
         "customer_ref",
         (F.lit("1995-03-01 06:00:00").cast("timestamp") + F.make_dt_interval(((F.col("s_suppkey") * 37) % 2400).cast("int"))).alias("changed_at"),
         F.concat(F.lit("si_plan"), F.col("s_suppkey").cast("string")).alias("item"),

@@ -12,8 +12,7 @@ from tallymill.functions import compare
 from tallymill.plans import tables as T
 from tallymill.plans.oracle import cte, half_up, literal, micros, sql, values
 from tallymill.plans.registry import query
-from tallymill.plans.rating_queries import commitments  # noqa: F401
-from tallymill.plans.rating_queries import _owners
+from tallymill.sources import work
 from tallymill.schemas import ADJUSTMENT_REASONS, CKEY, QTY, SUM
 
 NOW = "2002-01-01 00:00:00"
@@ -268,7 +267,7 @@ _POLICIES = [("t0", "roll"), ("t1", "credit_note")]
     ),
 )
 def late_after_close(spark, folder):
-    policies = spark.createDataFrame(_POLICIES, "tenant_id string, policy string")
+    policies = T.frame(spark, _POLICIES, "tenant_id string, policy string")
     kept, notes = A.settle_late(adjustments(spark, folder), policies, F.lit("1998-01-01").cast("date"))
     return kept.select("id", "tenant_id", "period_start", F.lit(None).cast("string").alias("note"), F.col("delta").alias("amount")).unionByName(
         notes.select("id", "tenant_id", "period_start", F.col("kind").alias("note"), "amount")
@@ -311,13 +310,11 @@ _MAPS = """
 
 
 def _supplier_mappings(spark, folder):
-    from tallymill.operators.joins import lookup
-
     k = F.col("s_suppkey")
     text = k.cast("string")
     nation = T.table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("tenant_id"))
     empty = F.lit(None).cast("string")
-    return lookup(T.table(spark, folder, "supplier"), nation, ["s_nationkey"]).select(
+    return T.table(spark, folder, "supplier").join(nation, "s_nationkey").select(
         F.concat(F.lit("map"), text).alias("id"),
         "tenant_id",
         F.concat(F.lit("metric"), (k % 40).cast("string")).alias("metric"),
@@ -699,7 +696,7 @@ def rules(spark, folder):
         F.when(k % 8 < 4, "true").otherwise("false"), F.lit("}"),
     )
     threshold = F.when(k % 3 == 1, F.lit("2.5").cast(QTY)).otherwise(F.abs(F.col("c_acctbal").cast(QTY)) + 50)
-    return _owners(spark, folder).select(
+    return T.owners(spark, folder).select(
         F.concat(F.lit("rule"), text).alias("id"),
         "tenant_id",
         F.when(k % 2 == 0, F.col("customer_ref")).alias("customer_ref"),
@@ -860,7 +857,8 @@ def caps(spark, folder):
     ),
 )
 def caps_enforced(spark, folder):
-    marked = L.enforce_caps(T.shipments(spark, folder), L.caps(_triggered(spark, folder)))
+    in_force = work.settle(L.caps(_triggered(spark, folder)), "caps")
+    marked = L.enforce_caps(T.shipments(spark, folder), in_force)
     return marked.groupBy("tenant_id", "customer_ref", "metric", "cap").agg(F.count("*").alias("n_events"))
 
 
@@ -904,7 +902,7 @@ def current_usage(spark, folder):
     ),
 )
 def usage_limits(spark, folder):
-    limits = spark.createDataFrame([("A", 120), ("N", 0)], "metric string, usage_limit int")
+    limits = T.frame(spark, [("A", 120), ("N", 0)], "metric string, usage_limit int")
     return listing.usage_against_limits(listing.current_usage(_counters(spark, folder), "1999-03-01"), limits)
 
 

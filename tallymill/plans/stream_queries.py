@@ -40,9 +40,7 @@ def _ingested(spark, folder) -> ingest.Store:
     if key not in _runs:
         store = ingest.Store(work.new_folder(spark, "stream")).prepare(spark)
         source, checkpoint = store.path("source"), store.path("checkpoint")
-        rules = spark.createDataFrame(
-            [(*r[:5], T._dec(r[5]), *r[6:]) for r in _RULES], schemas.ALERT_CONFIGS
-        )
+        rules = T.frame(spark, _RULES, schemas.ALERT_CONFIGS)
         for part in _parts(spark, folder):
             part.select(*_COLUMNS).write.mode("append").parquet(source)
             stream = files.read_event_stream(spark, source, _ARRIVALS, 1_000_000)
@@ -94,7 +92,7 @@ def stream_adjustments(spark, folder):
         """
         SELECT tenant_id, metric, customer_ref, period_start, last_day(period_start) AS period_end, CAST(sum(quantity) AS DECIMAL(38,6)) AS agg_sum,
                CAST(coalesce(max(quantity) FILTER (WHERE lateness_class <> 'very_late'), 0) AS DECIMAL(20,6)) AS agg_max,
-               CAST(arg_max(quantity, (ts, idempotency_key)) FILTER (WHERE lateness_class <> 'very_late') AS DECIMAL(20,6)) AS agg_last,
+               CAST(arg_max(quantity, (ts, quantity)) FILTER (WHERE lateness_class <> 'very_late') AS DECIMAL(20,6)) AS agg_last,
                max(ts) FILTER (WHERE lateness_class <> 'very_late') AS watermark_ts
         FROM stream_classed GROUP BY ALL
         """

@@ -8,13 +8,15 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallymill import schemas
 from tallymill.functions.period import hours, period_start
 from tallymill.operators import dedup
-from tallymill.operators.joins import lookup
 
 NOW = "2024-01-30 00:00:00"
 EVENT_TENANTS = ["t0", "t1", "t2"]
@@ -37,6 +39,23 @@ _TABLES = {
 }
 
 
+def frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Literal rows as a local relation, whose size Spark knows."""
+    schema = T.StructType.fromDDL(ddl)
+
+    def named(value, kind):
+        if value is None:
+            return None
+        if isinstance(kind, T.StructType):
+            return {f.name: named(v, f.dataType) for f, v in zip(kind.fields, value)}
+        if isinstance(kind, T.ArrayType):
+            return [named(v, kind.elementType) for v in value]
+        return Decimal(value) if isinstance(kind, T.DecimalType) else value
+
+    rows = [named(row, schema) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema))).to(schema)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
@@ -95,23 +114,28 @@ def plain_events(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("batch_id", F.to_date("inserted_at"))
 
 
+def owners(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with their region as tenant and their nation as customer."""
+    nation = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_ref"), F.col("n_regionkey").alias("r_regionkey")
+    )
+    region = table(spark, folder, "region").withColumnRenamed("r_name", "tenant_id")
+    return table(spark, folder, "customer").join(nation.join(region, "r_regionkey"), "c_nationkey").drop("r_regionkey")
+
+
 def shipments(spark: SparkSession, folder: str) -> DataFrame:
     """A usage ledger of 83 months: tenant = region, customer = nation, metric = return flag."""
-    home = lookup(
-        table(spark, folder, "nation"),
-        table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey"),
-        ["n_regionkey"],
-    ).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
-    buyers = lookup(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), home, ["c_nationkey"])
-    placed = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    owned = placed.join(buyers, "c_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "n_name", "r_name")
+    owned = owners(spark, folder).select("c_custkey", "tenant_id", "customer_ref")
+    placed = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate"
     )
+    # no hints: Spark broadcasts what its size threshold allows and shuffles the rest
+    owned = placed.join(owned, "c_custkey").drop("c_custkey")
     return lines.join(owned, "l_orderkey").select(
-        F.col("r_name").alias("tenant_id"),
+        "tenant_id",
         F.col("l_returnflag").alias("metric"),
-        F.col("n_name").alias("customer_ref"),
+        "customer_ref",
         F.col("l_quantity").cast(schemas.QTY).alias("quantity"),
         F.col("l_shipdate").alias("ts"),
         F.concat_ws(
@@ -155,7 +179,7 @@ def mapping_rows(tenants: list[str], metrics: list[str]) -> list[tuple]:
 
 
 def mappings(spark: SparkSession, tenants: list[str] = EVENT_TENANTS, metrics: list[str] = EVENT_METRICS) -> DataFrame:
-    return spark.createDataFrame(mapping_rows(tenants, metrics), schemas.MAPPINGS)
+    return frame(spark, mapping_rows(tenants, metrics), schemas.MAPPINGS)
 
 
 def shipment_mappings(spark: SparkSession) -> DataFrame:
@@ -202,12 +226,12 @@ def price_struct(price: tuple) -> tuple:
 
 def price_configs(spark: SparkSession, metrics: list[str] = EVENT_METRICS) -> DataFrame:
     rows = [(m, price_struct(PRICES[m])) for m in metrics]
-    return spark.createDataFrame(rows, f"metric string, price_config {schemas.PRICE_CONFIG}")
+    return frame(spark, rows, f"metric string, price_config {schemas.PRICE_CONFIG}")
 
 
 def pricing_options(spark: SparkSession) -> DataFrame:
     rows = [(o, m, price_struct(p)) for o, prices in OPTIONS.items() for m, p in prices.items()]
-    return spark.createDataFrame(rows, f"option string, metric string, price_config {schemas.PRICE_CONFIG}")
+    return frame(spark, rows, f"option string, metric string, price_config {schemas.PRICE_CONFIG}")
 
 
 # tenant, metric, counter name, key fields, lateness in seconds, period kind
@@ -219,7 +243,7 @@ SETTING_ROWS = [
 
 
 def metric_settings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SETTING_ROWS, schemas.METRIC_SETTINGS)
+    return frame(spark, SETTING_ROWS, schemas.METRIC_SETTINGS)
 
 
 def as_date(text: str) -> dt.date:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.period import hours, period_end, period_start, too_late
 from tallymill.operators import alerts
-from tallymill.operators.counters import apply_adjustments, fold_adjustments
+from tallymill.operators.counters import apply_adjustments, fold, fold_adjustments
 from tallymill.operators.dedup import insert_if_absent, with_keys
 from tallymill.operators.joins import attach, fits_broadcast
 from tallymill.operators.validate import check_ingest, default_source
@@ -27,7 +27,7 @@ _LEDGER = (
 )
 _COUNTERS = (
     f"tenant_id string, metric string, customer_ref string, agg_sum {SUM}, agg_max {QTY}, agg_last {QTY}, "
-    "watermark_ts timestamp, last_key string"
+    "watermark_ts timestamp"
 )
 _ADJUSTMENTS = (
     "id string, tenant_id string, metric string, customer_ref string, period_start date, "
@@ -71,35 +71,20 @@ def latest_counters(log: DataFrame) -> DataFrame:
     return log.groupBy(*CKEY).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row")).select(*CKEY, "_row.*")
 
 
-def _folded(events: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("quantity", "idempotency_key"), F.struct("ts", "idempotency_key"))
-    return (
-        events.groupBy(*CKEY)
-        .agg(
-            F.sum("quantity").cast(SUM).alias("agg_sum"),
-            F.max("quantity").cast(QTY).alias("agg_max"),
-            newest.alias("_newest"),
-            F.max("ts").alias("watermark_ts"),
-        )
-        .select(*CKEY, "agg_sum", "agg_max", F.col("_newest.quantity").cast(QTY).alias("agg_last"), "watermark_ts",
-                F.col("_newest.idempotency_key").alias("last_key"))
-    )
-
-
 def merge_counters(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old counters plus the fold of new, disjoint events; one row per key of ``new``."""
-    before = old.select(*CKEY, *[F.col(c).alias(f"_{c}") for c in ("agg_sum", "agg_max", "agg_last", "watermark_ts", "last_key")])
-    joined = new.join(before, CKEY, "left")
-    newer = F.col("_watermark_ts").isNull() | (
-        F.struct("watermark_ts", "last_key") > F.struct(F.col("_watermark_ts").alias("watermark_ts"), F.col("_last_key").alias("last_key"))
+    before = old.select(*CKEY, *[F.col(c).alias(f"_{c}") for c in ("agg_sum", "agg_max", "agg_last", "watermark_ts")])
+    newer = (
+        F.col("_watermark_ts").isNull()
+        | (F.col("watermark_ts") > F.col("_watermark_ts"))
+        | ((F.col("watermark_ts") == F.col("_watermark_ts")) & (F.col("agg_last") > F.col("_agg_last")))
     )
-    return joined.select(
+    return new.join(before, CKEY, "left").select(
         *CKEY,
         (F.col("agg_sum") + F.coalesce("_agg_sum", F.lit(0).cast(SUM))).cast(SUM).alias("agg_sum"),
         F.greatest("agg_max", "_agg_max").cast(QTY).alias("agg_max"),
         F.when(newer, F.col("agg_last")).otherwise(F.col("_agg_last")).alias("agg_last"),
         F.greatest("watermark_ts", "_watermark_ts").alias("watermark_ts"),
-        F.when(newer, F.col("last_key")).otherwise(F.col("_last_key")).alias("last_key"),
     )
 
 
@@ -153,7 +138,7 @@ def ingest_batch(
         F.col("inserted_at").alias("created_at"),
     )
     store.write(adjustments, "adjustments", batch_no)
-    store.write(merge_counters(before, _folded(written.filter(~late))), "counters", batch_no)
+    store.write(merge_counters(before, fold(written.filter(~late), CKEY)), "counters", batch_no)
     if alert_configs is not None:
         found = alerts.evaluate(alert_configs, current_counters(spark, store, batch_no))
         history = store.read(spark, "alerts", before=batch_no)
@@ -163,7 +148,7 @@ def ingest_batch(
 def current_counters(spark: SparkSession, store: Store, through: int | None = None) -> DataFrame:
     """Counters of all batches so far, with the approved late adjustments."""
     before = None if through is None else through + 1
-    counters = latest_counters(store.read(spark, "counters", before)).drop("last_key")
+    counters = latest_counters(store.read(spark, "counters", before))
     folded = fold_adjustments(store.read(spark, "adjustments", before))
     return apply_adjustments(counters.withColumn("period_end", period_end(F.col("period_start"))), folded)
 
