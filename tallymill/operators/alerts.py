@@ -39,7 +39,7 @@ def scope_totals(counters: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(configs: DataFrame, counters: DataFrame, period: str | None = None) -> DataFrame:
+def evaluate(configs: DataFrame, counters: DataFrame, period: str | Column | None = None) -> DataFrame:
     """Triggered alerts per rule and period (all periods when none is given).
 
     threshold and budget: usage in scope >= threshold. spike: usage / usage of the month before >= threshold,
@@ -48,13 +48,13 @@ def evaluate(configs: DataFrame, counters: DataFrame, period: str | None = None)
     rules = configs.filter("enabled").withColumn("_customer", _open("customer_ref")).withColumn("_metric", _open("metric"))
     scope = ["tenant_id", "_customer", "_metric"]
     if period is not None:
-        day = F.lit(period).cast("date")
+        day = period if isinstance(period, Column) else F.lit(period).cast("date")
         counters = counters.filter((F.col("period_start") == day) | (F.col("period_start") == F.add_months(day, -1)))
     totals = scope_totals(counters)
     before = totals.select(*scope, F.add_months("period_start", 1).alias("period_start"), F.col("value").alias("_before"))
     both = totals.join(before, scope + ["period_start"], "left")
     if period is not None:
-        both = both.filter(F.col("period_start") == F.lit(period).cast("date"))
+        both = both.filter(F.col("period_start") == day)
     ratio = F.when(F.col("_before") > 0, F.col("value").cast("double") / F.col("_before").cast("double")).otherwise(F.lit(0.0))
     hit = F.when(F.col("type") == "spike", ratio >= F.col("threshold").cast("double")).otherwise(
         F.col("value") >= F.col("threshold")

@@ -17,7 +17,7 @@ from tallymill.functions.period import hours, period_end, period_start, too_late
 from tallymill.operators import alerts
 from tallymill.operators.counters import apply_adjustments, fold, fold_adjustments
 from tallymill.operators.dedup import insert_if_absent, with_keys
-from tallymill.operators.joins import attach, fits_broadcast
+from tallymill.operators.joins import attach
 from tallymill.operators.validate import check_ingest, default_source
 from tallymill.schemas import CKEY, QTY, SUM
 
@@ -88,10 +88,6 @@ def merge_counters(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def _of_keys(log: DataFrame, keys: DataFrame) -> DataFrame:
-    return log.join(F.broadcast(keys) if fits_broadcast(keys) else keys, CKEY, "left_semi")
-
-
 def ingest_batch(
     arrivals: DataFrame,
     batch_no: int,
@@ -115,7 +111,9 @@ def ingest_batch(
     new = spark.read.schema(new.schema).parquet(staged)
 
     counts = new.groupBy(*CKEY).agg(F.count("*").alias("n_rows"))
-    before = latest_counters(_of_keys(store.read(spark, "counters", before=batch_no), counts.select(*CKEY)))
+    before = latest_counters(
+        store.read(spark, "counters", before=batch_no).join(counts.select(*CKEY), CKEY, "left_semi")
+    )
     marks = before.select(*CKEY, F.col("watermark_ts").alias("prior_watermark"))
     classed = attach(new, marks, CKEY, "left", weights=counts).withColumn(
         "lateness_class",
@@ -140,7 +138,8 @@ def ingest_batch(
     store.write(adjustments, "adjustments", batch_no)
     store.write(merge_counters(before, fold(written.filter(~late), CKEY)), "counters", batch_no)
     if alert_configs is not None:
-        found = alerts.evaluate(alert_configs, current_counters(spark, store, batch_no))
+        # the month of ``now``, so only the folders of two months are read
+        found = alerts.evaluate(alert_configs, current_counters(spark, store, batch_no), F.trunc(now, "MM"))
         history = store.read(spark, "alerts", before=batch_no)
         store.write(alerts.alert_records(alerts.without_cooldown(found, history, now), now), "alerts", batch_no)
 
