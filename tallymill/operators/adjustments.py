@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.joins import lookup
+from tallymill.operators.pick import first_per_key
 from tallymill.operators.validate import validate_adjustments
 from tallymill.schemas import ADJUSTMENTS, QTY
 
@@ -18,9 +19,7 @@ _ROW = [c.strip().split(" ")[0] for c in ADJUSTMENTS.replace("decimal(20,6)", "d
 
 def latest_version(rows: DataFrame, key: str, updated: str) -> DataFrame:
     """Newest version per id."""
-    rest = [c for c in rows.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.col(updated))
-    return rows.groupBy(key).agg(best.alias("_row")).select(key, "_row.*").select(*rows.columns)
+    return first_per_key(rows, [key], [F.desc(updated)])
 
 
 def audit(rows: DataFrame, action: str, actor: Column, at: Column, resource: str = "adjustment") -> DataFrame:

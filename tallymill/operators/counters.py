@@ -122,8 +122,9 @@ def classify_lateness(events: DataFrame, lateness: Column | None = None) -> Data
     keys = CKEY + ["batch_id"]
     per_batch = events.groupBy(*keys).agg(F.max("ts").alias("_newest"), F.count("*").alias("n_rows"))
     earlier = W.partitionBy(*CKEY).orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1)
-    marks = per_batch.select(*keys, F.max("_newest").over(earlier).alias("prior_watermark"))
-    joined = attach(events, marks, keys, "left", weights=per_batch.select(*keys, "n_rows"))
+    marks = per_batch.select(*keys, "n_rows", F.max("_newest").over(earlier).alias("prior_watermark"))
+    # both sides use the same aggregate, so its shuffle is done once
+    joined = attach(events, marks, keys, "left", weights=per_batch.filter(F.col("_newest").isNotNull()))
     return joined.withColumn(
         "lateness_class",
         F.when(F.col("prior_watermark").isNull(), "first")

@@ -1,8 +1,7 @@
 """First copy per key, and what is already in the ledger.
 
-The first copy is chosen by an aggregate, which combines before the shuffle, so a
-key that holds a large part of the rows costs one row per map task. Flagging
-the rows joins on (key, sequence), which is spread evenly.
+Copies of a hot key are dropped before the shuffle (see ``pick``). Flagging all rows
+joins on (key, sequence), which spreads the copies of one key evenly.
 """
 
 from __future__ import annotations
@@ -12,15 +11,14 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import identity
 from tallymill.operators.joins import attach
+from tallymill.operators.pick import first_per_key
 from tallymill.operators.validate import check_ingest, default_source
 from tallymill.functions.period import period_start
 
 
 def first_copies(df: DataFrame, order: list[str], key: str = "idempotency_key") -> DataFrame:
     """One row per key: the least by ``order``, which must not tie within a key unless the rows are equal."""
-    rest = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(key).agg(best.alias("_row")).select(key, "_row.*").select(*df.columns)
+    return first_per_key(df, [key], order)
 
 
 def with_keys(df: DataFrame, batch_key: str | None = None, batch: str = "batch_id", index: str = "seq") -> DataFrame:
@@ -37,7 +35,7 @@ def with_keys(df: DataFrame, batch_key: str | None = None, batch: str = "batch_i
     sharing = (
         df.groupBy(batch).agg(F.count_if(uses).alias("_sharing"), F.count("*").alias("n_rows"))
     )
-    joined = attach(df, sharing.drop("n_rows"), [batch], "left", weights=sharing.select(batch, "n_rows"))
+    joined = attach(df, sharing, [batch], "left")
     suffixed = F.when(
         F.col("_sharing") > 1, F.concat_ws(":", F.col(batch_key), F.col(index).cast("string"))
     ).otherwise(F.col(batch_key))
@@ -77,7 +75,9 @@ def ingest(
     accepted = insert_if_absent(clean.drop("error"), ledger, list(order)).withColumn(
         "period_start", period_start(F.col("ts"))
     )
-    winners = accepted.select("idempotency_key", "seq", F.lit(True).alias("_won"))
+    # the results need the winners' numbers only, so their events are not shuffled a second time
+    slim = clean.select("idempotency_key", "seq", *[c for c in order if c != "seq"])
+    winners = insert_if_absent(slim, ledger, list(order)).select("idempotency_key", "seq", F.lit(True).alias("_won"))
     results = keyed.join(winners, ["idempotency_key", "seq"], "left").select(
         "seq",
         "tenant_id",

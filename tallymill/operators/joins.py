@@ -44,16 +44,19 @@ def attach(
 ) -> DataFrame:
     """Join ``dim`` to ``facts``; rows of a hot key are spread over salts, and only its dim rows are copied.
 
-    ``weights`` (the keys and ``n_rows``) saves counting the facts when the caller
-    has the counts already. ``extra`` is a further condition over the columns of both sides.
+    The number of fact rows per key comes from a column ``n_rows`` of ``dim`` (dropped here) or from
+    ``weights`` (the keys and ``n_rows``); without either the facts are counted.
+    ``extra`` is a further condition over the columns of both sides.
     """
+    own = "n_rows" in dim.columns
     if weights is None:
-        weights = facts.groupBy(*on).agg(F.count("*").alias("n_rows"))
+        weights = dim if own else facts.groupBy(*on).agg(F.count("*").alias("n_rows"))
+    parts = F.ceil(F.col("n_rows") / hot_rows).cast("int")
     hot = F.broadcast(
         weights.filter(F.col("n_rows") > hot_rows)
         .orderBy(F.desc("n_rows"), *on)
         .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_salts"))
+        .select(*on, parts.alias("_salts"))
     )
     spread = [F.col(c) for c in facts.columns if c not in on]
     left = (
@@ -66,11 +69,10 @@ def attach(
         )
         .drop("_salts")
     )
-    right = (
-        dim.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
+    # a dim row has every salt its facts can have; unused copies match nothing
+    counted = dim.withColumn("_salts", parts).drop("n_rows") if own else dim.join(hot, on, "left")
+    copies = F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("_salts"), F.lit(1)), F.lit(1)) - 1)
+    right = counted.withColumn("_salt", F.explode(copies)).drop("_salts")
     keys = on + ["_salt"]
     if extra is None:
         return left.join(right, keys, how).drop("_salt")

@@ -133,7 +133,7 @@ def suggestions(found: DataFrame, customers: DataFrame) -> DataFrame:
     missing = found.filter((F.col("status") == "investigate") & (F.col("stripe_total") > F.col("local_total")))
     counts = customers.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     per_item = missing.select(*keys, "local_total", (F.col("stripe_total") - F.col("local_total")).cast("decimal(20,6)").alias("_gap"))
-    per_item = per_item.join(counts, keys).withColumnRenamed("n_rows", "_customers")
+    per_item = per_item.join(counts, keys).withColumn("_customers", F.col("n_rows"))
     spread = attach(customers, per_item, keys, "inner", weights=counts)
     by_share = (F.col("_gap") * F.col("quantity").cast("decimal(18,6)")) / F.col("local_total")
     evenly = F.col("_gap") / F.col("_customers")

@@ -18,6 +18,7 @@ from tallymill.operators import alerts
 from tallymill.operators.counters import apply_adjustments, fold, fold_adjustments
 from tallymill.operators.dedup import insert_if_absent, with_keys
 from tallymill.operators.joins import attach
+from tallymill.operators.pick import first_per_key
 from tallymill.operators.validate import check_ingest, default_source
 from tallymill.schemas import CKEY, QTY, SUM
 
@@ -67,8 +68,7 @@ class Store(NamedTuple):
 
 def latest_counters(log: DataFrame) -> DataFrame:
     """Newest row per key of the counter log."""
-    rest = [c for c in log.columns if c not in CKEY + ["batch_no"]]
-    return log.groupBy(*CKEY).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row")).select(*CKEY, "_row.*")
+    return first_per_key(log, CKEY, [F.desc("batch_no")]).drop("batch_no")
 
 
 def merge_counters(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.operators.pick import first_per_key
 from tallymill.schemas import QTY, SUM
 
 # Stages of a customer's billing state.
@@ -98,6 +99,4 @@ def keep_latest(stream: DataFrame, path: str, checkpoint: str):
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest row per key of what ``keep_latest`` wrote."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in keys + ["batch_no"]]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row")).select(*keys, "_row.*")
+    return first_per_key(spark.read.parquet(path), keys, [F.desc("batch_no")]).drop("batch_no")
