@@ -10,6 +10,7 @@ from tallymill.operators.counters import measure
 from tallymill.operators.joins import lookup
 from tallymill.operators.prefix import prefix_totals
 from tallymill.schemas import MONEY, PRICE_CONFIG, RATED_QTY, SUM
+from tallymill.sources.work import settle
 
 INVOICE = ["tenant_id", "customer_ref", "period_start"]
 
@@ -125,7 +126,8 @@ def invoices(
 ) -> DataFrame:
     """One invoice per group of rated lines (``period_end`` and ``position`` included).
 
-    Commitments and credits belong to the customer columns of the invoice keys.
+    Commitments and credits belong to the customer columns of the invoice keys. With either, the sums per
+    invoice are written to the work folder first: they are needed up to three times, the lines once.
     """
     invoice = invoice or INVOICE
     customer = [c for c in invoice if c != "period_start"]
@@ -134,6 +136,8 @@ def invoices(
         F.min_by("price_config.currency", "position").alias("currency"),
         F.count("*").alias("n_lines"),
     )
+    if commitments is not None or credits is not None:
+        heads = settle(heads, "invoice-heads")
     periods = heads.select(*invoice, "period_end")
     if commitments is None:
         heads = heads.withColumn("commitment_credit", F.lit(0).cast(SUM))

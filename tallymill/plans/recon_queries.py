@@ -421,8 +421,9 @@ def _counters(spark, folder):
     return C.build_counters(T.shipments(spark, folder))
 
 
-def summaries(spark, folder):
-    totals = recon.customer_totals(_counters(spark, folder), T.shipment_mappings(spark))
+def summaries(spark, folder, counters=None):
+    counted = _counters(spark, folder) if counters is None else counters
+    totals = recon.customer_totals(counted, T.shipment_mappings(spark))
     factor = (
         F.when(F.col("tenant_id") == "ASIA", F.lit("1.050"))
         .when(F.col("metric") == "N", F.lit("1.004"))
@@ -436,10 +437,11 @@ def summaries(spark, folder):
     )
 
 
-def found_reports(spark, folder):
+def found_reports(spark, folder, counters=None):
     mappings = T.shipment_mappings(spark)
-    local = recon.local_totals(_counters(spark, folder), mappings)
-    return recon.reports(local, recon.billed_totals(summaries(spark, folder)), mappings)
+    counted = _counters(spark, folder) if counters is None else counters
+    local = recon.local_totals(counted, mappings)
+    return recon.reports(local, recon.billed_totals(summaries(spark, folder, counted)), mappings)
 
 
 def write_log(spark, folder):
@@ -549,8 +551,9 @@ def recon_csv_rows(spark, folder):
     ),
 )
 def suggested_adjustments(spark, folder):
-    customers = recon.customer_totals(_counters(spark, folder), T.shipment_mappings(spark))
-    return recon.suggestions(found_reports(spark, folder), customers)
+    counted = work.settle(_counters(spark, folder), "counters")
+    customers = recon.customer_totals(counted, T.shipment_mappings(spark))
+    return recon.suggestions(found_reports(spark, folder, counted), customers)
 
 
 @query(
