@@ -157,7 +157,9 @@ def fold_adjustments(adjustments: DataFrame) -> DataFrame:
     A reverted original is out already, so its reversal must not count a second time.
     """
     reverted = adjustments.filter(F.col("status") == "reverted").select(F.col("id").alias("parent_adjustment_id"))
-    approved = adjustments.filter(F.col("status") == "approved")
+    # rows without a parent get a key of their own that no id equals; as nulls they would all meet in one task
+    parent = F.coalesce("parent_adjustment_id", F.concat(F.lit("\0"), F.col("id")))
+    approved = adjustments.filter(F.col("status") == "approved").withColumn("parent_adjustment_id", parent)
     return (
         approved.join(reverted, "parent_adjustment_id", "left_anti")
         .groupBy(*CKEY)

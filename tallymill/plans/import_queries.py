@@ -428,9 +428,8 @@ def ledger_on_disk(spark, folder):
         "idempotency_key", F.lit("etl").alias("source"), F.col("ts").alias("inserted_at"), "period_start",
     )
     old = F.col("metric") == "A"
-    slices = rows.repartition("period_start", F.pmod(F.xxhash64("idempotency_key"), F.lit(4)))
-    sinks.append_ledger(slices.filter(old), path)
-    sinks.append_ledger(slices.filter(~old), path)
+    sinks.append_ledger(rows.filter(old), path, 2)
+    sinks.append_ledger(rows.filter(~old), path, 2)
     scanned = listing.filter_events(files.read_ledger(spark, path), "ASIA", start="1997-02-10 00:00:00", end="1998-11-20 00:00:00")
     return scanned.groupBy("period_start", "metric").agg(F.count("*").alias("n_events"), F.sum("quantity").cast(SUM).alias("agg_sum"))
 

@@ -15,10 +15,15 @@ from tallymill.sources.work import settle
 EVENT_CSV = ["tenantId", "metric", "customerRef", "resourceId", "quantity", "ts", "source", "meta", "idempotencyKey"]
 
 
-def append_ledger(events: DataFrame, path: str) -> None:
-    """Adds accepted events to the ledger, in folders per period; one writer task per period and hash slice."""
+def append_ledger(events: DataFrame, path: str, slices: int = 16) -> None:
+    """Adds accepted events to the ledger, in folders per period.
+
+    Rows are shuffled by period and key slice, so a period gets at most ``slices`` files per append
+    and a month that holds most of the rows is written by several tasks.
+    """
     rows = events if "period_start" in events.columns else events.withColumn("period_start", period_start(F.col("ts")))
-    rows.write.partitionBy("period_start").mode("append").parquet(path)
+    sliced = rows.repartition(F.col("period_start"), F.pmod(F.xxhash64("idempotency_key"), F.lit(slices)))
+    sliced.write.partitionBy("period_start").mode("append").parquet(path)
 
 
 def plain_number(quantity: Column) -> Column:

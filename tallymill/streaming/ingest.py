@@ -96,12 +96,22 @@ def ingest_batch(
     lateness: Column | None = None,
     late_status: str = "approved",
     alert_configs: DataFrame | None = None,
+    generated_keys_only: bool = False,
 ) -> None:
-    """One micro-batch: check, key, deduplicate against the ledger, route late events, advance counters, alert."""
+    """One micro-batch: check, key, deduplicate against the ledger, route late events, advance counters, alert.
+
+    A generated key holds the event time, so its copies are in the same month. When no sender gives keys,
+    ``generated_keys_only`` reads the ledger keys of the months of the batch instead of all.
+    """
     spark = arrivals.sparkSession
     lateness = hours(48) if lateness is None else lateness
     checked = default_source(with_keys(check_ingest(arrivals, now)), "http").filter(F.col("error").isNull())
-    known = store.read(spark, "ledger", before=batch_no).select("idempotency_key")
+    known = store.read(spark, "ledger", before=batch_no)
+    if generated_keys_only:
+        month = period_start(F.col("ts"))
+        first, last = checked.agg(F.min(month), F.max(month)).first()
+        known = known.filter(F.col("period_start").between(F.lit(first), F.lit(last)))
+    known = known.select("idempotency_key")
     new = insert_if_absent(checked.drop("error"), known, ["inserted_at", "seq"]).withColumn(
         "period_start", period_start(F.col("ts"))
     )

@@ -230,13 +230,14 @@ def stream_rows(spark, rows):
     return frame(spark, [(i, "t", "m", "c", None, q, ts, None, None, None, ts) for i, (q, ts) in enumerate(rows)], schema)
 
 
-def test_a_micro_batch_that_runs_twice_counts_once(spark, tmp_path):
+@pytest.mark.parametrize("generated", [False, True])
+def test_a_micro_batch_that_runs_twice_counts_once(spark, tmp_path, generated):
     store = ingest.Store(str(tmp_path / "store")).prepare(spark)
     now = F.lit(datetime(2025, 10, 1))
     first = stream_rows(spark, [("5", datetime(2025, 9, 10)), ("5", datetime(2025, 9, 10))])
     second = stream_rows(spark, [("2", datetime(2025, 9, 1)), ("3", datetime(2025, 9, 9)), ("5", datetime(2025, 9, 10))])
     for batch_no, rows in [(0, first), (0, first), (1, second), (1, second)]:
-        ingest.ingest_batch(rows, batch_no, store, now)
+        ingest.ingest_batch(rows, batch_no, store, now, generated_keys_only=generated)
     counter = ingest.current_counters(spark, store).first()
     assert (counter.agg_sum, counter.agg_max, counter.agg_last) == (10, 5, 5)
     assert store.read(spark, "ledger").count() == 3 and store.read(spark, "adjustments").first().delta == 2
