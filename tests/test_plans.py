@@ -51,12 +51,14 @@ def test_a_page_is_a_top_k(spark):
     assert "TakeOrderedAndProject(limit=75" in plan(listing.page(rows, "ts", "desc", "id", 25, 50))
 
 
-def test_adjustments_without_parent_do_not_meet_in_one_task(spark):
-    rows = spark.range(1000).select(
-        F.concat(F.lit("a"), "id").alias("id"), F.lit("t").alias("tenant_id"), F.lit("m").alias("metric"),
-        F.lit("c").alias("customer_ref"), F.lit("2024-01-01").cast("date").alias("period_start"),
-        F.lit(1).cast(schemas.QTY).alias("delta"), F.lit("approved").alias("status"),
-        F.lit(None).cast("string").alias("parent_adjustment_id"),
+def test_adjustments_without_parent_are_spread_by_their_id(spark):
+    rows = spark.createDataFrame(
+        [(f"a{i}", "t", "m", "c", date(2024, 1, 1), 1, "approved", "a0" if i == 5 else None) for i in range(50)],
+        "id string, tenant_id string, metric string, customer_ref string, period_start date, delta int, status string, "
+        "parent_adjustment_id string",
     )
     folded = C.fold_adjustments(rows)
-    assert folded.first().adjusted == 1000 and "coalesce(parent_adjustment_id" in plan(folded)
+    # a0 is not reverted, so its child counts too
+    assert folded.first().adjusted == 50 and "coalesce(parent_adjustment_id" in plan(folded)
+    reverted = rows.withColumn("status", F.when(F.col("id") == "a0", "reverted").otherwise("approved"))
+    assert C.fold_adjustments(reverted).first().adjusted == 48
