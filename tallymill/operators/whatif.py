@@ -176,7 +176,7 @@ def burn_grants(
 ) -> DataFrame:
     """Burn, expiry and rollover of credit grants, oldest first: one row per customer.
 
-    ``daily``: tenant_id, customer_ref, day, quantity (one row per day). ``grants``: id, position, tenant_id,
+    ``daily``: tenant_id, customer_ref, day, quantity. ``grants``: id, position, tenant_id,
     customer_ref, amount, valid_from, valid_to, rollover. A grant can be used on its days, both ends
     included. After the usage of each boundary day, and once after the window, a grant past its end
     either rolls what is left into the ``extend`` days behind its end or loses it.
@@ -206,9 +206,11 @@ def burn_grants(
     )
     used = (
         daily.filter(F.col("day").between(first, last))
+        .groupBy(*customer, "day")
+        .agg(F.sum("quantity").cast(SUM).alias("quantity"))
         .groupBy(*customer)
         .agg(
-            F.map_from_entries(F.collect_list(F.struct("day", F.col("quantity").cast(SUM)))).alias("by_day"),
+            F.map_from_entries(F.collect_list(F.struct("day", "quantity"))).alias("by_day"),
             F.sum("quantity").cast(SUM).alias("usage_total"),
         )
     )

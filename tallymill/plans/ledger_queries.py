@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymill.functions import identity
-from tallymill.functions.period import hours
 from tallymill.operators import counters as C
 from tallymill.operators import dedup, listing, validate
 from tallymill.plans import tables as T
-from tallymill.plans.oracle import event_key, literal, sql, values
+from tallymill.plans.oracle import event_key, sql, values
 from tallymill.plans.registry import query
-from tallymill.schemas import CKEY, QTY, SUM
+from tallymill.schemas import CKEY
 
 _COUNTER = "tenant_id, metric, customer_ref, period_start, period_end, agg_sum, agg_max, agg_last, watermark_ts"
 

@@ -10,7 +10,7 @@ from tallymill.functions import money, period
 from tallymill.operators import counters as C
 from tallymill.operators import rating, whatif
 from tallymill.plans import tables as T
-from tallymill.plans.oracle import cte, half_up, literal, micros, rated, sql, two_places, values
+from tallymill.plans.oracle import cte, half_up, micros, rated, sql, two_places, values
 from tallymill.plans.registry import query
 from tallymill.schemas import MONEY, PRICE_CONFIG, QTY, RATED_QTY, SUM
 
@@ -257,13 +257,6 @@ def invoices(spark, folder):
     )
 
 
-_MS = "(epoch_ms({1}) - epoch_ms({0}))"
-
-
-def _span(a: str, b: str) -> str:
-    return f"(epoch_ms(CAST({b} AS TIMESTAMP)) - epoch_ms(CAST({a} AS TIMESTAMP)))"
-
-
 _PRORATED = """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(20,6)) AS amount,
            l_shipdate AS start_at, l_shipdate + to_hours(CAST(l_partkey % 900 AS INTEGER)) AS end_at,

@@ -9,7 +9,7 @@ from tallymill.plans import tables as T
 from tallymill.plans.oracle import cte, sql
 from tallymill.plans.rating_queries import shipment_usage
 from tallymill.plans.registry import query
-from tallymill.schemas import MONEY, RATED_QTY, SUM
+from tallymill.schemas import RATED_QTY
 
 # ---- one scenario per customer and month ------------------------------------
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.identity import blank_to_null
 from tallymill.operators.validate import event_checks
-from tallymill.schemas import EXPECTED_FILE, LEDGER, QTY, RATED_QTY, SCENARIO_FILE, TIER
+from tallymill.schemas import EXPECTED_FILE, LEDGER, QTY, SCENARIO_FILE, TIER
 
 # Accepted column names of an event file, first match wins.
 EVENT_COLUMNS = {
