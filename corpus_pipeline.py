@@ -1,13 +1,73 @@
-"""The corpus pipeline: each stage reads what the one before kept, written as Parquet."""
+"""The corpus pipeline: toxic documents go, near duplicates give one document, contaminated documents go, sources are
+mixed to target weights, and the rest becomes token files.
+
+Each stage takes ``(spark, docs, folder)`` with the documents that the stage before kept, and returns documents with the
+same columns; the last returns the digest of its files.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallymill.llm import mixing, simhash, templates, token_files, toxicity
+from tallymill.llm.frames import ship, table
+from tallymill.llm.keys import KEY, key_of, rows_with, with_key
+from tallymill.sources.work import new_folder, settle
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    ship(spark)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group: the one with the smallest id (of equal ids, the smallest hash)."""
+    ship(spark)
+    found = simhash.near_duplicates(docs)
+    named = found.select("component", *key_of(F.col("doc_id"), F.col("text_hash")))
+    first = F.min(F.struct("__no_id", "__id", "__text_hash")).alias("first")
+    kept = named.groupBy("component").agg(first).select("first.*")
+    once = Window.partitionBy(*KEY).orderBy(F.lit(1))
+    unique = with_key(docs).withColumn("copy", F.row_number().over(once)).where("copy = 1")
+    return unique.join(kept, KEY, "left_semi").select("row.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a benchmark question."""
+    ship(spark)
+    found = templates.matches(docs, table(spark, folder, "benchmark"))
+    return rows_with(docs, found.select(*key_of(F.col("doc_id"), F.col("text_hash"))).distinct(), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, stored in the mixed order: that of the written files' names and rows."""
+    return mixing.in_mixed_order(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token files in the order in which the documents are stored, and their digest."""
+    ship(spark)
+    path = new_folder(spark, "token-files")
+    token_files.write_token_files(docs, path, order=mixing.stored_order())
+    return token_files.digest(spark, path)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
+#: Fingerprints' components, trained scores and schedules have no SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """Applies the stages to ``documents``."""
-    raise NotImplementedError
+    docs = table(spark, folder, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, folder), name)
+    return STAGES[-1][1](spark, docs, folder)

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import simhash, token_files
-from tallymill.llm.frames import table
+from tallymill.llm import ball_tree, html_text, language_model, licences, mixing, repeats, simhash, templates, token_files, toxicity
+from tallymill.llm.frames import ship, table
 from tallymill.sources.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +19,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[build.__name__] = build
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return build(spark, folder)
+
+    QUERIES[build.__name__] = run
     return build
 
 
@@ -34,3 +38,50 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op5_simhash_links(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op1_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = templates.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
+
+
+@query
+def op2_ball_tree_top5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    vectors = rows.where(F.col("embedding").isNotNull() & finite).select("vec_id", whole.alias("vector"))
+    return ball_tree.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op4_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("row.doc_id", "row.source", "block", "slot", "place", "phase")
+
+
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op7_recurrent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_documents(table(spark, folder, "documents"))
+
+
+@query
+def op8_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op9_long_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
