@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymill.functions.period import hours, period_end, period_start, seconds, too_late
-from tallymill.operators.joins import attach, fits_broadcast, lookup
+from tallymill.operators.joins import attach, lookup
 from tallymill.schemas import CKEY, KEY, QTY, SUM
 
 
@@ -103,13 +103,8 @@ def affected_keys(batch: DataFrame) -> DataFrame:
 def reaggregate(ledger: DataFrame, affected: DataFrame) -> DataFrame:
     """Counters of the affected keys only, folded over the whole ledger slice of each period."""
     events = ledger if "period_start" in ledger.columns else ledger.withColumn("period_start", period_start(F.col("ts")))
-    slim = events.select(*CKEY, "quantity", "ts")
-    if fits_broadcast(affected):
-        # few keys: drop the other events before the shuffle, and prune the ledger's period folders
-        built = fold(slim.join(F.broadcast(affected), CKEY, "left_semi"), CKEY)
-    else:
-        # many keys: aggregate first, so one row per key and task meets the semi join
-        built = fold(slim, CKEY).join(affected, CKEY, "left_semi")
+    # aggregated first, so one row per key and task meets the semi join, however many keys are affected
+    built = fold(events.select(*CKEY, "quantity", "ts"), CKEY).join(affected, CKEY, "left_semi")
     return built.withColumn("period_end", period_end(F.col("period_start")))
 
 
@@ -120,11 +115,10 @@ def classify_lateness(events: DataFrame, lateness: Column | None = None) -> Data
     """
     lateness = hours(48) if lateness is None else lateness
     keys = CKEY + ["batch_id"]
-    per_batch = events.groupBy(*keys).agg(F.max("ts").alias("_newest"), F.count("*").alias("n_rows"))
+    per_batch = events.groupBy(*keys).agg(F.max("ts").alias("_newest"))
     earlier = W.partitionBy(*CKEY).orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1)
-    marks = per_batch.select(*keys, "n_rows", F.max("_newest").over(earlier).alias("prior_watermark"))
-    # both sides use the same aggregate, so its shuffle is done once
-    joined = attach(events, marks, keys, "left", weights=per_batch.filter(F.col("_newest").isNotNull()))
+    marks = per_batch.select(*keys, F.max("_newest").over(earlier).alias("prior_watermark"))
+    joined = attach(events, marks, keys, "left")
     return joined.withColumn(
         "lateness_class",
         F.when(F.col("prior_watermark").isNull(), "first")

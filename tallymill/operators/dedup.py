@@ -32,9 +32,7 @@ def with_keys(df: DataFrame, batch_key: str | None = None, batch: str = "batch_i
     if batch_key is None:
         return df.withColumn("idempotency_key", F.coalesce(own, generated))
     uses = identity.blank_to_null(F.col(batch_key)).isNotNull() & own.isNull()
-    sharing = (
-        df.groupBy(batch).agg(F.count_if(uses).alias("_sharing"), F.count("*").alias("n_rows"))
-    )
+    sharing = df.groupBy(batch).agg(F.count_if(uses).alias("_sharing"))
     joined = attach(df, sharing, [batch], "left")
     suffixed = F.when(
         F.col("_sharing") > 1, F.concat_ws(":", F.col(batch_key), F.col(index).cast("string"))

@@ -1,9 +1,8 @@
-"""Joins that survive hot keys.
+"""Joins of facts with configuration and derived tables.
 
-``lookup`` attaches a configuration table: broadcast when its counted size is
-within the bound, otherwise the salted shuffle join of ``attach``. Count a table that is
-expensive to derive only after it was written.
-``attach`` joins a derived table with one row per key; it never counts up front.
+Both forms are plain joins, so that statistics decide: a small side is broadcast under the session's
+threshold, and otherwise the adaptive skew join splits the partitions of a hot key. Nothing is counted
+while a query is built, and no key is left out.
 """
 
 from __future__ import annotations
@@ -11,73 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a configuration table; their strings are validated to at most 255 characters.
-BROADCAST_ROWS = 100_000
-# A key with more rows than this is split over salts.
-HOT_ROWS = 5_000_000
-# The heaviest keys are broadcast to the facts, at most this many; a key behind them holds
-# less than 1 / HOT_KEYS of all rows and is joined like any other.
-HOT_KEYS = 20_000
 
-
-def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return dim.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup(
-    facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a configuration table that has few rows per key."""
-    if fits_broadcast(dim, max_rows):
-        return facts.join(F.broadcast(dim), on, how)
-    return attach(facts, dim, on, how)
-
+    return facts.join(dim, on, how)
 
-def attach(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: list[str],
-    how: str = "left",
-    weights: DataFrame | None = None,
-    extra: Column | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join ``dim`` to ``facts``; rows of a hot key are spread over salts, and only its dim rows are copied.
 
-    The number of fact rows per key comes from a column ``n_rows`` of ``dim`` (dropped here) or from
-    ``weights`` (the keys and ``n_rows``); without either the facts are counted.
-    ``extra`` is a further condition over the columns of both sides.
-    """
-    own = "n_rows" in dim.columns
-    if weights is None:
-        weights = dim if own else facts.groupBy(*on).agg(F.count("*").alias("n_rows"))
-    parts = F.ceil(F.col("n_rows") / hot_rows).cast("int")
-    hot = F.broadcast(
-        weights.filter(F.col("n_rows") > hot_rows)
-        .orderBy(F.desc("n_rows"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, parts.alias("_salts"))
-    )
-    spread = [F.col(c) for c in facts.columns if c not in on]
-    left = (
-        facts.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_salts").isNull(), 0)
-            .otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")))
-            .cast("int"),
-        )
-        .drop("_salts")
-    )
-    # a dim row has every salt its facts can have; unused copies match nothing
-    counted = dim.withColumn("_salts", parts).drop("n_rows") if own else dim.join(hot, on, "left")
-    copies = F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("_salts"), F.lit(1)), F.lit(1)) - 1)
-    right = counted.withColumn("_salt", F.explode(copies)).drop("_salts")
-    keys = on + ["_salt"]
+def attach(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left", extra: Column | None = None) -> DataFrame:
+    """Join a derived table; ``extra`` is a further condition over the columns of both sides."""
     if extra is None:
-        return left.join(right, keys, how).drop("_salt")
-    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+        return facts.join(dim, on, how)
+    right = dim.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in dim.columns])
     condition = extra
-    for c in keys:
+    for c in on:
         condition = condition & (F.col(c) == F.col(f"_r_{c}"))
-    return left.join(right, condition, how).drop("_salt", *[f"_r_{c}" for c in keys])
+    return facts.join(right, condition, how).drop(*[f"_r_{c}" for c in on])

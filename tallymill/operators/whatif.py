@@ -334,10 +334,9 @@ def item_segments(changes: DataFrame, months: DataFrame) -> DataFrame:
 def split_by_item(usage: DataFrame, changes: DataFrame) -> DataFrame:
     """Usage per customer, metric, month and the item that was active at the time; before the first change, none."""
     keys = ["customer_ref", "period_start"]
-    weights = usage.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    segments = item_segments(changes, weights.select(*keys))
+    segments = item_segments(changes, usage.select(*keys).distinct())
     inside = (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("valid_to"))
-    placed = attach(usage, segments, keys, "left", weights=weights, extra=inside)
+    placed = attach(usage, segments, keys, "left", extra=inside)
     return placed.groupBy("customer_ref", "metric", "period_start", "item").agg(
         F.sum("quantity").cast(SUM).alias("agg_sum"), F.count("*").alias("n_events")
     )
