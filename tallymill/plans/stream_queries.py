@@ -22,7 +22,6 @@ _RULES = [
     (f"r{i}", tenant, None, metric, "threshold", limit, "email", "{}", True)
     for i, (tenant, metric, limit) in enumerate([("t0", "click", "100"), ("t1", None, "500"), ("t2", "view", "1000")])
 ]
-_runs: dict[tuple, ingest.Store] = {}
 
 
 def _parts(spark, folder):
@@ -34,20 +33,15 @@ def _parts(spark, folder):
     yield rows.filter(F.col("batch_id") > high)
 
 
-def _ingested(spark, folder) -> ingest.Store:
-    """Feeds the arrivals in three parts; each run of the stream picks up what is new. Runs once per session."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _runs:
-        store = ingest.Store(work.new_folder(spark, "stream")).prepare(spark)
-        source, checkpoint = store.path("source"), store.path("checkpoint")
-        rules = T.frame(spark, _RULES, schemas.ALERT_CONFIGS)
-        for part in _parts(spark, folder):
-            part.select(*_COLUMNS).write.mode("append").parquet(source)
-            stream = files.read_event_stream(spark, source, _ARRIVALS, 1_000_000)
-            run = ingest.start_ingest(stream, store, checkpoint, T.now(), alert_configs=rules)
-            run.awaitTermination()
-        _runs[key] = store
-    return _runs[key]
+def _ingested(spark, folder, **options) -> ingest.Store:
+    """Feeds the arrivals in three parts; each run of the stream picks up what is new."""
+    store = ingest.Store(work.new_folder(spark, "stream")).prepare(spark)
+    source, checkpoint = store.path("source"), store.path("checkpoint")
+    for part in _parts(spark, folder):
+        part.select(*_COLUMNS).write.mode("append").parquet(source)
+        stream = files.read_event_stream(spark, source, _ARRIVALS, 1_000_000)
+        ingest.start_ingest(stream, store, checkpoint, T.now(), **options).awaitTermination()
+    return store
 
 
 cte(
@@ -86,6 +80,33 @@ def stream_adjustments(spark, folder):
     return _ingested(spark, folder).read(spark, "adjustments").select("id", "customer_ref", "metric", "delta")
 
 
+# metrics with a window of their own: hours by metric, 48 for all others
+_HOURS = {"click": 12, "view": 96}
+cte(
+    "stream_classed_by_metric",
+    """
+    SELECT r.*, CASE WHEN prior IS NULL THEN 'first'
+                     WHEN ts < prior - (CASE metric WHEN 'click' THEN INTERVAL 12 HOUR WHEN 'view' THEN INTERVAL 96 HOUR ELSE INTERVAL 48 HOUR END)
+                     THEN 'very_late' ELSE 'accepted' END AS lateness_class
+    FROM stream_rows r JOIN stream_marks USING (tenant_id, metric, customer_ref, period_start, part)
+    """,
+)
+
+
+@query(
+    "stream_adjustments_by_metric",
+    sql(
+        "SELECT 'late:' || idempotency_key AS id, customer_ref, metric, quantity AS delta FROM stream_classed_by_metric WHERE lateness_class = 'very_late'"
+    ),
+)
+def stream_adjustments_by_metric(spark, folder):
+    own = F.lit(48)
+    for metric, window in _HOURS.items():
+        own = F.when(F.col("metric") == metric, window).otherwise(own)
+    lateness = F.make_dt_interval(F.lit(0), own)
+    return _ingested(spark, folder, lateness=lateness).read(spark, "adjustments").select("id", "customer_ref", "metric", "delta")
+
+
 @query(
     "stream_counters",
     sql(
@@ -121,7 +142,8 @@ def stream_counters(spark, folder):
 )
 def stream_alerts(spark, folder):
     """The batch in which each rule fired; the cooldown keeps the later ones silent."""
-    fired = _ingested(spark, folder).read(spark, "alerts")
+    rules = T.frame(spark, _RULES, schemas.ALERT_CONFIGS)
+    fired = _ingested(spark, folder, alert_configs=rules).read(spark, "alerts")
     return fired.groupBy("alert_config_id").agg(F.min("batch_no").alias("first_batch"))
 
 
@@ -151,10 +173,10 @@ def _plain_stream(spark, folder):
     return files.read_event_stream(spark, source, schema, 3)
 
 
-def _latest(spark, stream, keys):
-    path = work.new_folder(spark, "latest")
-    windows.keep_latest(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return windows.read_latest(spark, f"{path}/rows", keys)
+def _merged(spark, stream, partial, keys, **how):
+    path = work.new_folder(spark, "partials")
+    windows.keep_partials(stream, partial, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return windows.merge_partials(spark, f"{path}/rows", keys, **how)
 
 
 @query(
@@ -162,22 +184,30 @@ def _latest(spark, stream, keys):
     sql(f"SELECT {_window('5 minutes')} AS window_start, {_window('5 minutes')} + INTERVAL 5 MINUTE AS window_end, metric, count(*) AS n_events FROM plain GROUP BY ALL"),
 )
 def stream_event_counts(spark, folder):
-    counts = windows.event_counts(_plain_stream(spark, folder), "5 minutes", "60 days")
-    return _latest(spark, counts, ["window_start", "window_end", "metric"])
+    keys = ["window_start", "window_end", "metric"]
+    return _merged(spark, _plain_stream(spark, folder), windows.event_counts, keys, add=("n_events",))
 
 
-@query(
-    "stream_usage_windows",
-    sql(
-        f"""
-        SELECT {_window('1 day')} AS window_start, tenant_id, metric, customer_ref, CAST(sum(quantity) AS DECIMAL(38,6)) AS agg_sum,
-               CAST(max(quantity) AS DECIMAL(20,6)) AS agg_max, count(*) AS n_events FROM plain GROUP BY ALL
-        """
-    ),
-)
-def stream_usage_windows(spark, folder):
-    usage = windows.usage_windows(_plain_stream(spark, folder), "1 day", "60 days")
-    return _latest(spark, usage, ["window_start", "tenant_id", "metric", "customer_ref"])
+def _usage_windows(size):
+    def build(spark, folder):
+        return _merged(
+            spark, _plain_stream(spark, folder), lambda batch: windows.usage_windows(batch, size),
+            ["window_start", "tenant_id", "metric", "customer_ref"], add=("agg_sum", "n_events"), greatest=("agg_max",),
+        )
+
+    return build
+
+
+for _name, _size in (("stream_usage_windows", "1 day"), ("stream_usage_windows_hour", "1 hour"), ("stream_usage_windows_minute", "1 minute")):
+    query(
+        _name,
+        sql(
+            f"""
+            SELECT {_window(_size)} AS window_start, tenant_id, metric, customer_ref, CAST(sum(quantity) AS DECIMAL(38,6)) AS agg_sum,
+                   CAST(max(quantity) AS DECIMAL(20,6)) AS agg_max, count(*) AS n_events FROM plain GROUP BY ALL
+            """
+        ),
+    )(_usage_windows(_size))
 
 
 @query(
@@ -266,5 +296,8 @@ def billing_state(spark, folder):
 
 @query("stream_billing_state", sql(_STATE))
 def stream_billing_state(spark, folder):
-    states = windows.billing_state(_stage_rows(_plain_stream(spark, folder)))
-    return _latest(spark, states, ["tenant_id", "customer_ref"])
+    marks = _merged(
+        spark, _plain_stream(spark, folder), lambda batch: windows.billing_marks(_stage_rows(batch)),
+        ["tenant_id", "customer_ref"], greatest=("control", "step"),
+    )
+    return windows.state_of_marks(marks)

@@ -4,6 +4,10 @@ Late events must not be lost, and the watermark that decides is one per counter
 stream has no engine watermark: each micro-batch is checked against the tables of the earlier ones.
 Every table is written under ``batch_no=<n>`` with overwrite, so a batch that is run again after a
 failure replaces its own rows, and it reads rows of earlier batches only.
+
+What a batch reads of history is bounded: keys are stored in buckets of their hash, and a batch reads the
+buckets it has keys in; counters are compacted every ``COMPACT_EVERY`` batches, and a batch reads the newest
+snapshot and the few batches since.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.period import hours, period_end, period_start, too_late
 from tallymill.operators import alerts
 from tallymill.operators.counters import apply_adjustments, fold, fold_adjustments
-from tallymill.operators.dedup import insert_if_absent, with_keys
+from tallymill.operators.dedup import first_copies, with_keys
 from tallymill.operators.joins import attach
 from tallymill.operators.pick import first_per_key
 from tallymill.operators.validate import check_ingest, default_source
@@ -30,6 +34,9 @@ _COUNTERS = (
     f"tenant_id string, metric string, customer_ref string, agg_sum {SUM}, agg_max {QTY}, agg_last {QTY}, "
     "watermark_ts timestamp"
 )
+_KEYS = "idempotency_key string"
+KEY_BUCKETS = 64
+COMPACT_EVERY = 16
 _ADJUSTMENTS = (
     "id string, tenant_id string, metric string, customer_ref string, period_start date, "
     f"delta {QTY}, reason string, actor string, status string, parent_adjustment_id string, created_at timestamp"
@@ -40,6 +47,18 @@ _ALERTS = (
 )
 
 
+_MONTH = ["period_start date"]
+#: Columns and folders (below ``batch_no``) of the tables.
+_TABLES = {
+    "ledger": (_LEDGER, _MONTH),
+    "keys": (_KEYS, ["bucket int"]),
+    "counters": (_COUNTERS, _MONTH),
+    "snapshots": (_COUNTERS, _MONTH),
+    "adjustments": (_ADJUSTMENTS, []),
+    "alerts": (_ALERTS, []),
+}
+
+
 class Store(NamedTuple):
     """Tables of one stream, in a folder that all executors share."""
 
@@ -49,21 +68,43 @@ class Store(NamedTuple):
         return f"{self.root}/{table}"
 
     def prepare(self, spark: SparkSession) -> "Store":
-        for table, schema in (("ledger", _LEDGER), ("counters", _COUNTERS), ("adjustments", _ADJUSTMENTS), ("alerts", _ALERTS)):
+        for table, (schema, _) in _TABLES.items():
             spark.createDataFrame([], schema).write.mode("append").parquet(self.path(table))
         return self
 
     def read(self, spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
-        schema = {"ledger": _LEDGER, "counters": _COUNTERS, "adjustments": _ADJUSTMENTS, "alerts": _ALERTS}[table]
-        folders = "batch_no int, period_start date" if table in ("ledger", "counters") else "batch_no int"
+        schema, folder = _TABLES[table]
+        folders = ", ".join(["batch_no int", *folder])
         rows = spark.read.schema(f"{schema}, {folders}").parquet(self.path(table)).filter(F.col("batch_no").isNotNull())
         return rows if before is None else rows.filter(F.col("batch_no") < before)
 
     def write(self, rows: DataFrame, table: str, batch_no: int) -> None:
-        writer = rows.write.mode("overwrite")
-        if table in ("ledger", "counters"):
-            writer = writer.partitionBy("period_start")
-        writer.parquet(f"{self.path(table)}/batch_no={batch_no}")
+        folder = [f.split(" ")[0] for f in _TABLES[table][1]]
+        # rows of one folder meet in one task, so a batch writes one file per folder
+        clustered = rows.repartition(*folder) if folder else rows
+        clustered.write.mode("overwrite").partitionBy(*folder).parquet(f"{self.path(table)}/batch_no={batch_no}")
+
+    def counters(self, spark: SparkSession, before: int) -> DataFrame:
+        """Newest row per key before a batch: the last snapshot and the log since."""
+        through = before // COMPACT_EVERY * COMPACT_EVERY
+        log = self.read(spark, "counters", before).filter(F.col("batch_no") >= through)
+        if through:
+            log = log.unionByName(self.read(spark, "snapshots").filter(F.col("batch_no") == through - 1))
+        return latest_counters(log)
+
+    def compact(self, spark: SparkSession, batch_no: int) -> None:
+        """After every ``COMPACT_EVERY`` batches, one row per key up to here."""
+        if (batch_no + 1) % COMPACT_EVERY == 0:
+            through = (batch_no + 1) - COMPACT_EVERY
+            log = self.read(spark, "counters", batch_no + 1).filter(F.col("batch_no") >= through)
+            if through:
+                log = log.unionByName(self.read(spark, "snapshots").filter(F.col("batch_no") == through - 1))
+            self.write(latest_counters(log), "snapshots", batch_no)
+
+    def last_batch(self, spark: SparkSession) -> int:
+        """Number of the newest batch, -1 if there is none."""
+        newest = self.read(spark, "counters").agg(F.max("batch_no").alias("n")).first()["n"]
+        return -1 if newest is None else newest
 
 
 def latest_counters(log: DataFrame) -> DataFrame:
@@ -96,36 +137,22 @@ def ingest_batch(
     lateness: Column | None = None,
     late_status: str = "approved",
     alert_configs: DataFrame | None = None,
-    generated_keys_only: bool = False,
 ) -> None:
-    """One micro-batch: check, key, deduplicate against the ledger, route late events, advance counters, alert.
-
-    A generated key holds the event time, so its copies are in the same month. When no sender gives keys,
-    ``generated_keys_only`` reads the ledger keys of the months of the batch instead of all.
-    """
+    """One micro-batch: check, key, deduplicate against all earlier keys, route late events, advance counters, alert."""
     spark = arrivals.sparkSession
     lateness = hours(48) if lateness is None else lateness
     checked = default_source(with_keys(check_ingest(arrivals, now)), "http").filter(F.col("error").isNull())
-    known = store.read(spark, "ledger", before=batch_no)
-    if generated_keys_only:
-        month = period_start(F.col("ts"))
-        first, last = checked.agg(F.min(month), F.max(month)).first()
-        known = known.filter(F.col("period_start").between(F.lit(first), F.lit(last)))
-    known = known.select("idempotency_key")
-    new = insert_if_absent(checked.drop("error"), known, ["inserted_at", "seq"]).withColumn(
-        "period_start", period_start(F.col("ts"))
-    )
-    # the new events are written once here and read by all steps below
-    staged = f"{store.root}/staged/batch_no={batch_no}"
-    new.write.mode("overwrite").parquet(staged)
-    new = spark.read.schema(new.schema).parquet(staged)
-
-    counts = new.groupBy(*CKEY).agg(F.count("*").alias("n_rows"))
-    before = latest_counters(
-        store.read(spark, "counters", before=batch_no).join(counts.select(*CKEY), CKEY, "left_semi")
-    )
+    bucket = F.pmod(F.xxhash64("idempotency_key"), F.lit(KEY_BUCKETS)).cast("int")
+    first = first_copies(checked.drop("error"), ["inserted_at", "seq"])
+    first = _staged(first.withColumns({"period_start": period_start(F.col("ts")), "bucket": bucket}), store, "first", batch_no)
+    buckets = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # KEY_BUCKETS rows at most
+    known = store.read(spark, "keys", before=batch_no).filter(F.col("bucket").isin(buckets)).select("bucket", "idempotency_key")
+    new = _staged(first.join(known, ["bucket", "idempotency_key"], "left_anti"), store, "new", batch_no)
+    store.write(new.select("idempotency_key", "bucket"), "keys", batch_no)
+
+    before = store.counters(spark, batch_no).join(new.select(*CKEY).distinct(), CKEY, "left_semi")
     marks = before.select(*CKEY, F.col("watermark_ts").alias("prior_watermark"))
-    classed = attach(new, marks, CKEY, "left", weights=counts).withColumn(
+    classed = attach(new, marks, CKEY, "left").withColumn(
         "lateness_class",
         F.when(F.col("prior_watermark").isNull(), "first")
         .when(too_late(F.col("ts"), F.col("prior_watermark"), lateness), "very_late")
@@ -147,6 +174,7 @@ def ingest_batch(
     )
     store.write(adjustments, "adjustments", batch_no)
     store.write(merge_counters(before, fold(written.filter(~late), CKEY)), "counters", batch_no)
+    store.compact(spark, batch_no)
     if alert_configs is not None:
         # the month of ``now``, so only the folders of two months are read
         found = alerts.evaluate(alert_configs, current_counters(spark, store, batch_no), F.trunc(now, "MM"))
@@ -156,12 +184,19 @@ def ingest_batch(
 
 def current_counters(spark: SparkSession, store: Store, through: int | None = None) -> DataFrame:
     """Counters of all batches so far, with the approved late adjustments."""
-    before = None if through is None else through + 1
-    counters = latest_counters(store.read(spark, "counters", before))
-    folded = fold_adjustments(store.read(spark, "adjustments", before))
+    through = store.last_batch(spark) if through is None else through
+    counters = store.counters(spark, through + 1)
+    folded = fold_adjustments(store.read(spark, "adjustments", through + 1))
     return apply_adjustments(counters.withColumn("period_end", period_end(F.col("period_start"))), folded)
 
 
+def _staged(rows: DataFrame, store: Store, step: str, batch_no: int) -> DataFrame:
+    """Written once and read by all later steps of the batch."""
+    path = f"{store.root}/staged/{step}/batch_no={batch_no}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def start_ingest(stream: DataFrame, store: Store, checkpoint: str, now: Column, **options):
     """Runs the micro-batches over what has arrived; start it again for later arrivals."""
 

@@ -1,28 +1,29 @@
-"""Tumbling windows and states that merge, for batch frames and streams alike."""
+"""Tumbling windows and states that merge, for batch frames and streams alike.
+
+On a stream, every micro-batch writes its own partial results (``keep_partials``) and a read adds them up: rows may
+come as late as they like, none is dropped behind an engine watermark, and no state is held.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators.pick import first_per_key
 from tallymill.schemas import QTY, SUM
 
 # Stages of a customer's billing state.
 STAGES = ["active", "past_due", "email_sent", "retry_scheduled", "blocked", "recovered"]
 
 
-def event_counts(events: DataFrame, size: str = "5 minutes", delay: str | None = None) -> DataFrame:
-    """Events per metric and window; ``delay`` sets the engine watermark of a stream."""
-    rows = events if delay is None else events.withWatermark("ts", delay)
-    counted = rows.groupBy(F.window("ts", size), "metric").agg(F.count("*").alias("n_events"))
+def event_counts(events: DataFrame, size: str = "5 minutes") -> DataFrame:
+    """Events per metric and window."""
+    counted = events.groupBy(F.window("ts", size), "metric").agg(F.count("*").alias("n_events"))
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "metric", "n_events")
 
 
-def usage_windows(events: DataFrame, size: str, delay: str | None = None) -> DataFrame:
+def usage_windows(events: DataFrame, size: str) -> DataFrame:
     """Usage per counter key and window."""
-    rows = events if delay is None else events.withWatermark("ts", delay)
-    summed = rows.groupBy(F.window("ts", size), "tenant_id", "metric", "customer_ref").agg(
+    summed = events.groupBy(F.window("ts", size), "tenant_id", "metric", "customer_ref").agg(
         F.sum("quantity").cast(SUM).alias("agg_sum"),
         F.max("quantity").cast(QTY).alias("agg_max"),
         F.count("*").alias("n_events"),
@@ -60,43 +61,57 @@ def arrival_lag(events: DataFrame, size: str = "5 minutes", exact: bool = False)
     )
 
 
-def billing_state(stages: DataFrame) -> DataFrame:
-    """Current state per customer from rows (tenant_id, customer_ref, ts, id, stage).
+def billing_marks(stages: DataFrame) -> DataFrame:
+    """The newest opening or closing row and the newest other row per customer, each as one number.
 
-    ``past_due`` opens an episode and ``recovered`` closes it; the other stages count only while one is open.
-    So the state follows from the last opening or closing and the last other stage: two maxima,
-    which combine before the shuffle and serve as the state of a stream.
+    Microseconds, id and stage make a number of fixed width, so this is a hash aggregate, and two results merge by
+    their maxima. Ids are whole numbers below 10^18.
     """
+    stage = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    moment = F.unix_micros("ts").cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)")
+    code = (moment + F.col("id").cast("decimal(18,0)") * 10 + stage).cast("decimal(38,0)")
     opens = F.col("stage").isin("past_due", "recovered")
-    moment = F.struct("ts", "id", "stage")
-    last = stages.groupBy("tenant_id", "customer_ref").agg(
-        F.max(F.when(opens, moment)).alias("_control"), F.max(F.when(~opens, moment)).alias("_step")
+    return stages.groupBy("tenant_id", "customer_ref").agg(
+        F.max(F.when(opens, code)).alias("control"), F.max(F.when(~opens, code)).alias("step")
     )
-    after = F.struct("_step.ts", "_step.id") > F.struct("_control.ts", "_control.id")
+
+
+def state_of_marks(marks: DataFrame) -> DataFrame:
+    """Current state per customer.
+
+    ``past_due`` opens an episode and ``recovered`` closes it; the other stages count only while one is open.
+    So the state follows from the last opening or closing and the last other stage.
+    """
+    names = F.array(*[F.lit(s) for s in STAGES])
+    stage = lambda c: F.element_at(names, (F.col(c) % 10).cast("int"))
     state = (
-        F.when(F.col("_control").isNull(), "active")
-        .when(F.col("_control.stage") == "recovered", "recovered")
-        .when(F.coalesce(after, F.lit(False)), F.col("_step.stage"))
+        F.when(F.col("control").isNull(), "active")
+        .when(stage("control") == "recovered", "recovered")
+        .when(F.coalesce(F.col("step") > F.col("control"), F.lit(False)), stage("step"))
         .otherwise("past_due")
     )
-    return last.select("tenant_id", "customer_ref", state.alias("state"), F.col("_control.ts").alias("since"))
+    since = F.timestamp_micros(F.floor(F.col("control") / F.lit(str(10**19)).cast("decimal(20,0)")).cast("bigint"))
+    return marks.select("tenant_id", "customer_ref", state.alias("state"), since.alias("since"))
+
+
+def billing_state(stages: DataFrame) -> DataFrame:
+    """State per customer from rows (tenant_id, customer_ref, ts, id, stage)."""
+    return state_of_marks(billing_marks(stages))
 
 
-def keep_latest(stream: DataFrame, path: str, checkpoint: str):
-    """Writes the changed rows of each trigger (update mode) under ``batch_no=<n>``."""
+def keep_partials(stream: DataFrame, partial, path: str, checkpoint: str):
+    """Writes ``partial(batch)``, an aggregate of the micro-batch alone, under ``batch_no=<n>``."""
 
     def step(batch: DataFrame, batch_no: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_no={batch_no}")
+        partial(batch).write.mode("overwrite").parquet(f"{path}/batch_no={batch_no}")
 
-    return (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest row per key of what ``keep_latest`` wrote."""
-    return first_per_key(spark.read.parquet(path), keys, [F.desc("batch_no")]).drop("batch_no")
+def merge_partials(spark: SparkSession, path: str, keys: list[str], add: tuple[str, ...] = (), greatest: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key of what ``keep_partials`` wrote: sums of ``add``, maxima of ``greatest``."""
+    rows = spark.read.parquet(path)
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*keys).agg(
+        *[F.sum(c).cast(kinds[c]).alias(c) for c in add], *[F.max(c).alias(c) for c in greatest]
+    )
