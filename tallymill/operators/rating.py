@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymill.functions import money
@@ -10,7 +11,6 @@ from tallymill.operators.counters import measure
 from tallymill.operators.joins import lookup
 from tallymill.operators.prefix import prefix_totals
 from tallymill.schemas import MONEY, PRICE_CONFIG, RATED_QTY, SUM
-from tallymill.sources.work import settle
 
 INVOICE = ["tenant_id", "customer_ref", "period_start"]
 
@@ -88,13 +88,36 @@ def commitment_credit(subtotals: DataFrame, active: DataFrame, invoice: list[str
 def valid_credits(credits: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
     """``credit_amount`` per period: credits without expiry, or expiring on or after the period end.
 
-    Credits are summed per customer and expiry day first, so the range join meets days, not credits.
+    Credits are summed per customer and expiry day first; days and period ends then stand in one order per
+    customer, and a running sum from the latest day on gives what is still valid. A customer has as many rows there
+    as calendar days, whatever the number of credits.
     """
-    by_day = credits.groupBy(*keys, "expires_on").agg(F.sum("amount").cast(SUM).alias("_amount"))
-    matched = periods.join(by_day, keys).filter(
-        F.col("expires_on").isNull() | (F.col("expires_on") >= F.col("period_end"))
+    day = F.coalesce(F.col("expires_on"), F.lit("9999-12-31").cast("date"))
+    by_day = credits.groupBy(*keys, day.alias("_day")).agg(F.sum("amount").cast(SUM).alias("_amount"))
+    ends = periods.select(*keys, F.col("period_end").alias("_day"), "period_start", F.lit(None).cast(SUM).alias("_amount"))
+    marked = by_day.withColumn("period_start", F.lit(None).cast("date")).unionByName(ends)
+    # of equal days the credits come first: a credit is valid on the day it expires
+    later = W.partitionBy(*keys).orderBy(F.desc("_day"), F.col("period_start").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        marked.withColumn("credit_amount", F.sum("_amount").over(later).cast(SUM))
+        .filter(F.col("period_start").isNotNull() & F.col("credit_amount").isNotNull())
+        .select(*keys, "period_start", "credit_amount")
     )
-    return matched.groupBy(*keys, "period_start").agg(F.sum("_amount").cast(SUM).alias("credit_amount"))
+
+
+def first_currency() -> Column:
+    """Aggregate: the currency of the line with the least position, as one number; see ``currency_text``.
+
+    Eight bytes of the currency behind the position: a text in the state would turn the aggregate into a sort.
+    """
+    text = F.rpad(F.col("price_config.currency"), 8, " ").cast("binary")
+    code = F.conv(F.hex(text), 16, 10).cast("decimal(20,0)")
+    return F.min((F.col("position").cast("decimal(17,0)") * F.lit(str(10**20)).cast("decimal(21,0)") + code).cast("decimal(38,0)"))
+
+
+def currency_text(code: Column) -> Column:
+    low = (code % F.lit(str(10**20)).cast("decimal(21,0)")).cast("decimal(20,0)").cast("string")
+    return F.rtrim(F.unhex(F.conv(low, 10, 16)).cast("string"))
 
 
 def invoice_totals(headers: DataFrame) -> DataFrame:
@@ -124,20 +147,19 @@ def invoices(
     tax_rate: Column | float = 0,
     invoice: list[str] | None = None,
 ) -> DataFrame:
-    """One invoice per group of rated lines (``period_end`` and ``position`` included).
+    """One invoice per group of rated lines (``period_end`` and ``position``, a whole number, included).
 
-    Commitments and credits belong to the customer columns of the invoice keys. With either, the sums per
-    invoice are written to the work folder first: they are needed up to three times, the lines once.
+    Commitments and credits belong to the customer columns of the invoice keys. All uses of the sums per invoice
+    share one shuffle of the lines' partial sums.
     """
     invoice = invoice or INVOICE
     customer = [c for c in invoice if c != "period_start"]
     heads = lines.groupBy(*invoice, "period_end").agg(
         F.sum("subtotal").cast(SUM).alias("subtotal"),
-        F.min_by("price_config.currency", "position").alias("currency"),
+        first_currency().alias("_currency"),
         F.count("*").alias("n_lines"),
     )
-    if commitments is not None or credits is not None:
-        heads = settle(heads, "invoice-heads")
+    heads = heads.withColumn("currency", currency_text(F.col("_currency"))).drop("_currency")
     periods = heads.select(*invoice, "period_end")
     if commitments is None:
         heads = heads.withColumn("commitment_credit", F.lit(0).cast(SUM))

@@ -53,27 +53,27 @@ def _register_model(metric: str, model: str, total) -> None:
         f"rate_{model}",
         sql(
             f"""
-            SELECT tenant_id, customer_ref, quantity, CAST(CASE '{model}'
+            SELECT tenant_id, customer_ref, metric, quantity, CAST(CASE '{model}'
                 WHEN 'flat' THEN round(quantity * p.unit_price, 2)
                 WHEN 'package' THEN round(CAST(ceil(quantity / p.package_size) AS DECIMAL(18,0)) * p.unit_price, 2)
                 ELSE t.total END AS DECIMAL(38,2)) AS total
-            FROM usage_events u JOIN price_table p USING (metric) LEFT JOIN (
-              SELECT tenant_id, customer_ref, round(CASE '{model}' WHEN 'volume' THEN
+            FROM usage_events u CROSS JOIN (SELECT * EXCLUDE (metric) FROM price_table WHERE metric = '{metric}') p LEFT JOIN (
+              SELECT tenant_id, customer_ref, metric, round(CASE '{model}' WHEN 'volume' THEN
                        max(quantity) * coalesce(arg_min(unit_price, pos) FILTER (WHERE high IS NULL OR quantity <= high),
                                                 arg_max(unit_price, pos))
                      ELSE sum(units * unit_price + CASE WHEN '{model}' = 'graduated' AND units > 0 THEN flat_price ELSE 0 END) END, 2) AS total
-              FROM (SELECT u.*, t.* EXCLUDE (metric),
+              FROM (SELECT u.*, t.*,
                       CAST(greatest(0, least(quantity, coalesce(high, quantity)) - low) AS DECIMAL(24,6)) AS units
-                    FROM usage_events u JOIN tier_table t USING (metric) WHERE metric = '{metric}')
-              GROUP BY ALL) t USING (tenant_id, customer_ref)
-            WHERE metric = '{metric}'
+                    FROM usage_events u CROSS JOIN (SELECT * EXCLUDE (metric) FROM tier_table WHERE metric = '{metric}') t)
+              GROUP BY ALL) t USING (tenant_id, customer_ref, metric)
             """
         ),
     )
     def rate(spark, folder):
-        usage = event_usage(spark, folder).filter(F.col("metric") == metric)
-        rows = rating.priced(usage, T.price_configs(spark))
-        return rows.select(*CUSTOMER, "quantity", total(F.col("quantity"), F.col("price_config")).alias("total"))
+        """All usage rows under the model's one price."""
+        price = T.price_configs(spark).filter(F.col("metric") == metric).select("price_config").scalar()
+        rows = event_usage(spark, folder).withColumn("price_config", price)
+        return rows.select(*CUSTOMER, "metric", "quantity", total(F.col("quantity"), F.col("price_config")).alias("total"))
 
 
 _register_model("click", "tiered", lambda q, p: money.tiered_total(q, p["tiers"]))
@@ -253,7 +253,7 @@ def invoices(spark, folder):
     """Monthly invoices of all customers with commitments, credits and 8.25 % tax."""
     lines = rating.rate_lines(rating.priced(shipment_usage(spark, folder), T.price_configs(spark, T.FLAGS)))
     return rating.invoices(
-        lines.withColumn("position", F.col("metric")), commitments(spark, folder), credits(spark, folder), 8.25
+        lines.withColumn("position", F.ascii("metric")), commitments(spark, folder), credits(spark, folder), 8.25
     )
 
 
