@@ -41,7 +41,7 @@ def create(requests: DataFrame, actor: str, now: Column) -> tuple[DataFrame, Dat
     empty = lambda kind: F.lit(None).cast(kind)
     rows = good.select(
         "id", "tenant_id", "metric", "customer_ref",
-        F.to_date("period_start").alias("period_start"),
+        F.try_to_date("period_start").alias("period_start"),
         F.col("delta").cast(QTY).alias("delta"),
         "reason",
         F.lit(f"api:{actor}").alias("actor"),
@@ -122,14 +122,14 @@ def revert(requests: DataFrame, rows: DataFrame, now: Column) -> tuple[DataFrame
     return updated.select(*_ROW), reversal.select(*_ROW), _outcome(found, outcome), audit(changed, "revert", by, now)
 
 
-def bulk_approve(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """``applied`` and ``failed`` of a list of suggested ids; unknown and non-pending ids fail."""
-    pending = rows.filter(F.col("status") == "pending").select("id", F.lit(True).alias("_pending"))
-    return (
-        ids.distinct()
-        .join(pending, "id", "left")
-        .agg(F.count_if(F.col("_pending")).alias("applied"), F.count_if(F.col("_pending").isNull()).alias("failed"))
-    )
+def bulk_approve(requests: DataFrame, rows: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Approves a list of suggestions (id, tenant_id, requested_by): new versions, outcome per request, audit rows.
+
+    A request is ``applied`` if its tenant has a pending row of that id, and ``failed`` otherwise.
+    """
+    updated, outcomes, audited = approve(requests, rows, now)
+    applied = F.when(F.col("outcome") == "approved", "applied").otherwise("failed")
+    return updated, outcomes.withColumn("outcome", applied), audited
 
 
 def list_adjustments(

@@ -124,6 +124,45 @@ def reports(local: DataFrame, billed: DataFrame, mappings: DataFrame, epsilon: f
     )
 
 
+_WHOLE = "decimal(38,0)"
+_DIGITS = 10**6
+
+
+def _micros(c: Column) -> Column:
+    return (c * 1000000).cast(_WHOLE)
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """Whole part of a quotient of whole numbers; the engine's division rounds its last digit."""
+    near = F.floor(a / b).cast(_WHOLE)
+    return F.when((near * b).cast(_WHOLE) > a, near - 1).otherwise(near).cast(_WHOLE)
+
+
+def share_of(gap: Column, part: Column, total: Column) -> Column:
+    """``gap * part / total`` to millionths, half up, without a product of more than 38 digits.
+
+    ``part`` is taken in digits of six places, as in long division, so totals may have 25 digits before the point.
+    """
+    places = [F.lit(str(10 ** (6 * k))).cast(_WHOLE) for k in range(5, -1, -1)]
+    wanted, each, whole = _micros(gap), _micros(part), _micros(total)
+    turns = _quotient(wanted, whole)
+    rest = (wanted - turns * whole).cast(_WHOLE)
+    digits = F.array(*[(_quotient(each, p) % F.lit(_DIGITS).cast(_WHOLE)).cast(_WHOLE) for p in places])
+    begin = F.struct(F.lit(0).cast(_WHOLE).alias("done"), F.lit(0).cast(_WHOLE).alias("left"))
+
+    def step(state, digit):
+        shifted = (state["left"] * F.lit(_DIGITS).cast("decimal(7,0)") + rest * digit).cast(_WHOLE)
+        got = _quotient(shifted, whole)
+        done = (state["done"] * F.lit(_DIGITS).cast("decimal(7,0)") + got).cast(_WHOLE)
+        return F.struct(done.alias("done"), (shifted - got * whole).cast(_WHOLE).alias("left"))
+
+    def finish(state):
+        up = F.when((state["left"] * 2).cast(_WHOLE) >= whole, 1).otherwise(0)
+        return (state["done"] + turns * each + up).cast(_WHOLE)
+
+    return (F.aggregate(digits, begin, step, finish) * F.lit("0.000001").cast("decimal(6,6)")).cast(SUM)
+
+
 def suggestions(found: DataFrame, customers: DataFrame) -> DataFrame:
     """Pending corrections where more was billed than used, split over customers by their share.
 
@@ -131,13 +170,14 @@ def suggestions(found: DataFrame, customers: DataFrame) -> DataFrame:
     """
     keys = ITEM + ["metric"]
     missing = found.filter((F.col("status") == "investigate") & (F.col("stripe_total") > F.col("local_total")))
-    counts = customers.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    per_item = missing.select(*keys, "local_total", (F.col("stripe_total") - F.col("local_total")).cast("decimal(20,6)").alias("_gap"))
-    per_item = per_item.join(counts, keys).withColumn("_customers", F.col("n_rows"))
-    spread = attach(customers, per_item, keys, "inner", weights=counts)
-    by_share = (F.col("_gap") * F.col("quantity").cast("decimal(18,6)")) / F.col("local_total")
-    evenly = F.col("_gap") / F.col("_customers")
-    delta = F.when(F.col("local_total") > 0, by_share.cast("decimal(20,6)")).otherwise(evenly.cast("decimal(20,6)"))
+    counts = customers.groupBy(*keys).agg(F.count("*").alias("_customers"))
+    per_item = missing.select(*keys, "local_total", (F.col("stripe_total") - F.col("local_total")).cast(SUM).alias("_gap"))
+    per_item = per_item.join(counts, keys)
+    spread = attach(customers, per_item, keys, "inner")
+    one = F.lit(1).cast(SUM)
+    delta = F.when(
+        F.col("local_total") > 0, share_of(F.col("_gap"), F.col("quantity"), F.col("local_total"))
+    ).otherwise(share_of(F.col("_gap"), one, F.col("_customers").cast(SUM)))
     return (
         spread.withColumn("delta", delta)
         .filter(F.col("delta") > F.lit("0.01").cast("decimal(4,2)"))
@@ -175,9 +215,12 @@ def local_exceeds(found: DataFrame) -> DataFrame:
     )
 
 
-def run_metrics(found: DataFrame) -> DataFrame:
+def run_metrics(found: DataFrame, started: Column, ended: Column) -> DataFrame:
+    """Numbers of a run and its duration in seconds."""
     return found.agg(
-        F.count("*").alias("reports"), F.count_if(F.col("status") == "investigate").alias("investigating")
+        F.count("*").alias("reports"),
+        F.count_if(F.col("status") == "investigate").alias("investigating"),
+        F.max(F.unix_timestamp(ended) - F.unix_timestamp(started)).alias("duration_seconds"),
     )
 
 

@@ -112,7 +112,8 @@ def validate_adjustments(df: DataFrame, max_delta: float = 1_000_000) -> DataFra
             _text("metric", 1, 100),
             _text("customer_ref", 1, 255),
             F.when(
-                ~F.coalesce(F.col("period_start").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)),
+                ~F.coalesce(F.col("period_start").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+                | F.try_to_date("period_start").isNull(),
                 F.lit("period_start: must be YYYY-MM-DD"),
             ),
             F.when(~F.coalesce(F.abs("delta") <= max_delta, F.lit(False)), F.lit(DELTA_MESSAGE)),

@@ -7,10 +7,13 @@ import re
 from tallymill.plans import tables
 
 _CTES: dict[str, str] = {}
+_MATERIALIZED: set[str] = set()
 
 
-def cte(name: str, text: str) -> None:
+def cte(name: str, text: str, materialized: bool = False) -> None:
     _CTES[name] = text
+    if materialized:
+        _MATERIALIZED.add(name)
 
 
 def sql(body: str) -> str:
@@ -28,7 +31,8 @@ def sql(body: str) -> str:
     need(body)
     if not needed:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_CTES[n]})" for n in needed) + "\n" + body
+    parts = [f"{n} AS {'MATERIALIZED ' if n in _MATERIALIZED else ''}({_CTES[n]})" for n in needed]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
 def literal(value) -> str:

@@ -230,12 +230,29 @@ def adjustments_latest(spark, folder):
     sql(
         """
         SELECT count(*) FILTER (WHERE status = 'pending') AS applied, count(*) FILTER (WHERE status IS DISTINCT FROM 'pending') AS failed
-        FROM (SELECT DISTINCT id FROM asked) LEFT JOIN adjustments USING (id)
+        FROM (SELECT DISTINCT id, tenant_id FROM asked) LEFT JOIN adjustments USING (id, tenant_id)
         """
     ),
 )
 def bulk_approve(spark, folder):
-    return A.bulk_approve(_asked(spark, folder).select("id"), adjustments(spark, folder))
+    outcomes = A.bulk_approve(_asked(spark, folder), adjustments(spark, folder), now())[1]
+    return outcomes.agg(
+        F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "failed").alias("failed")
+    )
+
+
+@query(
+    "bulk_approve_rows",
+    sql(
+        """
+        SELECT a.id, a.tenant_id, 'approved' AS status, a.delta FROM adjustments a
+        WHERE status = 'pending' AND EXISTS (SELECT 1 FROM asked q WHERE q.id = a.id AND q.tenant_id = a.tenant_id)
+        """
+    ),
+)
+def bulk_approve_rows(spark, folder):
+    """The new versions of the approved rows, per tenant."""
+    return A.bulk_approve(_asked(spark, folder), adjustments(spark, folder), now())[0].select("id", "tenant_id", "status", "delta")
 
 
 @query(
@@ -543,7 +560,7 @@ def recon_csv_rows(spark, folder):
         SELECT tenant_id, metric, customer_ref, period_start, subscription_item_id, delta, 'correction' AS reason,
                'system:reconciliation' AS actor, 'pending' AS status
         FROM (SELECT r.*, t.customer_ref,
-                CAST(CAST({half_up(micros("r.stripe_total - r.local_total") + " * " + micros("t.quantity"), micros("r.local_total"))} AS DECIMAL(32,0)) / 1000000 AS DECIMAL(20,6)) AS delta
+                CAST(CAST({half_up(micros("r.stripe_total - r.local_total") + " * " + micros("t.quantity"), micros("r.local_total"))} AS DECIMAL(32,0)) / 1000000 AS DECIMAL(38,6)) AS delta
               FROM reports r JOIN customer_totals t USING (tenant_id, subscription_item_id, period_start, metric)
               WHERE status = 'investigate' AND stripe_total > local_total)
         WHERE delta > 0.01
@@ -585,10 +602,13 @@ def local_exceeds(spark, folder):
 
 @query(
     "recon_run_metrics",
-    sql("SELECT count(*) AS reports, count(*) FILTER (WHERE status = 'investigate') AS investigating FROM reports"),
+    sql(
+        "SELECT count(*) AS reports, count(*) FILTER (WHERE status = 'investigate') AS investigating, "
+        "CASE WHEN count(*) > 0 THEN CAST(95 AS BIGINT) END AS duration_seconds FROM reports"
+    ),
 )
 def recon_run_metrics(spark, folder):
-    return recon.run_metrics(found_reports(spark, folder))
+    return recon.run_metrics(found_reports(spark, folder), now() - F.expr("interval 95 seconds"), now())
 
 
 @query(
@@ -712,23 +732,37 @@ def rules(spark, folder):
     )
 
 
+# usage at the four grains of a rule; an open side has the empty text
+cte(
+    "grain_usage",
+    """
+    SELECT tenant_id, customer_ref AS who, metric AS what, period_start, sum(agg_sum) AS total FROM ship_counters GROUP BY ALL
+    UNION ALL SELECT tenant_id, customer_ref, '', period_start, sum(agg_sum) FROM ship_counters GROUP BY ALL
+    UNION ALL SELECT tenant_id, '', metric, period_start, sum(agg_sum) FROM ship_counters GROUP BY ALL
+    UNION ALL SELECT tenant_id, '', '', period_start, sum(agg_sum) FROM ship_counters GROUP BY ALL
+    """,
+    materialized=True,
+)
 cte(
     "matched_rules",
     """
-    SELECT r.*, c.period_start, CAST(sum(agg_sum) AS DECIMAL(38,6)) AS value
-    FROM rules r JOIN ship_counters c ON c.tenant_id = r.tenant_id
-      AND (r.customer_ref IS NULL OR r.customer_ref = c.customer_ref) AND (r.metric IS NULL OR r.metric = c.metric)
-    WHERE enabled GROUP BY ALL
+    SELECT r.*, u.period_start, CAST(u.total AS DECIMAL(38,6)) AS value,
+           lag(u.period_start) OVER months AS month_before, lag(u.total) OVER months AS value_before
+    FROM rules r JOIN grain_usage u ON u.tenant_id = r.tenant_id AND u.who = coalesce(r.customer_ref, '') AND u.what = coalesce(r.metric, '')
+    WHERE enabled
+    WINDOW months AS (PARTITION BY r.id ORDER BY u.period_start)
     """,
+    materialized=True,
 )
 cte(
     "triggered",
     """
-    SELECT m.* FROM matched_rules m
-    LEFT JOIN matched_rules p ON p.id = m.id AND p.period_start = CAST(m.period_start - INTERVAL 1 MONTH AS DATE)
-    WHERE CASE WHEN m.type = 'spike' THEN p.value > 0 AND CAST(m.value AS DOUBLE) / CAST(p.value AS DOUBLE) >= CAST(m.threshold AS DOUBLE)
-          ELSE m.value >= m.threshold END
+    SELECT * EXCLUDE (month_before, value_before) FROM matched_rules
+    WHERE CASE WHEN type = 'spike' THEN month_before = CAST(period_start - INTERVAL 1 MONTH AS DATE) AND value_before > 0
+                 AND CAST(value AS DOUBLE) / CAST(CAST(value_before AS DECIMAL(38,6)) AS DOUBLE) >= CAST(threshold AS DOUBLE)
+          ELSE value >= threshold END
     """,
+    materialized=True,
 )
 
 
