@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Callable, NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tallymill.operators.counters import affected_keys, build_counters, upsert
 from tallymill.operators.dedup import insert_if_absent
 from tallymill.operators.joins import attach
 from tallymill.schemas import CKEY, OPERATION_STATUSES, SUM
+from tallymill.sources.work import settle
 
 TIMED_OUT = "Operation timed out"
 # rows of an import have no arrival number; equal rows are interchangeable, others are ordered by content
@@ -36,42 +38,43 @@ def filter_backfill(events: DataFrame, customer: str | None, first_day: str, las
     return kept if customer is None else kept.filter(F.col("customer_ref") == customer)
 
 
+def flagged(loaded: DataFrame, first_day: str, last_day: str | None = None, customer: str | None = None) -> DataFrame:
+    """Loaded rows (with ``errors``) and ``wanted``: without errors, of the customer and of the days; keys resolved."""
+    days = in_period(F.col("ts"), F.lit(first_day).cast("date"), F.lit(last_day or first_day).cast("date"))
+    own = F.lit(True) if customer is None else F.col("customer_ref") == customer
+    key = F.coalesce(identity.blank_to_null(F.col("idempotency_key")), identity.idempotency_key())
+    return loaded.withColumn("wanted", F.coalesce((F.size("errors") == 0) & days & own, F.lit(False))).withColumn(
+        "idempotency_key", F.when(F.col("wanted"), key).otherwise(F.col("idempotency_key"))
+    )
+
+
 def backfill(
-    loaded: DataFrame, ledger: DataFrame | None, first_day: str, last_day: str | None = None, customer: str | None = None
+    loaded: DataFrame, ledger: DataFrame | None, first_day: str, last_day: str | None = None, customer: str | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows,
 ) -> Import:
     """Valid rows that pass the filter and are new enter the ledger.
 
     ``loaded`` has ``errors`` per row. Accounting: total rows, processed (inserted), failed (with errors),
     duplicates (passed the filter, but were there already); filtered rows count in the total only.
+    ``keep`` may write a step and read it back: the flagged rows serve all results, the inserted ones two.
     """
-    good = F.size("errors") == 0
-    wanted = filter_backfill(loaded.filter(good).drop("errors"), customer, first_day, last_day)
-    keyed = wanted.withColumn(
-        "idempotency_key", F.coalesce(identity.blank_to_null(F.col("idempotency_key")), identity.idempotency_key())
-    )
-    inserted = insert_if_absent(keyed, ledger, CONTENT_ORDER).withColumn("period_start", period_start(F.col("ts")))
-    zero = F.lit(0).cast("bigint")
-    parts = (
-        loaded.agg(F.count("*").alias("total_events"), F.count_if(~good).alias("failed_events"))
-        .select("total_events", "failed_events", zero.alias("considered"), zero.alias("processed_events"))
-        .unionByName(
-            wanted.agg(F.count("*").alias("considered")).select(
-                zero.alias("total_events"), zero.alias("failed_events"), "considered", zero.alias("processed_events")
-            )
-        )
-        .unionByName(
-            inserted.agg(F.count("*").alias("processed_events")).select(
-                zero.alias("total_events"), zero.alias("failed_events"), zero.alias("considered"), "processed_events"
-            )
-        )
-    )
-    accounting = parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).select(
+    rows = keep(flagged(loaded, first_day, last_day, customer), "import-rows")
+    wanted = rows.filter("wanted").drop("errors", "wanted")
+    new = insert_if_absent(wanted, ledger, CONTENT_ORDER).withColumn("period_start", period_start(F.col("ts")))
+    inserted = keep(new, "import-new")
+    processed = inserted.agg(F.count("*").alias("n")).scalar()
+    accounting = rows.agg(
+        F.count("*").alias("total_events"),
+        F.count_if(F.size("errors") > 0).alias("failed_events"),
+        F.count_if("wanted").alias("_considered"),
+    ).select(
         "total_events",
-        "processed_events",
+        processed.alias("processed_events"),
         "failed_events",
-        (F.col("considered") - F.col("processed_events")).alias("duplicate_events"),
+        (F.col("_considered") - processed).alias("duplicate_events"),
     )
-    return Import(inserted, loaded.filter(~good), affected_keys(inserted), accounting)
+    quarantined = rows.filter(F.size("errors") > 0).drop("wanted")
+    return Import(inserted, quarantined, affected_keys(inserted), accounting)
 
 
 def run_backfill(
@@ -79,36 +82,43 @@ def run_backfill(
     load: Callable[[], DataFrame],
     operation: dict,
     ledger: DataFrame | None,
-    now: datetime,
+    started: datetime,
+    completed: Callable[[], datetime] | None = None,
 ) -> tuple[Import | None, DataFrame]:
-    """Loads and imports; returns the import and its operation row.
+    """Loads and imports; returns the import and its operation row, written from what happened.
 
-    A source that cannot be loaded gives a failed row with the message and no import.
+    The import runs here: its rows are written to the work folder, and the counts are those of the written rows.
+    A source that cannot be found, read or parsed gives a failed row with the message and no import.
+    ``completed`` gives the time of the end (the start, if it is left out).
     """
-    head = "id string, tenant_id string, metric string, period_start date, period_end date"
-    tail = "started_at timestamp, completed_at timestamp"
-    base = spark.createDataFrame(
-        [(operation["id"], operation["tenant_id"], operation["metric"], operation["period_start"],
-          operation.get("period_end") or operation["period_start"], now, now)],
-        f"{head}, {tail}",
-    )
+    counts = ["total_events", "processed_events", "failed_events", "duplicate_events"]
+    done, numbers, status, message = None, [0] * len(counts), "completed", None
     try:
         done = backfill(
             load(), ledger, str(operation["period_start"]),
-            str(operation.get("period_end") or operation["period_start"]), operation.get("customer_ref"),
+            str(operation.get("period_end") or operation["period_start"]), operation.get("customer_ref"), settle,
         )
-        row = _beside(base, done.accounting)
-        return done, row.withColumn("status", F.lit("completed")).withColumn("error_message", F.lit(None).cast("string"))
-    except PySparkException as problem:
-        counts = ["total_events", "processed_events", "failed_events", "duplicate_events"]
-        row = base.select("*", *[F.lit(0).cast("bigint").alias(c) for c in counts])
-        message = str(problem).splitlines()[0]
-        return None, row.withColumn("status", F.lit("failed")).withColumn("error_message", F.lit(message))
+        numbers = list(done.accounting.select(*counts).first())
+    except (PySparkException, Py4JJavaError) as problem:
+        done, status, message = None, "failed", _first_line(problem)
+    row = (
+        operation["id"], operation["tenant_id"], operation["metric"], operation["period_start"],
+        operation.get("period_end") or operation["period_start"], started, completed() if completed else started,
+        *numbers, status, message,
+    )
+    kinds = (
+        "id string, tenant_id string, metric string, period_start date, period_end date, started_at timestamp, "
+        f"completed_at timestamp, {', '.join(f'{c} bigint' for c in counts)}, status string, error_message string"
+    )
+    return done, spark.createDataFrame([row], kinds)
 
 
-def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Two one-row frames side by side."""
-    return one.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one").drop("_one")
+def _first_line(problem: Exception) -> str:
+    """What went wrong, without the trace; a failed task names its cause last."""
+    java = getattr(problem, "java_exception", None)
+    while java is not None and java.getCause() is not None:
+        java = java.getCause()
+    return str(problem if java is None else java.toString()).strip().splitlines()[0]
 
 
 def operations_by_status(operations: DataFrame) -> DataFrame:
@@ -149,9 +159,8 @@ def replay_file(loaded: DataFrame, ledger: DataFrame | None, now: Column, window
     """Sends file rows of the window to the ledger: (inserted rows, one row of counts)."""
     in_window = filter_window(loaded, now, window_hours)
     done = backfill(in_window, ledger, "0001-01-01", "9999-12-30")
-    seen = loaded.agg(F.count("*").alias("total"))
-    counts = _beside(seen, done.accounting).select(
-        "total",
+    counts = done.accounting.select(
+        loaded.agg(F.count("*").alias("n")).scalar().alias("total"),
         F.col("total_events").alias("considered"),
         F.col("processed_events").alias("sent"),
         F.col("duplicate_events").alias("duplicates"),
@@ -187,10 +196,10 @@ def replay(
     moment = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp")
     keyed = own if "period_start" in own.columns else own.withColumn("period_start", period_start(F.col("ts")))
     found = keyed.filter((F.col("ts") >= moment(since)) & (F.col("ts") <= moment(until)))
-    counts = found.groupBy(*CKEY).agg(F.count("*").alias("n_rows"))
+    counts = found.groupBy(*CKEY).agg(F.count("*").alias("_found"))
     stored = counters.select(*CKEY, "watermark_ts", "agg_sum")
     late = (
-        attach(found.select(*CKEY, "ts", "idempotency_key"), stored.select(*CKEY, "watermark_ts"), CKEY, "left", weights=counts)
+        attach(found.select(*CKEY, "ts", "idempotency_key"), stored.select(*CKEY, "watermark_ts"), CKEY, "left")
         .filter(F.col("ts") < F.col("watermark_ts") - hours(lateness_hours))
         .groupBy(*CKEY)
         .agg(F.count("*").alias("late_events"))
@@ -206,7 +215,7 @@ def replay(
         .join(late, CKEY, "left")
         .select(
             *CKEY,
-            F.col("n_rows").alias("events_found"),
+            F.col("_found").alias("events_found"),
             F.coalesce("late_events", F.lit(0)).cast("bigint").alias("late_events"),
             (F.col("_new") - F.coalesce("agg_sum", F.lit(0).cast(SUM))).cast(SUM).alias("counter_delta"),
         )
@@ -231,11 +240,9 @@ def replay(
 
 def event_stats(results: DataFrame, classified: DataFrame) -> DataFrame:
     """Processed, late and duplicate events and the newest event time, over ingest results and classified arrivals."""
-    counts = results.agg(
-        F.count_if(F.col("status") == "accepted").alias("total_processed"),
-        F.count_if(F.col("status") == "duplicate").alias("duplicates_filtered"),
-    )
-    late = classified.agg(
+    count = lambda status: results.agg(F.count_if(F.col("status") == status).alias("n")).scalar()
+    return classified.agg(
         F.count_if(F.col("lateness_class") == "very_late").alias("late_events"), F.max("ts").alias("last_event_time")
+    ).select(
+        count("accepted").alias("total_processed"), count("duplicate").alias("duplicates_filtered"), "late_events", "last_event_time"
     )
-    return _beside(counts, late)

@@ -13,7 +13,6 @@ from tallymill.schemas import SUM
 # Page sizes and sort columns of the listings.
 PAGE_SIZE = 25
 MAX_PAGE_SIZE = 100
-EVENT_SORTS = {"metric": "metric", "customerRef": "customer_ref", "source": "source", "ts": "ts"}
 OPERATION_SORTS = {"createdAt": "created_at", "startedAt": "started_at", "completedAt": "completed_at"}
 SCENARIO_SORTS = {"name": "name", "createdAt": "created_at", "updatedAt": "updated_at"}
 
@@ -58,15 +57,15 @@ def filter_events(
 def page(
     rows: DataFrame, sort: str, direction: str = "desc", key: str = "id", limit: int = PAGE_SIZE, offset: int = 0
 ) -> DataFrame:
-    """One page of a listing; ties in the sort column are broken by the key, ascending."""
+    """One page of a listing, of ``MAX_PAGE_SIZE`` rows at most; ties in the sort column are broken by the key, ascending."""
+    limit = min(limit, MAX_PAGE_SIZE)
     order = F.col(sort).desc() if direction == "desc" else F.col(sort).asc()
     return rows.orderBy(order, F.col(key).asc()).offset(offset).limit(limit)
 
 
 def with_total(page_rows: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """Adds the count of the whole listing, a one-row aggregate, to the rows of the page."""
-    total = all_rows.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    return page_rows.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    """Adds the count of the whole listing, one value, to the rows of the page."""
+    return page_rows.withColumn("total", all_rows.agg(F.count("*").alias("n")).scalar())
 
 
 def count_events(rows: DataFrame) -> DataFrame:

@@ -69,24 +69,49 @@ def batch_keys(spark, folder):
         SELECT seq, {event_key()} AS event_key,
                regexp_matches({event_key()}, '^evt_[a-f0-9]{{16}}$') AS valid_event,
                regexp_matches('push:' || md5(tenant_id) || ':si_' || metric || ':' || batch_id || ':' || quantity,
-                 '^push:[a-f0-9-]+:si_[a-zA-Z0-9]+:\\d{{4}}-\\d{{2}}-\\d{{2}}:\\d+\\.\\d{{6}}$') AS valid_push
+                 '^push:[a-f0-9-]+:si_[a-zA-Z0-9]+:\\d{{4}}-\\d{{2}}-\\d{{2}}:\\d+\\.\\d{{6}}$') AS valid_push,
+               quantity >= 0 AS valid_timed, quantity >= 0 AS valid_shadow, false AS valid_other
         FROM arrivals
         """
     ),
 )
 def key_format(spark, folder):
     a = T.arrivals(spark, folder)
-    push = identity.push_key(
-        F.md5("tenant_id"), F.concat(F.lit("si_"), F.col("metric")), F.col("batch_id"), F.col("quantity"), F.lit(False)
-    )
+    def push(shadow):
+        item = F.concat(F.lit("si_"), F.col("metric"))
+        return identity.push_key(F.md5("tenant_id"), item, F.col("batch_id"), F.col("quantity"), F.lit(shadow))
+
+    timed = F.concat_ws(":", push(False), F.col("seq").cast("string"))
     return a.select(
         "seq",
         identity.idempotency_key().alias("event_key"),
         identity.is_valid_key(identity.idempotency_key()).alias("valid_event"),
-        identity.is_valid_key(push).alias("valid_push"),
+        identity.is_valid_key(push(False)).alias("valid_push"),
+        identity.is_valid_key(timed).alias("valid_timed"),
+        identity.is_valid_key(push(True)).alias("valid_shadow"),
+        identity.is_valid_key(F.concat(F.lit("own:"), push(False))).alias("valid_other"),
     )
 
 
+@query(
+    "ingest_meta_limit",
+    sql(
+        f"""
+        SELECT error, count(*) AS n_events FROM (
+          SELECT CASE WHEN quantity <= 0 THEN 'quantity: must be positive' WHEN source = 'bogus' THEN 'source: unknown value'
+                      WHEN ts > TIMESTAMP '{T.NOW}' + INTERVAL 1 HOUR THEN '{validate.FUTURE_MESSAGE}'
+                      WHEN seq % 9 = 4 THEN '{validate.META_MESSAGE}' END AS error FROM arrivals)
+        GROUP BY ALL
+        """
+    ),
+)
+def ingest_meta_limit(spark, folder):
+    """Every ninth arrival with meta one byte over the limit, the next with meta at the limit."""
+    meta = F.when(F.col("seq") % 9 == 4, F.repeat(F.lit("m"), 4097)).when(F.col("seq") % 9 == 5, F.repeat(F.lit("m"), 4096))
+    rows = T.arrivals(spark, folder).withColumn("meta", F.coalesce(meta, "meta"))
+    return validate.check_ingest(rows, T.now()).groupBy("error").agg(F.count("*").alias("n_events"))
+
+
 _LEDGER = (
     "idempotency_key, seq, tenant_id, metric, customer_ref, quantity, ts, source, inserted_at, period_start"
 )

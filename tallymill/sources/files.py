@@ -62,9 +62,10 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter(good).drop("errors"), events.filter(~good)
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     return (
         spark.read.option("header", True)
+        .option("multiLine", line_breaks)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("escape", '"')
@@ -72,16 +73,20 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Event CSV with a header; any path that the session's file systems know. Files stay splittable."""
-    return normalize_events(_csv(spark, path))
+def read_events_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Event CSV with a header; any path that the session's file systems know.
+
+    ``line_breaks``: quoted values may hold line breaks. A file is then read by one task; without, files are split
+    and such a record would come apart.
+    """
+    return normalize_events(_csv(spark, path, line_breaks))
 
 
 def read_events_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one JSON array of events each."""
+    """Files that hold one JSON array of events each; a file that is no JSON ends the read with an error."""
     names = [n for names in EVENT_COLUMNS.values() for n in names]
     schema = ", ".join(f"{n} string" for n in names)
-    return normalize_events(spark.read.schema(schema).option("multiLine", True).json(path))
+    return normalize_events(spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path))
 
 
 def _from_replay(rows: DataFrame, tenant: str) -> DataFrame:
@@ -134,7 +139,10 @@ def price_from_file(price: Column) -> Column:
 
 
 def read_scenarios(spark: SparkSession, folder: str) -> DataFrame:
-    """Scenario files ``*.sim.json``; the name is the file name without that ending."""
+    """Scenario files ``*.sim.json``; the name is the file name without that ending.
+
+    Times keep their time of day; one that cannot be read is null, which the scenario checks report.
+    """
     raw = (
         spark.read.schema(SCENARIO_FILE)
         .option("multiLine", True)
@@ -153,18 +161,18 @@ def read_scenarios(spark: SparkSession, folder: str) -> DataFrame:
         i["commitments"],
         lambda c: F.struct(
             c["amount"].alias("amount"), c["applied"].alias("applied"),
-            F.to_date(c["startDate"]).alias("start_date"), F.to_date(c["endDate"]).alias("end_date"),
+            F.try_to_timestamp(c["startDate"]).alias("start_date"), F.try_to_timestamp(c["endDate"]).alias("end_date"),
         ),
     )
     credits = F.transform(
         i["credits"],
-        lambda c: F.struct(c["amount"].alias("amount"), F.to_date(c["expiresAt"]).alias("expires_on")),
+        lambda c: F.struct(c["amount"].alias("amount"), F.try_to_timestamp(c["expiresAt"]).alias("expires_on")),
     )
     return raw.select(
         _stem(".sim.json").alias("name"),
         i["customerId"].alias("customer_id"),
-        F.to_date(i["periodStart"]).alias("period_start"),
-        F.to_date(i["periodEnd"]).alias("period_end"),
+        F.try_to_timestamp(i["periodStart"]).alias("period_start"),
+        F.try_to_timestamp(i["periodEnd"]).alias("period_end"),
         usage.alias("usage_items"),
         commitments.alias("commitments"),
         credits.alias("credits"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallymill.functions.identity import iso_millis
 from tallymill.functions.period import period_start
@@ -64,7 +67,7 @@ def write_report_csv(reports: DataFrame, path: str) -> None:
 
 def write_summary_csv(summary: DataFrame, path: str) -> None:
     """One small file: a row per metric, then TOTAL."""
-    rows = summary_with_total(summary).coalesce(1).sortWithinPartitions("row_order", "metric")
+    rows = summary_with_total(summary).repartition(1).sortWithinPartitions("row_order", "metric")
     _write_csv(rows.select(*SUMMARY_CSV), path)
 
 
@@ -73,15 +76,45 @@ def write_invoices(invoices: DataFrame, path: str) -> None:
     invoices.write.json(path)
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, whichever the session knows."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    place, files = _path(spark, path)
+    if not files.exists(place):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def read_periods(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A keyed table in folders per version and ``period_start``: of each period, its newest version."""
+    columns = [f.name for f in schema.fields]
+    if not _versions(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("version", IntegerType())])).parquet(path)
+    # folder values only: no column of the files is read for them
+    newest = rows.groupBy("period_start").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["period_start", "version"]).select(*columns)
+
+
 def upsert_periods(updates: DataFrame, path: str, keys: list[str], keep_greatest: tuple[str, ...] = ()) -> None:
-    """Merges updates into a keyed table in folders per ``period_start``; other periods are not touched.
+    """Merges updates into a keyed table per ``period_start``; a table that is not there yet is made.
 
-    The new version of the touched periods is written to the work folder first, because a
-    path cannot be read and overwritten by the same job.
+    The touched periods are written as a new version and appear at once, by the rename of their folder;
+    other periods stay where they are, and a reader sees whole versions only.
     """
     spark = updates.sparkSession
     fresh = settle(updates, "upsert-in")
-    base = spark.read.schema(fresh.schema).parquet(path)
-    touched = base.join(F.broadcast(fresh.select("period_start").distinct()), "period_start", "left_semi")
-    merged = settle(upsert(touched.select(*fresh.columns), fresh, keys, keep_greatest), "upsert-out")
-    merged.write.partitionBy("period_start").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    base = read_periods(spark, path, StructType(list(fresh.schema.fields)))
+    touched = base.join(fresh.select("period_start").distinct(), "period_start", "left_semi")
+    merged = upsert(touched.select(*fresh.columns), fresh, keys, keep_greatest)
+    version = max(_versions(spark, path), default=-1) + 1
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    merged.repartition("period_start").write.partitionBy("period_start").parquet(staged)
+    place, files = _path(spark, staged)
+    if not files.rename(place, _path(spark, f"{path}/version={version}")[0]):
+        raise OSError(f"version {version} of {path} could not be put in place")
