@@ -9,8 +9,9 @@ strings never cross documents. The work is dealt by content:
    repeats) and grams with different windows.
 3. Different windows of such a gram go, once each with their number, to one block, where interval expansion on the
    block's Burrows-Wheeler transform finds the strings that start twice (``bwt``). Blocks are of bounded size: the
-   windows of a frequent gram are dealt over several, each block hands on one digest per different string, and one
-   more aggregate joins the digests.
+   windows of a frequent gram are dealt over several, each block hands on digests of its different strings, and one
+   more aggregate joins them. Only strings of starts whose common core (the bytes that ``CORES`` neighbouring starts
+   share) stands in another window too have a digest; that is one aggregate over a few cores per window.
 4. The starts found go back to the windows' places, and each document drops what they cover.
 
 Defined cases: a null text is empty and keeps nothing removed; texts shorter than ``length`` stay whole; repeated rows
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ CHUNK = 2 << 20
 BLOCK = 1 << 20
 #: Different windows of one gram beyond which they are dealt over several blocks.
 SPREAD = 1000
+#: Cores of such a window: its starts in this many groups, by their distance to the gram.
+CORES = 8
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -86,12 +90,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def windows_of(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, number of starts and gram hash of every window in joined texts that end at ``ends``."""
+def windows_of(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """First start, number of starts, hash and place of the gram of every window in joined texts that end at ``ends``."""
     raw = np.frombuffer(data, dtype=np.uint8)
     none = np.zeros(0, dtype=np.int64)
     if len(raw) < length:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none
     hashes = gram_hashes(raw, gram)
     place = np.arange(len(hashes), dtype=np.uint64)
     keys = (hashes & np.uint64(0xFFFFFFFF00000000)) | place
@@ -100,10 +104,10 @@ def windows_of(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[n
     room = np.repeat(ends, sizes)[: len(chosen)] - np.arange(len(chosen))
     starts = np.flatnonzero(room >= length)
     if not len(starts):
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none
     chosen = chosen[starts].astype(np.int64)
     cuts = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
-    return starts[cuts], np.diff(np.append(cuts, len(starts))), hashes[chosen[cuts]]
+    return starts[cuts], np.diff(np.append(cuts, len(starts))), hashes[chosen[cuts]], chosen[cuts]
 
 
 def _chunks(texts: list[bytes], length: int, chunk: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -126,7 +130,7 @@ def _windows(batches: Iterable[pa.RecordBatch], length: int, gram: int, chunk: i
         for part in _chunks(strings(batch.column("text")), length, chunk):
             data = b"".join(cut for _, _, cut in part)
             ends = np.cumsum([len(cut) for _, _, cut in part])
-            first, count, grams = windows_of(data, ends, length, gram)
+            first, count, grams, places = windows_of(data, ends, length, gram)
             if not len(first):
                 continue
             last = (first + count + length - 1).tolist()
@@ -146,65 +150,89 @@ def _windows(batches: Iterable[pa.RecordBatch], length: int, gram: int, chunk: i
                     batch.column("text_hash").take(rows),
                     pa.array(first + shift[of]),
                     pa.array(count.astype(np.int32)),
+                    pa.array((places - first).astype(np.int32)),
                 ],
-                names=["gram", "content", "doc_id", "text_hash", "first", "starts"],
+                names=["gram", "content", "doc_id", "text_hash", "first", "starts", "place"],
             )
 
 
-def _cut(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _group_size(length: int, gram: int) -> int:
+    """Starts per core, of the ``length - gram + 1`` distances between a start and its gram."""
+    return max(1, -(-(length - gram + 1) // CORES))
+
+
+def _cores(window: dict, data: bytes, length: int, group: int) -> list[dict]:
+    """The bytes that all starts of a group share, at the same place relative to the gram in every window."""
+    out = []
+    place = window["place"]
+    for k in range((place - window["starts"] + 1) // group, place // group + 1):
+        low = place - group * k
+        core = hashlib.blake2b(data[low : low + length - group + 1], digest_size=16, salt=k.to_bytes(4, "little")).digest()
+        out.append({"k": k, "core": core})
+    return out
+
+
+def _cut(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    names = ("gram", "content", "number", "spread", "place")
+    group = _group_size(length, gram)
     for batch in pieces(batches, rows=200):
-        wanted = batch.column("windows").to_pylist()
-        grams, contents, numbers, spreads, data = [], [], [], [], []
-        for text, windows in zip(strings(batch.column("text")), wanted):
+        found: list[tuple] = []
+        for text, windows in zip(strings(batch.column("text")), batch.column("windows").to_pylist()):
             for w in windows:
-                grams.append(w["gram"])
-                contents.append(w["content"])
-                numbers.append(w["number"])
-                spreads.append(w["spread"])
-                data.append(text[w["first"] : w["first"] + w["starts"] + length - 1])
-        yield pa.RecordBatch.from_pydict(
-            {
-                "gram": pa.array(grams, pa.int64()),
-                "content": pa.array(contents, pa.int64()),
-                "number": pa.array(numbers, pa.int64()),
-                "spread": pa.array(spreads, pa.int32()),
-                "data": pa.array(data, pa.binary()),
-            }
+                data = text[w["first"] : w["first"] + w["starts"] + length - 1]
+                found.append((*[w[n] for n in names], data, _cores(w, data, length, group) if w["spread"] > 1 else []))
+        columns = list(zip(*found)) if found else [()] * 7
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        cores = pa.list_(pa.struct([("k", pa.int32()), ("core", pa.binary())]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (*types, cores))], names=[*names, "data", "cores"]
         )
 
 
+_CUT = "gram long, content long, number long, spread int, place int, data binary, cores array<struct<k:int,core:binary>>"
 _FOUND = "gram long, content long, low int, high int, digest binary, settled boolean"
 
 
-def _block(rows: list[tuple], length: int) -> pa.RecordBatch:
-    """Starts that repeat in one block; of spread grams also one digest per different string."""
-    data = [r[4] for r in rows]
-    marked, piece, start, twice = repeated_starts(data, np.array([r[2] for r in rows]), length)
-    out = [(r[0], r[1], a, b, None, True) for r, m in zip(rows, marked) for a, b in runs(m)]
+class _Window(NamedTuple):
+    gram: int
+    content: int
+    number: int
+    spread: int
+    place: int
+    data: bytes
+    share: int
+    open: list
+
+
+def _block(rows: list[_Window], length: int, group: int) -> pa.RecordBatch:
+    """Starts that repeat in one block; of spread grams also a digest per different string that others may have."""
+    marked, piece, start, twice = repeated_starts([r.data for r in rows], np.array([r.number for r in rows]), length)
+    out = [(r.gram, r.content, a, b, None, True) for r, m in zip(rows, marked) for a, b in runs(m)]
+    groups = [set(r.open or ()) for r in rows]
     for k, at, known in zip(piece.tolist(), start.tolist(), twice.tolist()):
-        if rows[k][3] > 1:
-            digest = hashlib.blake2b(data[k][at : at + length], digest_size=16).digest()
-            out.append((rows[k][0], rows[k][1], at, at, digest, known))
+        r = rows[k]
+        if (r.place - at) // group in groups[k]:
+            digest = hashlib.blake2b(r.data[at : at + length], digest_size=16).digest()
+            out.append((r.gram, r.content, at, at, digest, known))
     names = ("gram", "content", "low", "high", "digest", "settled")
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
     columns = list(zip(*out)) if out else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterable[pa.RecordBatch], length: int, gram: int, block: int) -> Iterator[pa.RecordBatch]:
     """Collects the windows of whole grams (of one share of a spread gram) up to the size of a block."""
-    rows, size, key = [], 0, None
+    rows: list[_Window] = []
+    size, group = 0, _group_size(length, gram)
     for batch in pieces(batches):
-        columns = [batch.column(c).to_pylist() for c in ("gram", "content", "number", "spread", "data", "share")]
-        for row in zip(*columns):
-            if size >= block and (row[0], row[5]) != key:
-                yield _block(rows, length)
+        for row in map(_Window._make, zip(*[batch.column(c).to_pylist() for c in _Window._fields])):
+            if size >= block and (row.gram, row.share) != (rows[-1].gram, rows[-1].share):
+                yield _block(rows, length, group)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[4])
-            key = row[0], row[5]
+            size += len(row.data)
     if rows:
-        yield _block(rows, length)
+        yield _block(rows, length, group)
 
 
 def _remove(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -254,7 +282,7 @@ def repeated_ranges(
 ) -> DataFrame:
     """``doc_id``, ``text_hash``, ``low``, ``high``: runs of starts whose strings of ``length`` bytes repeat."""
     rows = _keyed(docs)
-    schema = "gram long, content long, doc_id long, text_hash long, first long, starts int"
+    schema = "gram long, content long, doc_id long, text_hash long, first long, starts int, place int"
     windows = settle(rows.mapInArrow(partial(_windows, length=length, gram=gram, chunk=chunk), schema), "windows")
     grams = (
         windows.groupBy("gram")
@@ -262,6 +290,8 @@ def repeated_ranges(
         .where("n > 1")
         .select(F.col("gram").alias("of_gram"), (F.col("least") != F.col("most")).alias("differ"))
     )
+    # written, so that both sides of the join are plain shuffles, whose hot keys can be split; the same below
+    grams = settle(grams, "repeated-grams")
     met = settle(windows.join(grams, F.col("gram") == F.col("of_gram")).drop("of_gram"), "met-windows")
     equal = met.where(~F.col("differ")).select(
         "doc_id", "text_hash", F.col("first").alias("low"), (F.col("first") + F.col("starts") - 1).alias("high")
@@ -270,22 +300,32 @@ def repeated_ranges(
     differing = met.where("differ").drop("differ")
     distinct = differing.groupBy("gram", "content").agg(
         F.count("*").alias("number"),
-        *[F.first(c).alias(c) for c in ("doc_id", "text_hash", "first", "starts")],
+        *[F.first(c).alias(c) for c in ("doc_id", "text_hash", "first", "starts", "place")],
     )
     distinct = settle(distinct, "different-windows")
     shares = distinct.groupBy(F.col("gram").alias("of_gram")).agg(F.ceil(F.count("*") / spread).cast("int").alias("spread"))
     wanted = (
         distinct.join(shares, F.col("gram") == F.col("of_gram"))
         .groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"))
-        .agg(F.collect_list(F.struct("gram", "content", "number", "spread", "first", "starts")).alias("windows"))
+        .agg(F.collect_list(F.struct("gram", "content", "number", "spread", "first", "starts", "place")).alias("windows"))
     )
     # a row that is there twice is cut once
     sources = rows.join(wanted, _same_row(rows, wanted)).select("text", "windows")
-    cut_schema = "gram long, content long, number long, spread int, data binary"
-    cut = sources.mapInArrow(partial(_cut, length=length), cut_schema)
-    dealt = cut.withColumn("share", F.pmod(F.col("content"), F.col("spread").cast("long")))
+    cut = settle(sources.mapInArrow(partial(_cut, length=length, gram=gram), _CUT), "cut-windows")
+    cores = cut.where("spread > 1").select("gram", "content", F.explode("cores").alias("c")).select("gram", "content", "c.k", "c.core")
+    shared = cores.groupBy(F.col("core").alias("of_core")).agg(F.count("*").alias("n")).where("n > 1")
+    open_ = (
+        cores.join(shared, F.col("core") == F.col("of_core"))
+        .groupBy(F.col("gram").alias("g"), F.col("content").alias("c"))
+        .agg(F.collect_set("k").alias("open"))
+    )
+    # of a spread gram, windows that occur once and share no core hold no repeat
+    spread_windows = cut.where("spread > 1").drop("cores").join(open_, (F.col("gram") == F.col("g")) & (F.col("content") == F.col("c")), "left")
+    spread_windows = spread_windows.drop("g", "c").where("open is not null or number > 1")
+    alone = cut.where("spread = 1").drop("cores").withColumn("open", F.lit(None).cast("array<int>"))
+    dealt = alone.unionByName(spread_windows).withColumn("share", F.pmod(F.col("content"), F.col("spread").cast("long")))
     blocks = dealt.repartition("gram", "share").sortWithinPartitions("gram", "share", "content")
-    found = settle(blocks.mapInArrow(partial(_blocks, length=length, block=block), _FOUND), "found")
+    found = settle(blocks.mapInArrow(partial(_blocks, length=length, gram=gram, block=block), _FOUND), "found")
 
     digests = found.where("digest is not null")
     again = digests.groupBy(F.col("digest").alias("of_digest")).agg(F.count("*").alias("n")).where("n > 1")
@@ -296,6 +336,7 @@ def repeated_ranges(
         .groupBy(F.col("gram").alias("g"), F.col("content").alias("c"))
         .agg(F.collect_set(F.struct("low", "high")).alias("marks"))
     )
+    marks = settle(marks, "marks")
     placed = differing.join(marks, (F.col("gram") == F.col("g")) & (F.col("content") == F.col("c"))).select(
         "doc_id", "text_hash", "first", F.explode("marks").alias("mark")
     )
