@@ -175,11 +175,30 @@ def apply_adjustments(counters: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def counters_after_lateness(classified: DataFrame, late_status: str = "approved", other: DataFrame | None = None):
-    """Counters over the arrivals that were in time, plus all approved adjustments."""
-    kept = classified.filter(F.col("lateness_class") != "very_late")
-    late = late_adjustments(classified, late_status)
-    adjustments = late if other is None else late.unionByName(other.select(*late.columns))
-    return apply_adjustments(build_counters(kept), fold_adjustments(adjustments))
+    """Counters over the arrivals that were in time, plus all approved adjustments.
+
+    In-time and late quantities are told apart inside one aggregate. Late rows have no parent, so no reversal of
+    ``other`` concerns them.
+    """
+    late = F.col("lateness_class") == "very_late"
+    split = classified.select(
+        *KEY,
+        period_start(F.col("ts")).alias("period_start"),
+        F.when(~late, F.col("quantity")).alias("quantity"),
+        F.when(~late, F.col("ts")).alias("ts"),
+        F.when(late & F.lit(late_status == "approved"), F.col("quantity")).alias("_late"),
+    )
+    folded = split.groupBy(*CKEY).agg(*aggregates(), F.sum("_late").cast(SUM).alias("_late"))
+    zero = F.lit(0).cast(SUM)
+    counted = folded.filter(F.col("watermark_ts").isNotNull() | F.col("_late").isNotNull()).select(
+        *CKEY,
+        period_end(F.col("period_start")).alias("period_end"),
+        (F.coalesce("agg_sum", zero) + F.coalesce("_late", zero)).cast(SUM).alias("agg_sum"),
+        F.coalesce("agg_max", F.lit(0)).cast(QTY).alias("agg_max"),
+        newest_quantity().alias("agg_last"),
+        "watermark_ts",
+    )
+    return counted if other is None else apply_adjustments(counted, fold_adjustments(other))
 
 
 def reaggregation_reasons(events: DataFrame, lateness_hours: int = 48) -> DataFrame:

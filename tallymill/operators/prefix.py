@@ -60,14 +60,17 @@ def prefix_totals(rows: DataFrame, keys: list[str], position: str, value: str, s
 
 
 def previous_by_value(
-    rows: DataFrame, keys: list[str], order: str, carried: list[str], width: float
+    rows: DataFrame, keys: list[str], order: str, carried: list[str], parts: int = 64
 ) -> DataFrame:
     """Adds ``previous_<column>`` of the row before in the order of a numeric column, unique within the group.
 
-    The column is cut into value ranges of ``width``; the first row of a range looks at
-    the last row of the nearest earlier range.
+    Each group is cut at its own approximate quantiles into ``parts`` ranges of about as many rows; the first row of a
+    range looks at the last row of the nearest earlier range.
     """
-    marked = rows.withColumn("_chunk", _chunk(order, 1) if width == 1 else F.floor(F.col(order) / width).cast("bigint"))
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * parts).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double")))
+    marked = rows.join(cuts, keys).withColumn("_chunk", place).drop("_cuts")
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
     across = W.partitionBy(*keys).orderBy("_chunk")
     ends = marked.groupBy(*keys, "_chunk").agg(

@@ -74,11 +74,11 @@ def quantity_edges(usage: DataFrame) -> DataFrame:
     )
 
 
-def price_drops(rated: DataFrame, width: float = 1000.0) -> DataFrame:
+def price_drops(rated: DataFrame, parts: int = 64) -> DataFrame:
     """Rows whose total is below that of the next smaller quantity of the same option and metric."""
     stepped = previous_by_value(
         rated.select("option", "metric", "quantity", "subtotal"), ["option", "metric"], "quantity",
-        ["quantity", "subtotal"], width,
+        ["quantity", "subtotal"], parts,
     )
     return stepped.filter(F.col("subtotal") < F.col("previous_subtotal"))
 

@@ -35,7 +35,7 @@ def _parts(spark, folder):
 
 def _ingested(spark, folder, **options) -> ingest.Store:
     """Feeds the arrivals in three parts; each run of the stream picks up what is new."""
-    store = ingest.Store(work.new_folder(spark, "stream")).prepare(spark)
+    store = ingest.Store(work.new_folder(spark, "stream"), key_buckets=8).prepare(spark)
     source, checkpoint = store.path("source"), store.path("checkpoint")
     for part in _parts(spark, folder):
         part.select(*_COLUMNS).write.mode("append").parquet(source)

@@ -63,6 +63,8 @@ class Store(NamedTuple):
     """Tables of one stream, in a folder that all executors share."""
 
     root: str
+    #: more for larger streams: a batch reads the buckets that its keys fall in
+    key_buckets: int = KEY_BUCKETS
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -142,10 +144,10 @@ def ingest_batch(
     spark = arrivals.sparkSession
     lateness = hours(48) if lateness is None else lateness
     checked = default_source(with_keys(check_ingest(arrivals, now)), "http").filter(F.col("error").isNull())
-    bucket = F.pmod(F.xxhash64("idempotency_key"), F.lit(KEY_BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64("idempotency_key"), F.lit(store.key_buckets)).cast("int")
     first = first_copies(checked.drop("error"), ["inserted_at", "seq"])
     first = _staged(first.withColumns({"period_start": period_start(F.col("ts")), "bucket": bucket}), store, "first", batch_no)
-    buckets = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # KEY_BUCKETS rows at most
+    buckets = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # as many rows as buckets
     known = store.read(spark, "keys", before=batch_no).filter(F.col("bucket").isin(buckets)).select("bucket", "idempotency_key")
     new = _staged(first.join(known, ["bucket", "idempotency_key"], "left_anti"), store, "new", batch_no)
     store.write(new.select("idempotency_key", "bucket"), "keys", batch_no)

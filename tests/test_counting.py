@@ -167,7 +167,7 @@ def test_chunked_prefixes_equal_loops(spark):
 def test_previous_by_value_crosses_ranges(spark):
     values = sorted(random.Random(9).sample(range(10000), 60))
     data = frame(spark, [("k", v, v * 2) for v in values], "k string, v int, w int")
-    got = {r.v: r.previous_w for r in prefix.previous_by_value(data, ["k"], "v", ["w"], 700.0).collect()}
+    got = {r.v: r.previous_w for r in prefix.previous_by_value(data, ["k"], "v", ["w"], 7).collect()}
     assert got == {v: (values[i - 1] * 2 if i else None) for i, v in enumerate(values)}
 
 
