@@ -226,8 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: i
     keep = [int(min(1.0, per_class / max(sizes.get(k, 0), 1)) * parts) for k in (0, 1)]
     chosen = marks.where(place < F.when(F.col("toxic") == 1, keep[1]).otherwise(keep[0]))
     rows = documents(docs)
+    # about twice ``per_class`` ids: with them beside the scan, no text but the sample's is shuffled
     sample = (
-        rows.join(chosen, F.col("doc_id") == F.col("of_doc"))
+        rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of_doc"))
         .groupBy(F.xxhash64("text").alias("text_hash"))
         .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     )
