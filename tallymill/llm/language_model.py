@@ -6,7 +6,7 @@
 2. The network is trained in ``rounds``; in each, every partition trains on the training documents whose hash falls
    to that round, and the partitions' weights are averaged by tokens, in two steps. ``share`` of the training tokens is
    read altogether, at every size: a cost parameter that grows with the input, not a cap.
-3. Every document is scored whole, its state carried from window to window. Counts of the ``remembered`` most frequent
+3. Every document is scored whole, its state carried from window to window. Counts of at most ``remembered`` frequent
    words go to the workers (a bounded broadcast); all other words are joined with the counts by a shuffle.
 
 Defined cases: a null text is empty and has the end token alone; a null id counts as the empty text for the held-out
@@ -37,6 +37,8 @@ LOG10 = float(np.log(10))
 #: Distinct words that a counter holds before it hands them on.
 FLUSH = 400_000
 GROUPS = 64
+#: Tokens of a text that one row of the trainer takes; scoring does not cut.
+PART = 512
 
 
 def tail_class(word: bytes, tails: int) -> int:
@@ -67,6 +69,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Words from a least count on, ``most`` at the most: the bound follows from numbers of words per step of the count."""
+    step = F.floor(F.log2("n") * 8)
+    left, least = most, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        left -= row["words"]
+        if left < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return []
+    found = counts.where(step >= least).select("word", "n").collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """What workers need: symbols of the frequent words, counts of the remembered ones, classes' weights."""
 
@@ -94,7 +111,7 @@ class _Words(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
             self.update(self.vocabulary.symbols)
         self[word] = found = self.vocabulary.symbol(word)
@@ -102,15 +119,17 @@ class _Words(dict):
 
 
 def _symbols(words: _Words, tokens: list[bytes]) -> np.ndarray:
-    out = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-    return np.append(out, words[END])
+    out = np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+    return np.append(out, np.int32(words[END]))
 
 
 def _train(batches: Iterable[pa.RecordBatch], vocabulary, weights, settings: dict) -> Iterator[pa.RecordBatch]:
     words = _Words(vocabulary.value)
     trainer = recurrent.Trainer(weights.value, **settings)
-    for batch in pieces(batches, rows=200):
-        trainer.add([_symbols(words, t.lower().split()) for t in strings(batch.column("text"))])
+    for batch in pieces(batches):
+        texts = [_symbols(words, t.lower().split()) for t in strings(batch.column("text"))]
+        # parts of a long text train side by side
+        trainer.add([t[at : at + PART] for t in texts for at in range(0, len(t), PART)])
     trainer.finish()
     if trainer.seen:
         values = trainer.w.flat().astype("<f4").tobytes()
@@ -158,20 +177,22 @@ def _score(batches: Iterable[pa.RecordBatch], vocabulary, weights) -> Iterator[p
     heads = known.heads * known.size
     # of a remembered word: its base sum and its part within a tail class
     logs = {w: float(np.log10(n + 1)) for w, n in counts.items()}
-    for batch in pieces(batches, rows=512):
-        tokens = [t.lower().split() for t in strings(batch.column("text"))]
-        symbols = [_symbols(words, t) for t in tokens]
-        network = recurrent.score(weights.value, symbols) / LOG10
-        n_known, sums, within, rest = [], [], [], []
-        for t, s in zip(tokens, symbols):
-            found = [logs[w] for w in t if w in logs]
-            known_end = END in logs
-            n_known.append(len(found) + known_end)
-            sums.append(float(np.sum(found)) + (logs[END] if known_end else 0.0))
-            tail = np.bincount(s[s >= heads] - heads, minlength=known.tails)
-            in_tail = sum(logs[w] for w in t if w in logs and w not in known.symbols)
+    # many texts at once: a batch takes as many steps as its longest text has tokens
+    for batch in pieces(batches, rows=8192):
+        symbols, n_known, sums, within, rest = [], [], [], [], []
+        for text in strings(batch.column("text")):
+            tokens = text.lower().split()
+            own = _symbols(words, tokens)
+            tokens.append(END)
+            found = [logs[w] for w in tokens if w in logs]
+            n_known.append(len(found))
+            sums.append(float(np.sum(found)))
+            tail = np.bincount(own[own >= heads] - heads, minlength=known.tails)
+            in_tail = sum(logs[w] for w in tokens if w in logs and w not in known.symbols)
             within.append(in_tail - float(tail @ known.tail_log))
-            rest.append([{"word": w, "times": n} for w, n in Counter(w for w in t if w not in logs).items()])
+            rest.append([{"word": w, "times": n} for w, n in Counter(w for w in tokens if w not in logs).items()])
+            symbols.append(own)
+        network = recurrent.score(weights.value, symbols) / LOG10
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -203,8 +224,7 @@ def score_documents(
     training = rows.where(~F.col("held_out"))
     counts = settle(word_counts(training), "word-counts")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
-    # the few most frequent words: a bounded list
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(remembered).collect()]
+    top = _most_frequent(counts, remembered)
     first_bytes = F.crc32(F.substring("word", 1, 3)) % tails
     tail_counts = {
         r["class"]: (r["n"], r["v"])

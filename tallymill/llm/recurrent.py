@@ -85,8 +85,11 @@ def _by_class(classes: np.ndarray, heads: int):
     return [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
 
 
-def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural logarithms of each target symbol's class, times its word in a frequent class."""
+def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray, rows: int = 8192) -> np.ndarray:
+    """Natural logarithms of each target symbol's class, times its word in a frequent class; ``rows`` at a time."""
+    if len(targets) > rows:
+        parts = range(0, len(targets), rows)
+        return np.concatenate([log_probabilities(w, states[a : a + rows], targets[a : a + rows], rows) for a in parts])
     heads, _, size = w.words.shape
     classes = np.where(targets < heads * size, targets // size, targets - heads * size + heads)
     out = np.take_along_axis(_log_softmax(states @ w.classes + w.class_bias), classes[:, None], axis=1)[:, 0]
@@ -180,7 +183,7 @@ def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, live: np.ndarr
 class Trainer:
     """Adam steps over windows of several texts at once; a row that ends takes the next text, with a fresh state."""
 
-    def __init__(self, w: Weights, rate: float = 0.01, rows: int = 32, window: int = 16):
+    def __init__(self, w: Weights, rate: float = 0.01, rows: int = 64, window: int = 16):
         self.w, self.rate, self.rows, self.window = w, rate, rows, window
         self.mean = self.square = None
         self.steps = self.seen = 0
