@@ -101,8 +101,10 @@ def phases(blocks: dict, weights: dict, grain: int = GRAIN) -> tuple[list[tuple]
     return spans, offsets
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, grain: int = GRAIN) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``source_name``, ``block`` (of its source), ``slot`` (of all blocks),
+def mix(
+    docs: DataFrame, weights: dict | None = None, block: int = BLOCK, grain: int = GRAIN, carry: list[str] | None = None
+) -> DataFrame:
+    """``row`` (the columns ``carry`` of ``docs``, all if None; ``doc_id`` among them), ``source_name``, ``block`` (of its source), ``slot`` (of all blocks),
     ``place`` (in the block) and ``phase`` of every document. ``weights``: target weights by source (the square roots
     of the sources' sizes, if None: large sources are held back, small ones brought forward)."""
     spark = docs.sparkSession
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, grain:
         "phase int, of string, low long, high long, at long, units long, slots long",
     )
     offset = spark.createDataFrame([(p, _name(s), k, o) for p, s, k, o in offsets], "in_phase int, of_source string, k long, offset long")
-    numbered = _numbered(docs)
+    numbered = _numbered(docs, carry or docs.columns)
     blocks = numbered.withColumn("block", F.floor(F.col("number") / block)).withColumn("place", (F.col("number") % block).cast("int"))
     # both plans are bounded: at most MOST_SOURCES phases of as many sources, or of GRAIN slots
     phased = blocks.join(
@@ -152,14 +154,14 @@ def _sizes(docs: DataFrame) -> dict:
     return {r["source"]: r["n"] for r in rows}
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Numbers each source's documents in the order of a hash, without gathering a source in one task.
 
     Cells of hash values are counted first; a document's number is its cell's start plus its rank in the cell.
     """
     source = F.concat(F.lit("="), F.col("source").cast("string"))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*carry).alias("row"),
         F.coalesce(source, F.lit("")).alias("source_name"),
         F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("spread"),
     ).withColumn("cell", F.pmod("spread", F.lit(CELLS)))

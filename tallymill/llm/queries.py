@@ -57,8 +57,8 @@ def op2_ball_tree_top5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("row.doc_id", "row.source", "block", "slot", "place", "phase")
+    docs = table(spark, folder, "documents")
+    return mixing.mix(docs, carry=["doc_id", "source"]).select("row.doc_id", "row.source", "block", "slot", "place", "phase")
 
 
 @query
