@@ -25,7 +25,7 @@ from tallymill.llm.frames import documents, pieces, strings
 
 END_ID = 1
 #: Words whose ids a Python worker remembers; then it forgets all and starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
 _loaded: dict = {}
