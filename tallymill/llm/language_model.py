@@ -3,9 +3,9 @@
 1. Word counts of all training documents (map-side counters, one aggregate) give the base score and the classes. The
    ``heads * size`` most frequent words form the frequent classes; every other word, known or not, belongs to one of
    ``tails`` classes by its first bytes and shares its class by ``(count + 1) / (tokens + words + 1)``.
-2. The network is trained in ``rounds``; in each, every partition trains on the training documents whose hash falls
-   to that round, and the partitions' weights are averaged by tokens, in two steps. ``share`` of the training tokens is
-   read altogether, at every size: a cost parameter that grows with the input, not a cap.
+2. The network is trained on every training document once, in ``rounds``; in each, every partition trains on the
+   documents whose hash falls to that round, and the partitions' weights are averaged by tokens, in two steps. A caller
+   that cannot afford the pass may ask for a ``share`` of it.
 3. Every document is scored whole, its state carried from window to window. Counts of at most ``remembered`` frequent
    words go to the workers (a bounded broadcast); all other words are joined with the counts by a shuffle.
 
@@ -149,7 +149,7 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(
-    texts: DataFrame, vocabulary: Vocabulary, hidden: int = 16, rounds: int = 4, share: float = 1 / 8, rate: float = 0.01
+    texts: DataFrame, vocabulary: Vocabulary, hidden: int = 16, rounds: int = 4, share: float = 1.0, rate: float = 0.01
 ) -> recurrent.Weights:
     """Rounds of local training and averaging; ``texts`` has ``doc_id`` and ``text`` of the training documents."""
     context = texts.sparkSession.sparkContext
@@ -214,7 +214,7 @@ def score_documents(
     remembered: int = 200_000,
     hidden: int = 16,
     rounds: int = 4,
-    share: float = 1 / 8,
+    share: float = 1.0,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     if remembered < heads * size:

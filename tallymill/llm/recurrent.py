@@ -176,7 +176,10 @@ def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, live: np.ndarr
         g.loop[:, 2 * hidden :] += reset.T @ dc
         back = np.where(on, d * z + dreset * r + both @ w.loop[:, : 2 * hidden].T, back)
     g.bias = given.sum(axis=(0, 1))
-    np.add.at(g.table, inputs.T.ravel(), given.reshape(-1, 3 * hidden))
+    read = inputs.T.ravel()
+    order = np.argsort(read, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(read[order]) != 0))
+    g.table[read[order][first]] = np.add.reduceat(given.reshape(-1, 3 * hidden)[order], first, axis=0)
     return g, state
 
 
@@ -219,7 +222,9 @@ class Trainer:
             self.mean, self.square = np.zeros_like(flat), np.zeros_like(flat)
         self.steps += 1
         self.seen += int(live.sum())
-        self.mean = 0.9 * self.mean + 0.1 * flat
-        self.square = 0.99 * self.square + 0.01 * flat * flat
+        self.mean *= 0.9
+        self.mean += 0.1 * flat
+        self.square *= 0.99
+        self.square += 0.01 * flat * flat
         step = (self.mean / (1 - 0.9**self.steps)) / (np.sqrt(self.square / (1 - 0.99**self.steps)) + 1e-6)
         self.w = self.w.like(self.w.flat() - self.rate * step)

@@ -115,5 +115,16 @@ def test_learns_two_languages(spark):
     assert gain > 0.15  # half of the words are out of the question: at most log10(2) = 0.30
 
 
+def test_every_training_document_is_learnt_from(spark):
+    """Each text has a word of its own, so that word's weights move only if the network reads the text."""
+    own = [b"w%d" % k for k in range(31)]
+    vocabulary = language_model.Vocabulary([(language_model.END, 31)] + [(w, 3) for w in own], 4, 8, 2, {})
+    texts = spark.createDataFrame([(k, f"w{k} w{k} w{k}") for k in range(31)], "doc_id long, text string").repartition(2)
+    began = recurrent.start(vocabulary.class_counts, vocabulary.word_counts, 4)
+    for rounds in (1, 3):
+        moved = np.abs(language_model.train(texts, vocabulary, hidden=4, rounds=rounds).table - began.table).max(axis=1)
+        assert all(moved[vocabulary.symbols[w]] > 1e-4 for w in own)
+
+
 def test_empty(spark):
     assert language_model.score_documents(documents(spark, []), heads=2, size=2, remembered=10).count() == 0
