@@ -6,11 +6,15 @@ tokens are joined with the benchmark's by hash. Matches of a document and an ite
 distance between both places), and the values in aligned placeholders must map one to one: a question with other
 numbers keeps that, a text that merely has the same shape rarely does.
 
+Three forms of a text are compared, each with the same form: names within sentences as above; the words that open
+sentences as names too, unless they are function words (for items that have such words); and, for items whose
+placeholders leave no window with ``literals`` other tokens, the plain words, all of which must be met.
+
 The benchmark's words go to the workers only if the benchmark has at most ``vocabulary_bytes`` bytes (its size is
 summed first); they spare windows that hold a word no item has. Beyond that size all windows are joined.
 
-Defined cases: null texts are empty; items without tokens, or with fewer than ``literals`` tokens that are no
-placeholders, match nothing; an item shorter than a window is one window; null ids are kept (as documents) and ignored
+Defined cases: null texts are empty; items without a usable window match nothing if they have fewer than ``literals``
+words or numbers only; an item shorter than a window is one window; null ids are kept (as documents) and ignored
 (as items); repeated rows each get their row; an empty benchmark marks nothing; other columns are ignored.
 """
 
@@ -32,7 +36,7 @@ from tallymill.sources.work import settle
 WINDOW = 8
 #: Tokens of a window that must be no placeholders.
 LITERALS = 5
-#: Windows of one diagonal that make a match (all, if the item has fewer): 13 tokens in a row.
+#: Windows of one diagonal that make a match (all usable ones, if the item has fewer): 13 tokens in a row.
 MATCHES = 6
 #: Least share of placeholder values that map one to one.
 CONSISTENT = 0.75
@@ -51,6 +55,15 @@ UNITS = frozenset(
     " months year years k c f degree degrees percent % $ € £ dollar dollars cent cents euro euros usd eur gbp mph kph kb"
     " mb gb tb w kw j cal kcal hz v".split()
 )
+# fixed values: words that open sentences and are no names
+OPENERS = frozenset(
+    "a about after all although an and another any are as assume at because before both but by calculate can compute"
+    " consider could determine did do does during each either estimate evaluate every explain express few find first for"
+    " from give given had has have he her here his how however i if in into is it its let many more most my next no not now"
+    " of on once one only or other our over she should show simplify since so solve some state suppose than that the their"
+    " then there these they this those though thus to under until was we were what when where whether which while who whom"
+    " whose why will with without would write yet you your".split()
+)
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
 _NUMBER = re.compile(r"([$€£]?)[+-]?\d+(?:[.,:/]\d+)*(%|[a-zA-Z]{1,3})?$")
 _ENDS = re.compile(r"[.!?:]['\")\]]*$")
@@ -58,48 +71,95 @@ _ENDS = re.compile(r"[.!?:]['\")\]]*$")
 REMEMBERED = 500_000
 
 # bits of a word's form, below its 56-bit hash
-_CAPITAL, _STOPS, _IS_UNIT, _EMPTY, _IS_NUMBER = 1, 2, 4, 8, 16
+_CAPITAL, _STOPS, _IS_UNIT, _EMPTY, _IS_NUMBER, _OPENER = 1, 2, 4, 8, 16, 32
+#: Forms of a text: names within sentences; names that open sentences too; plain words.
+INNER, OPENING, PLAIN = 0, 1, 2
 
 
-def _form(word: str) -> tuple[int, int]:
-    """(token, flags) of one raw word, as far as it does not depend on its neighbours."""
+def _form(word: str) -> tuple[int, int, int]:
+    """(token, flags, plain token) of one raw word, as far as it does not depend on its neighbours."""
     bare = _EDGE.sub("", word)
     flags = _STOPS if _ENDS.search(word) else 0
-    if not bare:
-        return 0, flags | _EMPTY
     lower = bare.lower()
+    # signs are plain words
+    plain = max(xxhash.xxh64_intdigest((lower or word).encode()) >> 8, 4)
+    if not bare:
+        return 0, flags | _EMPTY, plain
     if _NUMBER.match(bare) or lower in NUMBER_WORDS:
-        return NUMBER, flags | _IS_NUMBER
+        return NUMBER, flags | _IS_NUMBER, plain
     if lower in UNITS:
         flags |= _IS_UNIT
+    if lower in OPENERS:
+        flags |= _OPENER
     if len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
         flags |= _CAPITAL
-    return max(xxhash.xxh64_intdigest(lower.encode()) >> 8, 4), flags
+    return plain, flags, plain
 
 
 class _Forms(dict):
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> tuple[int, int, int]:
         if len(self) > REMEMBERED:
             self.clear()
         self[word] = found = _form(word)
         return found
 
 
-def canonical(text: str, forms: dict) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Tokens, the place of each token's (first) word, and the words."""
+def _words_of(text: str, forms: dict) -> tuple[list[str], np.ndarray]:
+    """The words, and the forms of each."""
     words = text.replace("\n", ".\n").split()
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), words
-    pairs = np.array([forms[w] for w in words], dtype=np.int64)
-    tokens, flags = pairs[:, 0], pairs[:, 1]
+    return words, np.array([forms[w] for w in words], dtype=np.int64).reshape(-1, 3)
+
+
+def _tokens_of(found: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of one form of a text, and the place of each token's (first) word."""
+    flags = found[:, 1]
+    if form == PLAIN:
+        # a line's end alone is no word
+        kept = np.flatnonzero(flags & (_EMPTY | _STOPS) != _EMPTY | _STOPS)
+        return found[kept, 2], kept
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     opens = np.append(True, flags[:-1] & _STOPS != 0)
+    if form == OPENING:
+        opens &= flags & _OPENER != 0
     after_number = np.append(False, flags[:-1] & _IS_NUMBER != 0)
-    tokens = np.where((flags & _CAPITAL != 0) & ~opens, NAME, tokens)
+    tokens = np.where((flags & _CAPITAL != 0) & ~opens, NAME, found[:, 0])
     tokens = np.where((flags & _IS_UNIT != 0) & after_number, UNIT, tokens)
     kept = np.flatnonzero(flags & _EMPTY == 0)
     tokens = tokens[kept]
     single = np.append(True, (tokens[1:] != NAME) | (tokens[:-1] != NAME))[: len(tokens)]
-    return tokens[single], kept[single], words
+    return tokens[single], kept[single]
+
+
+def canonical(text: str, forms: dict) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Tokens, the place of each token's (first) word, and the words."""
+    words, found = _words_of(text, forms)
+    return *_tokens_of(found, INNER), words
+
+
+def _usable(tokens: np.ndarray, form: int, size: int, window: int, literals: int, known: np.ndarray | None) -> np.ndarray:
+    """The places of windows with enough literals, of ``known`` tokens only."""
+    if size < 1 or len(tokens) < size:
+        return np.zeros(0, np.int64)
+    placeholder = tokens <= UNIT
+    good = np.ones(len(tokens), dtype=bool)
+    if known is not None and len(known):
+        near = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        good = placeholder | (known[near] == tokens)
+    good, literal = np.append(0, np.cumsum(good)), np.append(0, np.cumsum(~placeholder))
+    least = 0 if form == PLAIN else min(literals, window)
+    return np.flatnonzero((good[size:] - good[:-size] == size) & (literal[size:] - literal[:-size] >= least))
+
+
+def _item_forms(found: np.ndarray, window: int, literals: int) -> list[int]:
+    """The forms in which an item is looked for."""
+    inner, opening = _tokens_of(found, INNER)[0], _tokens_of(found, OPENING)[0]
+    forms = [INNER] if np.array_equal(inner, opening) else [INNER, OPENING]
+    kept = [f for f in forms if len(_usable(t := (inner, opening)[f], f, min(window, len(t)), window, literals, None))]
+    if kept:
+        return kept
+    plain = _tokens_of(found, PLAIN)[1]
+    return [PLAIN] if len(plain) >= literals and (found[plain, 1] & (_IS_NUMBER | _EMPTY) == 0).any() else []
 
 
 def _hashes(tokens: np.ndarray, window: int) -> np.ndarray:
@@ -128,34 +188,31 @@ def _slot_values(tokens: np.ndarray, places: np.ndarray, words: list[str], at: i
 def _windows(
     batches: Iterable[pa.RecordBatch], window: int, literals: int, keys: tuple[str, ...], shared: object, lengths: object
 ) -> Iterator[pa.RecordBatch]:
-    """Windows with their hash, place and placeholder values; ``shared``: sorted tokens that items have."""
+    """Windows with their hash, place and placeholder values; ``shared``: sorted tokens that items have, by form;
+    ``lengths``: sizes of windows by form, None for items."""
     forms = _Forms()
-    known = None if shared is None else shared.value
-    sizes = [window] if lengths is None else lengths.value
+    known = {} if shared is None else shared.value
     for batch in pieces(batches, rows=500):
-        rows, hashes, places, totals, slots = [], [], [], [], []
+        rows, hashes, places, totals, kinds, slots = [], [], [], [], [], []
         for row, text in enumerate(strings(batch.column("text"))):
-            tokens, at, words = canonical(text.decode("utf-8", "replace"), forms)
-            placeholder = tokens <= UNIT
-            usable = np.ones(len(tokens), dtype=bool)
-            if known is not None and len(known):
-                near = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                usable = placeholder | (known[near] == tokens)
-            good, literal = np.append(0, np.cumsum(usable)), np.append(0, np.cumsum(~placeholder))
-            whole = [min(window, len(tokens))] if lengths is None else sizes
-            for size in whole:
-                n = len(tokens) - size + 1
-                if size < 1 or n < 1:
-                    continue
-                start = np.arange(n)
-                start = start[(good[size:] - good[:-size] == size) & (literal[size:] - literal[:-size] >= min(literals, window))]
-                if not len(start):
-                    continue
-                hashes.append(_hashes(tokens, size)[start])
-                rows.append(np.full(len(start), row))
-                places.append(start)
-                totals.append(np.full(len(start), n))
-                slots += [_slot_values(tokens, at, words, s, size) if placeholder[s : s + size].any() else [] for s in start.tolist()]
+            words, found = _words_of(text.decode("utf-8", "replace"), forms)
+            for form in _item_forms(found, window, literals) if lengths is None else lengths.value:
+                tokens, at = _tokens_of(found, form)
+                for size in [min(window, len(tokens))] if lengths is None else lengths.value[form]:
+                    start = _usable(tokens, form, size, window, literals, known.get(form))
+                    if not len(start):
+                        continue
+                    # a form meets itself only
+                    hashes.append(_hashes(tokens, size)[start] ^ np.int64(form))
+                    rows.append(np.full(len(start), row))
+                    places.append(start)
+                    totals.append(np.full(len(start), len(start)))
+                    kinds.append(np.full(len(start), form))
+                    if form == PLAIN:
+                        slots += [[]] * len(start)
+                        continue
+                    placeholder = tokens <= UNIT
+                    slots += [_slot_values(tokens, at, words, s, size) if placeholder[s : s + size].any() else [] for s in start.tolist()]
         if not hashes:
             continue
         of = pa.array(np.concatenate(rows))
@@ -165,24 +222,27 @@ def _windows(
                 pa.array(np.concatenate(hashes)),
                 pa.array(np.concatenate(places)),
                 pa.array(np.concatenate(totals)),
+                pa.array(np.concatenate(kinds), pa.int32()),
                 pa.array(slots, pa.list_(pa.string())),
             ],
-            names=[*keys, "window", "place", "windows", "slots"],
+            names=[*keys, "window", "place", "windows", "form", "slots"],
         )
 
 
-def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forms = _Forms()
-    for batch in pieces(batches):
-        found = [canonical(t.decode("utf-8", "replace"), forms)[0] for t in strings(batch.column("text"))]
-        yield pa.RecordBatch.from_pydict({"token": pa.array(np.unique(np.concatenate(found))), }) if found else None
-
-
-def _item_sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_tokens(batches: Iterable[pa.RecordBatch], window: int, literals: int, sizes: bool) -> Iterator[pa.RecordBatch]:
+    """Tokens of the items by form, or their sizes, at most ``window``."""
     forms = _Forms()
     for batch in pieces(batches):
-        found = [len(canonical(t.decode("utf-8", "replace"), forms)[0]) for t in strings(batch.column("text"))]
-        yield pa.RecordBatch.from_pydict({"size": pa.array(found, pa.int32())})
+        kinds, values = [], []
+        for text in strings(batch.column("text")):
+            found = _words_of(text.decode("utf-8", "replace"), forms)[1]
+            for form in _item_forms(found, window, literals):
+                tokens = _tokens_of(found, form)[0]
+                values.append(np.array([min(window, len(tokens))]) if sizes else np.unique(tokens))
+                kinds.append(np.full(len(values[-1]), form))
+        if values:
+            of = [pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(values), pa.int64())]
+            yield pa.RecordBatch.from_arrays(of, names=["form", "value"])
 
 
 def matches(
@@ -194,34 +254,37 @@ def matches(
     consistent: float = CONSISTENT,
     vocabulary_bytes: int = VOCABULARY_BYTES,
 ) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``item_id``, ``coverage`` (share of the item's windows met on one diagonal) and
+    """``doc_id``, ``text_hash``, ``item_id``, ``coverage`` (share of the item's usable windows met on one diagonal) and
     ``consistency`` of every document and item that match."""
     context = docs.sparkSession.sparkContext
     items = benchmark.where("item_id is not null").select(
         F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")
     )
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    of_items = partial(_item_tokens, window=window, literals=literals)
     shared = None
     if size <= vocabulary_bytes:
-        found = items.mapInArrow(_tokens, "token long").distinct().collect()  # fewer than the bytes just summed
-        shared = context.broadcast(np.array(sorted(r["token"] for r in found), dtype=np.int64))
-    # items shorter than a window are windows of their own size: at most ``window`` sizes
-    short = items.mapInArrow(_item_sizes, "size int").where((F.col("size") > 0) & (F.col("size") < window)).distinct().collect()
-    lengths = context.broadcast(sorted({window, *(r["size"] for r in short)}))
+        # fewer than three times the bytes just summed
+        found = items.mapInArrow(partial(of_items, sizes=False), "form int, value long").distinct().collect()
+        known = {f: np.array(sorted(r["value"] for r in found if r["form"] == f), dtype=np.int64) for f in (INNER, OPENING, PLAIN)}
+        shared = context.broadcast(known)
+    # items shorter than a window are windows of their own size: at most ``window`` sizes of each form
+    found = items.mapInArrow(partial(of_items, sizes=True), "form int, value long").distinct().collect()
+    lengths = context.broadcast({f: sorted(r["value"] for r in found if r["form"] == f) for f in {r["form"] for r in found}})
 
     cut = partial(_windows, window=window, literals=literals)
     asked = items.mapInArrow(
         partial(cut, keys=("item_id",), shared=None, lengths=None),
-        "item_id long, window long, place long, windows long, slots array<string>",
+        "item_id long, window long, place long, windows long, form int, slots array<string>",
     )
     asked = settle(asked.withColumnsRenamed({"window": "of_window", "place": "item_place", "slots": "item_slots"}), "item-windows")
     rows = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     held = rows.mapInArrow(
         partial(cut, keys=("doc_id", "text_hash"), shared=shared, lengths=lengths),
-        "doc_id long, text_hash long, window long, place long, windows long, slots array<string>",
-    ).drop("windows")
+        "doc_id long, text_hash long, window long, place long, windows long, form int, slots array<string>",
+    ).drop("windows", "form")
     met = held.join(asked, F.col("window") == F.col("of_window")).where(F.size("slots") == F.size("item_slots"))
-    diagonal = ["doc_id", "text_hash", "item_id", "windows", (F.col("place") - F.col("item_place")).alias("diagonal")]
+    diagonal = ["doc_id", "text_hash", "item_id", "windows", "form", (F.col("place") - F.col("item_place")).alias("diagonal")]
     on_one = met.groupBy(*diagonal).agg(
         F.count_distinct("item_place").alias("met"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("pairs"),
@@ -234,7 +297,7 @@ def matches(
         "item_id",
         (F.col("met") / F.col("windows")).alias("coverage"),
         F.when(n_pairs == 0, 1.0).otherwise(F.least(*sides) / n_pairs).alias("consistency"),
-        (F.col("met") >= F.least(F.lit(least), F.col("windows"))).alias("enough"),
+        (F.col("met") >= F.when(F.col("form") == PLAIN, F.col("windows")).otherwise(F.least(F.lit(least), F.col("windows")))).alias("enough"),
     )
     return (
         measured.where(F.col("enough") & (F.col("consistency") >= consistent))

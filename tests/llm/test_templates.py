@@ -79,6 +79,22 @@ def test_values_must_map_one_to_one(spark):
     assert [r.doc_id for r in templates.matches(docs, items).collect()] == [1]
 
 
+def test_dense_items_are_found(spark):
+    named = "Tom has 5 apples. Ann has 7 apples. Bob has 9 apples. How many apples do they have?"
+    dense = "On 3 May 2019 Anna Smith paid Paul Meyer 40 euros, and on 7 June 2020 Paul Meyer paid 12 euros"
+    few = "12 15 Anna 7 9 Paul 4 8 what is the sum of all of 3 4 Maria 6 7 Otto 9 2 Emil"
+    items = spark.createDataFrame([(1, named), (2, dense), (3, few), (4, "What is 5 + 7?")], "item_id long, text string")
+    other = named.replace("Tom", "Eva").replace("Ann", "Max").replace("Bob", "Kim").replace("5", "6").replace("9", "8")
+    texts = {
+        1: named, 2: "We read this. " + other + " So it ends.", 3: dense, 4: "He said: " + dense + ".", 5: few,
+        6: dense.replace("40", "41"), 7: "So what is 5 + 7? It is 12.", 8: "what is 5 + 8",
+    }
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], SCHEMA)
+    for vocabulary in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id) for r in templates.matches(docs, items, vocabulary_bytes=vocabulary).collect()}
+        assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (7, 4)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 0)], SCHEMA)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
