@@ -35,7 +35,7 @@ STOP_WORDS = frozenset(
     """.split()
 )
 # fixed values: element names and words in class, id and role that mark what is no main text
-SILENT = frozenset("script style noscript template svg math head title textarea select button iframe object canvas audio video map datalist".split())
+SILENT = frozenset("script style noscript template svg math title textarea select button iframe object canvas audio video map datalist".split())
 ASIDE = frozenset("nav footer aside form header menu dialog fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3"
@@ -54,10 +54,17 @@ SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
 LINKS = 0.33
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+#: Raw text up to the literal end tag comes first: what looks like tags in it is none.
+_TOKEN = re.compile(
+    r"(?P<raw><(?P<of>(?i:script|style|textarea|title|xmp|iframe|noembed|noframes))(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>"
+    r".*?(?:</(?i:(?P=of))(?=[\s/>])[^>]*>|\Z))|<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<",
+    re.S,
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Classes that say what a page has or allows, not what the element is.
+_STATE = re.compile(r"(?:has|no|with|without|is)[-_]|.*[-_](?:open|opened|closed|enabled|disabled|on|off)$", re.I)
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -74,15 +81,16 @@ class Block:
 def _hinted(tag: str) -> bool:
     for found in _HINT.finditer(tag):
         value = next(v for v in found.groups() if v is not None)
-        if any(w.lower() in HINTS for w in _WORD.findall(value)):
+        if any(w.lower() in HINTS for v in value.split() if not _STATE.match(v) for w in _WORD.findall(v)):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order; what silent elements hold is left out."""
+def blocks_of(page: str, outer_hints: bool = True) -> list[Block]:
+    """Blocks in page order; what silent elements hold is left out. Without ``outer_hints``, a hint counts only within
+    another hinted element."""
     found: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, aside, article
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, aside, article, a hint passed over
     parts: list[str] = []
     links: list[str] = []
     articles, in_link, skip = 0, 0, ""
@@ -93,12 +101,14 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             linked = len(" ".join(html.unescape("".join(links)).split()))
             inside = next((k for name, k in reversed(within) if name), 0)
-            found.append(Block(text, linked, inside, any(a for _, a, _ in open_), current["heading"]))
+            found.append(Block(text, linked, inside, any(o[1] for o in open_), current["heading"]))
         parts.clear()
         links.clear()
 
     within: list[tuple[str, int]] = []
     for token in _TOKEN.finditer(page):
+        if token["raw"]:
+            continue
         piece = token.group()
         if piece[0] != "<" or len(piece) == 1:
             if not skip:
@@ -137,13 +147,15 @@ def blocks_of(page: str) -> list[Block]:
         elif name not in VOID and not piece.endswith("/>"):
             if name in ("p", "li", "tr", "td", "th", "dt", "dd") and open_ and open_[-1][0] == name:
                 open_.pop()
-            hinted = _hinted(piece) and name not in ("html", "body")
-            main = name in ("article", "main") and not hinted and not any(a for _, a, _ in open_)
+            hinted = _hinted(piece) and name not in ("html", "head", "body")
+            passed = hinted and not outer_hints and not any(o[3] for o in open_)
+            hinted = hinted and not passed
+            main = name in ("article", "main") and not hinted and not any(o[1] for o in open_)
             aside = hinted or (name in ASIDE and not (name == "header" and within))
             if main:
                 articles += 1
                 within.append((name, articles))
-            open_.append((name, aside, main))
+            open_.append((name, aside, main, passed))
         current["heading"] = name in HEADINGS and not closing
     end()
     return found
@@ -191,7 +203,11 @@ def _inherited(blocks: list[Block], first: list[str], k: int) -> str:
 
 
 def main_text(page: str) -> str:
-    return "\n".join(b.text for b in decide(blocks_of(page)) if b.label == "good")
+    texts = [b.text for b in decide(blocks_of(page)) if b.label == "good"]
+    if not texts:
+        # a hint on a container of everything: the rules for blocks decide
+        texts = [b.text for b in decide(blocks_of(page, outer_hints=False)) if b.label == "good"]
+    return "\n".join(texts)
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,20 @@ def test_rules(body, want):
     assert html_text.main_text(page(body)) == "\n".join(" ".join(w.split()) for w in want)
 
 
+@pytest.mark.parametrize(
+    "given",
+    [
+        f"<script>for(i=0;i<n;i++){{f(i)}}</script><article><p>{LONG}</p></article><script>x</script>",
+        f"<html><head><meta charset=utf-8><title>T</title><body><p>{LONG}</p></body></html>",
+        f"<div class='layout has-sidebar'><p>{LONG}</p><div class=ad>{LONG}</div></div>",
+        f"<div class='sidebar-layout'><p>{LONG}</p><div class=ad>{LONG}</div></div>",
+        f"<article class='post comments-open'><p>{LONG}</p></article><p>Also {LONG}</p>",
+    ],
+)
+def test_whole_articles_are_kept(given):
+    assert html_text.main_text(given) == LONG.strip()
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (3, "u", "a < b"), (3, "u", "a < b")]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
