@@ -105,19 +105,19 @@ def valid_credits(credits: DataFrame, periods: DataFrame, keys: list[str]) -> Da
     )
 
 
-def first_currency() -> Column:
-    """Aggregate: the currency of the line with the least position, as one number; see ``currency_text``.
+def invoice_heads(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Per invoice the sum of its lines, their number and the currency of the line with the least ``position``.
 
-    Eight bytes of the currency behind the position: a text in the state would turn the aggregate into a sort.
+    Lines are summed per currency first, where ``position`` is the only ordered state: with a whole number that is a
+    hash aggregate, whatever the currency's length. The second aggregate picks among an invoice's few currencies.
     """
-    text = F.rpad(F.col("price_config.currency"), 8, " ").cast("binary")
-    code = F.conv(F.hex(text), 16, 10).cast("decimal(20,0)")
-    return F.min((F.col("position").cast("decimal(17,0)") * F.lit(str(10**20)).cast("decimal(21,0)") + code).cast("decimal(38,0)"))
-
-
-def currency_text(code: Column) -> Column:
-    low = (code % F.lit(str(10**20)).cast("decimal(21,0)")).cast("decimal(20,0)").cast("string")
-    return F.rtrim(F.unhex(F.conv(low, 10, 16)).cast("string"))
+    by_currency = lines.groupBy(*keys, F.col("price_config.currency").alias("currency")).agg(
+        F.sum("subtotal").cast(SUM).alias("_sum"), F.count("*").alias("_n"), F.min("position").alias("_first")
+    )
+    first = F.min(F.struct("_first", "currency"))["currency"]
+    return by_currency.groupBy(*keys).agg(
+        F.sum("_sum").cast(SUM).alias("subtotal"), first.alias("currency"), F.sum("_n").alias("n_lines")
+    )
 
 
 def invoice_totals(headers: DataFrame) -> DataFrame:
@@ -147,19 +147,14 @@ def invoices(
     tax_rate: Column | float = 0,
     invoice: list[str] | None = None,
 ) -> DataFrame:
-    """One invoice per group of rated lines (``period_end`` and ``position``, a whole number, included).
+    """One invoice per group of rated lines (``period_end`` and ``position``, of any ordered type, included).
 
     Commitments and credits belong to the customer columns of the invoice keys. All uses of the sums per invoice
     share one shuffle of the lines' partial sums.
     """
     invoice = invoice or INVOICE
     customer = [c for c in invoice if c != "period_start"]
-    heads = lines.groupBy(*invoice, "period_end").agg(
-        F.sum("subtotal").cast(SUM).alias("subtotal"),
-        first_currency().alias("_currency"),
-        F.count("*").alias("n_lines"),
-    )
-    heads = heads.withColumn("currency", currency_text(F.col("_currency"))).drop("_currency")
+    heads = invoice_heads(lines, [*invoice, "period_end"])
     periods = heads.select(*invoice, "period_end")
     if commitments is None:
         heads = heads.withColumn("commitment_credit", F.lit(0).cast(SUM))

@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The fallback folder of each local application; the setting itself cannot be changed in a running session.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only a local session may fall back to a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tallymill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="tallymill-")
+        folder = _local[context.applicationId]
     return folder.rstrip("/")
 
 

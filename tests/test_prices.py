@@ -126,6 +126,20 @@ def test_tax(spark):
     assert (got.tax, got.total) == (D(1), D(11))
 
 
+def test_currency_of_the_first_line_whatever_its_length(spark):
+    lines = frame(
+        spark,
+        [
+            ("t", "c", date(2024, 1, 1), date(2024, 1, 31), n, "1", "2", (*config("flat", "1")[:1], currency, *config("flat", "1")[2:]))
+            for n, currency in [(7, "USD"), (3, "POINTS-GOLD"), (5, None), (3, "POINTS-GOLD")]
+        ],
+        f"tenant_id string, customer_ref string, period_start date, period_end date, position int, quantity {RATED_QTY}, "
+        f"subtotal {RATED_QTY}, price_config {PRICE_CONFIG}",
+    )
+    got = rating.invoices(lines).first()
+    assert (got.currency, got.n_lines, got.total) == ("POINTS-GOLD", 4, D(8))
+
+
 def test_plan_overage(spark):
     got = spark.range(1).select(whatif.overage_units(F.lit("12").cast(RATED_QTY), F.lit("10").cast(RATED_QTY))).first()[0]
     assert got == D(2)
