@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import ball_tree, html_text, language_model, licences, mixing, repeats, simhash, templates, token_files, toxicity
+from tallymill.llm import ball_tree, html_text, language_model, licences, minhash, mixing, repeats, simhash, templates, token_files, toxicity
 from tallymill.llm.frames import ship, table
 from tallymill.sources.work import new_folder
 
@@ -87,6 +87,13 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+@query
+def op11_minhash_links(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, folder, "documents"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
 ORACLES["op2_ball_tree_top5"] = """
     WITH vectors AS (
       SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -99,3 +106,28 @@ ORACLES["op2_ball_tree_top5"] = """
     SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs) WHERE place <= 5
 """
+
+ORACLES["op11_minhash_links"] = r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), sets AS (
+      SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s
+      FROM words
+    ), classes AS (
+      SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS first FROM sets WHERE len(s) > 0 GROUP BY s
+    ), shingles AS (SELECT c, n, unnest(s) AS h FROM classes
+    ), pairs AS (
+      SELECT a.c AS x, b.c AS y FROM shingles a JOIN shingles b ON a.h = b.h AND a.c < b.c
+      GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ), edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs
+    ), reach AS (SELECT c AS x, c AS y FROM classes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
+    ), least AS (SELECT r.x AS c, min(first) AS component_id FROM reach r JOIN classes k ON r.y = k.c GROUP BY r.x
+    ), found AS (
+      SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id
+      FROM sets LEFT JOIN (SELECT s, component_id FROM classes JOIN least USING (c)) k ON sets.s = k.s
+    )
+    SELECT doc_id, n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM found
+"""
