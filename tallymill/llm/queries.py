@@ -10,7 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import ball_tree, html_text, language_model, licences, minhash, mixing, repeats, simhash, templates, token_files, toxicity
+from tallymill.llm import (
+    ball_tree,
+    conversations,
+    html_text,
+    language_model,
+    licences,
+    minhash,
+    mixing,
+    repeats,
+    simhash,
+    templates,
+    token_files,
+    toxicity,
+)
+from tallymill.llm.conversation_sql import REPAIR
 from tallymill.llm.frames import ship, table
 from tallymill.sources.work import new_folder
 
@@ -94,6 +108,11 @@ def op11_minhash_links(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept)
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
+
+
 ORACLES["op2_ball_tree_top5"] = """
     WITH vectors AS (
       SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -131,3 +150,4 @@ ORACLES["op11_minhash_links"] = r"""
     )
     SELECT doc_id, n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM found
 """
+ORACLES["op12_conversation_repair"] = REPAIR
