@@ -21,6 +21,7 @@ from tallymill.llm import (
     repeats,
     simhash,
     templates,
+    token_alignment,
     token_files,
     toxicity,
 )
@@ -113,6 +114,11 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
 
 
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.digest(table(spark, folder, "documents"))
+
+
 ORACLES["op2_ball_tree_top5"] = """
     WITH vectors AS (
       SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
