@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymill.functions.period import hours, period_end, period_start, seconds, too_late
+from tallymill.operators.bloom import might_hold
 from tallymill.operators.joins import attach, lookup
 from tallymill.schemas import CKEY, KEY, QTY, SUM
+from tallymill.sources.work import settle
 
 
 # Two quantities differ by less than this many millionths, so it separates event times.
@@ -101,10 +103,19 @@ def affected_keys(batch: DataFrame) -> DataFrame:
 
 
 def reaggregate(ledger: DataFrame, affected: DataFrame) -> DataFrame:
-    """Counters of the affected keys only, folded over the whole ledger slice of each period."""
+    """Counters of the affected keys only, folded over the whole ledger slice of each period.
+
+    The affected periods are one row per billing period, few enough to send to every task: on a ledger stored by
+    period they prune its folders while the query runs. A Bloom filter of the affected keys then drops most other
+    rows before the fold, and the exact semi join meets one row per key and task.
+    """
     events = ledger if "period_start" in ledger.columns else ledger.withColumn("period_start", period_start(F.col("ts")))
-    # aggregated first, so one row per key and task meets the semi join, however many keys are affected
-    built = fold(events.select(*CKEY, "quantity", "ts"), CKEY).join(affected, CKEY, "left_semi")
+    # written once: three uses below
+    affected = settle(affected.select(*CKEY).distinct(), "affected-keys")
+    # the comparison, true for any date, tells the optimizer that the periods are a selection worth pruning by
+    periods = affected.filter(F.col("period_start") >= F.lit("0001-01-01").cast("date")).select("period_start").distinct()
+    inside = events.join(F.broadcast(periods), "period_start", "left_semi").filter(might_hold(affected, CKEY))
+    built = fold(inside.select(*CKEY, "quantity", "ts"), CKEY).join(affected, CKEY, "left_semi")
     return built.withColumn("period_end", period_end(F.col("period_start")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import money
 from tallymill.operators.counters import measure
+from tallymill.operators.intervals import overlaps
 from tallymill.operators.joins import lookup
 from tallymill.operators.prefix import prefix_totals
 from tallymill.schemas import MONEY, PRICE_CONFIG, RATED_QTY, SUM
@@ -55,18 +56,10 @@ def tier_breakdown(usage: DataFrame) -> DataFrame:
 def active_commitments(commitments: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
     """Commitments that overlap a billing period: ``start <= period_end and end >= period_start``.
 
-    Each commitment is listed under the months it covers, so the join has an equal month
-    and one customer's rows spread over months. ``periods`` has keys, period_start and period_end,
-    each period inside one month.
+    Joined by equality on dyadic blocks of days; an open end (9999-12-31) gives at most 22 of them.
+    ``periods`` has keys, period_start and period_end.
     """
-    months = F.sequence(F.trunc("start_date", "MM"), F.trunc("end_date", "MM"), F.expr("interval 1 month"))
-    listed = commitments.filter(F.col("start_date") <= F.col("end_date")).withColumn("_month", F.explode(months))
-    wanted = periods.withColumn("_month", F.trunc("period_start", "MM"))
-    return (
-        wanted.join(listed, keys + ["_month"])
-        .filter((F.col("start_date") <= F.col("period_end")) & (F.col("end_date") >= F.col("period_start")))
-        .drop("_month")
-    )
+    return overlaps(commitments, periods, keys, ("start_date", "end_date"), ("period_start", "period_end"))
 
 
 def commitment_credit(subtotals: DataFrame, active: DataFrame, invoice: list[str]) -> DataFrame:

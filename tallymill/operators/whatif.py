@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymill.functions import money
+from tallymill.operators.asof import as_of
 from tallymill.operators.joins import attach, lookup
 from tallymill.operators.prefix import previous_by_value, running_sum
 from tallymill.operators.rating import rate_lines
@@ -299,44 +300,15 @@ def burn_totals(burned: DataFrame) -> DataFrame:
 # ---- plan changes -----------------------------------------------------------
 
 
-def item_segments(changes: DataFrame, months: DataFrame) -> DataFrame:
-    """Time segments with their subscription item, cut at month starts.
+def split_by_item(usage: DataFrame, changes: DataFrame) -> DataFrame:
+    """Usage per customer, metric, month and the item that was active at the time; before the first change, none.
 
-    ``changes``: customer_ref, changed_at, item. ``months``: customer_ref, period_start where segments are needed.
-    The item carried into a month comes from one row per customer and month, so the ordered step
-    over a customer sees months, and the ordered step over changes sees one month.
+    ``changes``: customer_ref, changed_at, item; of changes at one time the greatest item counts. An event takes the
+    newest change at or before it, so no event meets any other segment of the customer's timeline.
     """
-    single = changes.groupBy("customer_ref", "changed_at").agg(F.max("item").alias("item")).withColumn(
-        "period_start", F.trunc("changed_at", "MM")
-    )
-    last = single.groupBy("customer_ref", "period_start").agg(F.max_by("item", "changed_at").alias("_last"))
-    grid = months.join(last, ["customer_ref", "period_start"], "full_outer")
-    earlier = W.partitionBy("customer_ref").orderBy("period_start").rowsBetween(W.unboundedPreceding, -1)
-    carried = grid.select(
-        "customer_ref",
-        "period_start",
-        F.col("period_start").cast("timestamp").alias("valid_from"),
-        F.last("_last", ignorenulls=True).over(earlier).alias("item"),
-        F.lit(0).alias("_rank"),
-    ).filter(F.col("item").isNotNull())
-    own = single.select(
-        "customer_ref", "period_start", F.col("changed_at").alias("valid_from"), "item", F.lit(1).alias("_rank")
-    )
-    inside = W.partitionBy("customer_ref", "period_start").orderBy("valid_from", "_rank")
-    month_end = F.add_months("period_start", 1).cast("timestamp")
-    return (
-        carried.unionByName(own)
-        .withColumn("valid_to", F.coalesce(F.lead("valid_from").over(inside), month_end))
-        .drop("_rank")
+    placed = as_of(
+        usage.select("customer_ref", "metric", "period_start", "ts", "quantity"), changes, ["customer_ref"], "ts", "changed_at", ["item"]
     )
-
-
-def split_by_item(usage: DataFrame, changes: DataFrame) -> DataFrame:
-    """Usage per customer, metric, month and the item that was active at the time; before the first change, none."""
-    keys = ["customer_ref", "period_start"]
-    segments = item_segments(changes, usage.select(*keys).distinct())
-    inside = (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("valid_to"))
-    placed = attach(usage, segments, keys, "left", extra=inside)
     return placed.groupBy("customer_ref", "metric", "period_start", "item").agg(
         F.sum("quantity").cast(SUM).alias("agg_sum"), F.count("*").alias("n_events")
     )

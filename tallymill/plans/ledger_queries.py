@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from tallymill.functions import identity
 from tallymill.operators import counters as C
 from tallymill.operators import dedup, listing, validate
+from tallymill.operators.asof import as_of
 from tallymill.plans import tables as T
 from tallymill.plans.oracle import event_key, sql, values
 from tallymill.plans.registry import query
-from tallymill.schemas import CKEY
+from tallymill.schemas import CKEY, KEY
+from tallymill.sources import sinks
+from tallymill.sources.work import new_folder
 
 _COUNTER = "tenant_id, metric, customer_ref, period_start, period_end, agg_sum, agg_max, agg_last, watermark_ts"
 
@@ -355,6 +358,47 @@ def reaggregate(spark, folder):
     return C.reaggregate(events, C.affected_keys(batch))
 
 
+@query(
+    "reaggregate_on_disk",
+    sql(
+        f"""
+        SELECT {_COUNTER} FROM ship_counters SEMI JOIN (
+          SELECT DISTINCT {', '.join(CKEY)} FROM shipments
+          WHERE ts >= TIMESTAMP '1995-03-01' AND ts < TIMESTAMP '1995-05-01' AND metric <> 'A'
+        ) a USING ({', '.join(CKEY)})
+        """
+    ),
+)
+def reaggregate_on_disk(spark, folder):
+    """Counters of the keys that two months' corrections touch, from a ledger stored by period."""
+    path = new_folder(spark, "ledger")
+    sinks.append_ledger(T.shipments(spark, folder), path)
+    stored = spark.read.parquet(path)
+    corrected = stored.filter((F.col("ts") >= "1995-03-01") & (F.col("ts") < "1995-05-01") & (F.col("metric") != "A"))
+    return C.reaggregate(stored, C.affected_keys(corrected))
+
+
+@query(
+    "value_as_of",
+    sql(
+        """
+        SELECT k.tenant_id, k.metric, k.customer_ref, k.asked_at, p.ts AS newest_ts, p.quantity
+        FROM (SELECT tenant_id, metric, customer_ref, TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(d AS INTEGER)) AS asked_at
+              FROM (SELECT DISTINCT tenant_id, metric, customer_ref FROM plain), range(31) t(d)) k
+        ASOF LEFT JOIN (SELECT tenant_id, metric, customer_ref, ts, max(quantity) AS quantity FROM plain GROUP BY ALL) p
+        ON p.tenant_id = k.tenant_id AND p.metric = k.metric AND p.customer_ref = k.customer_ref AND k.asked_at >= p.ts
+        """
+    ),
+)
+def value_as_of(spark, folder):
+    """The newest quantity of every counter at noon of each day of January."""
+    events = T.plain_events(spark, folder).select(*KEY, "ts", "quantity")
+    days = F.sequence(F.lit("2024-01-01 12:00:00").cast("timestamp"), F.lit("2024-01-31 12:00:00").cast("timestamp"), F.expr("interval 1 day"))
+    asked = events.select(*KEY).distinct().select(*KEY, F.explode(days).alias("asked_at"))
+    facts = events.withColumn("newest_ts", F.col("ts"))
+    return as_of(asked, facts, KEY, "asked_at", "ts", ["newest_ts", "quantity"])
+
+
 @query(
     "lateness_class",
     sql("SELECT seq, batch_id, prior_watermark, lateness_class FROM classified"),

@@ -218,6 +218,28 @@ def commitment_overlap(spark, folder):
     )
 
 
+@query(
+    "commitment_overlap_open",
+    sql(
+        f"""
+        SELECT {_INV}, count(*) AS n_active, CAST(sum(amount - applied) AS DECIMAL(38,6)) AS available
+        FROM (SELECT DISTINCT {_INV}, period_end FROM ship_usage) p JOIN (
+          SELECT * EXCLUDE (end_date), CASE WHEN position % 2 = 0 THEN DATE '9999-12-31' ELSE end_date END AS end_date FROM commitments
+        ) c USING (tenant_id, customer_ref)
+        WHERE start_date <= period_end AND end_date >= period_start GROUP BY ALL
+        """
+    ),
+)
+def commitment_overlap_open(spark, folder):
+    """The same where every other commitment has no end."""
+    periods = shipment_usage(spark, folder).select(*rating.INVOICE, "period_end").distinct()
+    end = F.when(F.col("position") % 2 == 0, F.lit("9999-12-31").cast("date")).otherwise(F.col("end_date"))
+    active = rating.active_commitments(commitments(spark, folder).withColumn("end_date", end), periods, CUSTOMER)
+    return active.groupBy(*rating.INVOICE).agg(
+        F.count("*").alias("n_active"), F.sum(F.col("amount") - F.col("applied")).cast(SUM).alias("available")
+    )
+
+
 @query(
     "commitment_credit",
     sql(f"SELECT {_INV}, CAST(subtotal - rest AS DECIMAL(38,6)) AS commitment_credit FROM invoice_base JOIN rest_after USING ({_INV})"),
