@@ -304,11 +304,11 @@ def split_by_item(usage: DataFrame, changes: DataFrame) -> DataFrame:
     """Usage per customer, metric, month and the item that was active at the time; before the first change, none.
 
     ``changes``: customer_ref, changed_at, item; of changes at one time the greatest item counts. An event takes the
-    newest change at or before it, so no event meets any other segment of the customer's timeline.
+    newest change at or before it, so no event meets any other segment of the customer's timeline. Changes
+    are gathered per customer and day.
     """
-    placed = as_of(
-        usage.select("customer_ref", "metric", "period_start", "ts", "quantity"), changes, ["customer_ref"], "ts", "changed_at", ["item"]
-    )
+    events = usage.select("customer_ref", "metric", "period_start", "ts", "quantity")
+    placed = as_of(events, changes, ["customer_ref"], "ts", "changed_at", ["item"], slices="day")
     return placed.groupBy("customer_ref", "metric", "period_start", "item").agg(
         F.sum("quantity").cast(SUM).alias("agg_sum"), F.count("*").alias("n_events")
     )

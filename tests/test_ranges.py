@@ -51,8 +51,8 @@ def test_overlaps_are_those_of_a_loop_each_once(spark):
     assert "end_date" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_as_of_is_that_of_a_loop_with_a_hot_key(spark, partitions):
+@pytest.mark.parametrize("partitions, slices", [(1, None), (7, None), (4, "day"), (4, "hour")])
+def test_as_of_is_that_of_a_loop_with_a_hot_key(spark, partitions, slices):
     rng = random.Random(5)
     key = lambda: "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None])
     at = lambda: datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(3000))
@@ -63,7 +63,7 @@ def test_as_of_is_that_of_a_loop_with_a_hot_key(spark, partitions):
     try:
         got = as_of(
             spark.createDataFrame(points, "n int, k string, t timestamp"),
-            spark.createDataFrame(facts, "k string, seen timestamp, v int, name string"), ["k"], "t", "seen", ["v", "name"],
+            spark.createDataFrame(facts, "k string, seen timestamp, v int, name string"), ["k"], "t", "seen", ["v", "name"], slices,
         )
         found = sorted(map(tuple, got.collect()), key=str)
     finally:
