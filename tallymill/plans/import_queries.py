@@ -77,6 +77,23 @@ def csv_import_snake_case(spark, folder):
     return rows.withColumn("errors", F.array_join("errors", "; "))
 
 
+_BROKEN_KEY = "replace(idempotency_key, ', quoted', ',' || chr(10) || chr(10) || 'quoted')"
+
+
+def _broken(rows):
+    """The same rows with line breaks inside a quoted value."""
+    return rows.withColumn("idempotency_key", F.replace("idempotency_key", F.lit(", quoted"), F.lit(",\n\nquoted")))
+
+
+@query("csv_import_line_breaks", sql(f"SELECT * REPLACE ({_BROKEN_KEY} AS idempotency_key) FROM (SELECT {_IMPORTED} FROM spoiled)"))
+def csv_import_line_breaks(spark, folder):
+    """Export and import of values with line breaks; the files are still split."""
+    path = work.new_folder(spark, "events-broken")
+    sinks.write_events_csv(_broken(spoiled(spark, folder)), path)
+    rows = files.read_events_csv(spark, path, line_breaks=True)
+    return rows.withColumn("errors", F.array_join("errors", "; "))
+
+
 @query("json_import", sql(f"SELECT {_IMPORTED} FROM spoiled"))
 def json_import(spark, folder):
     """Files of one JSON array of at most 500 events each."""
@@ -115,6 +132,14 @@ def _replay_csv(spark, folder):
     return files.read_replay_csv(spark, path, "tx")
 
 
+@query("replay_csv_line_breaks", sql(f"SELECT * REPLACE ({_BROKEN_KEY} AS idempotency_key) FROM ({_REPLAYED})"))
+def replay_csv_line_breaks(spark, folder):
+    path = work.new_folder(spark, "replay-broken")
+    broken = _broken(_replay_rows(spark, folder).withColumnRenamed("id", "idempotency_key")).withColumnRenamed("idempotency_key", "id")
+    broken.write.option("header", True).option("escape", '"').csv(path)
+    return files.read_replay_csv(spark, path, "tx", line_breaks=True).withColumn("errors", F.array_join("errors", "; "))
+
+
 @query("replay_csv", sql(_REPLAYED))
 def replay_csv(spark, folder):
     return _replay_csv(spark, folder).withColumn("errors", F.array_join("errors", "; "))

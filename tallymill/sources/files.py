@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.identity import blank_to_null
 from tallymill.operators.validate import event_checks
 from tallymill.schemas import EXPECTED_FILE, LEDGER, QTY, SCENARIO_FILE, TIER
+from tallymill.sources import records
 
 # Accepted column names of an event file, first match wins.
 EVENT_COLUMNS = {
@@ -62,31 +63,47 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter(good).drop("errors"), events.filter(~good)
 
 
+_CSV_OPTIONS = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"'}
+
+
 def _csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", line_breaks)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    """Text columns of CSV files with a header, split into byte ranges in either way of reading."""
+    plain = spark.read.options(header=True, **_CSV_OPTIONS).csv(path)
+    if not line_breaks:
+        return plain
+    found = records.read_records(spark, path, "\n", records.csv_step, plain='"')
+    headers = records.first_of_each_file(found)
+    body = found.join(headers, ["file", "range", "place"], "left_anti").filter(F.trim(F.regexp_replace("text", r"\s", "")) != "")
+    schema = ", ".join(f"`{c}` string" for c in plain.columns)
+    return body.select(F.from_csv(F.rtrim(F.col("text"), F.lit("\r")), schema, _CSV_OPTIONS).alias("r")).select("r.*")
 
 
 def read_events_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Event CSV with a header; any path that the session's file systems know.
 
-    ``line_breaks``: quoted values may hold line breaks. A file is then read by one task; without, files are split
-    and such a record would come apart.
+    ``line_breaks``: quoted values may hold line breaks. Files are then read three times, but still split; without it,
+    such a record would come apart. Header names themselves hold no line breaks.
     """
     return normalize_events(_csv(spark, path, line_breaks))
 
 
 def read_events_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one JSON array of events each; a file that is no JSON ends the read with an error."""
+    """Files that hold one JSON array of events each; a file that is none ends the read with an error.
+
+    Arrays are cut into byte ranges at any comma, on one line or many, so a large array is read by several tasks.
+    Text between an element and the next comma is not looked at.
+    """
     names = [n for names in EVENT_COLUMNS.values() for n in names]
     schema = ", ".join(f"{n} string" for n in names)
-    return normalize_events(spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path))
+    found = records.read_records(spark, path, ",", records.json_step, level=1)
+    first = records.first_of_each_file(found).withColumn("first", F.lit(True))
+    # the array's own brackets stand in its first and its last element
+    opened = F.when(F.col("first"), F.regexp_replace("text", r"^[\s\uFEFF]*\[", "")).otherwise(F.col("text"))
+    bare = found.join(first, ["file", "range", "place"], "left").select(
+        F.when(F.col("depth") == 0, F.regexp_replace(opened, r"\]\s*$", "")).otherwise(opened).alias("text")
+    )
+    given = bare.filter(F.regexp_replace("text", r"\s", "") != "")
+    return normalize_events(given.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
 
 
 def _from_replay(rows: DataFrame, tenant: str) -> DataFrame:
@@ -108,8 +125,8 @@ def read_replay_jsonl(spark: SparkSession, path: str, tenant: str) -> DataFrame:
     return _from_replay(spark.read.schema(REPLAY_FILE).json(path), tenant)
 
 
-def read_replay_csv(spark: SparkSession, path: str, tenant: str) -> DataFrame:
-    rows = _csv(spark, path)
+def read_replay_csv(spark: SparkSession, path: str, tenant: str, line_breaks: bool = False) -> DataFrame:
+    rows = _csv(spark, path, line_breaks)
     for name in ("id", "resourceId", "meta"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
