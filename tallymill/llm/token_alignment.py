@@ -3,7 +3,7 @@
 A text is encoded whole by a byte-level vocabulary (A, with one space before it) and by a piece vocabulary (B, which adds
 that space itself). Where tokens of both end at one byte and space-marked tokens follow on both sides, the document is
 cut: the token ids between two such anchors are a window, and since token bytes depend on ids alone, a window's
-alignment is looked up by its two id tuples. Only windows not seen before are aligned, by one sweep over both sides.
+alignment is looked up by its two id tuples. Only windows not seen before are aligned, those of some hundred texts at once.
 
 Groups are the token runs between consecutive bytes where both sides end a token; links are the pairs of tokens whose
 bytes overlap. How many documents hold an id pair linked is counted over all of them: distinct pairs per document are
@@ -17,9 +17,11 @@ are ignored. Special tokens' strings are plain text. A window of any length is a
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -94,69 +96,111 @@ def piece_vocabulary(name: str) -> Vocabulary:
 # ---- one document -----------------------------------------------------------
 
 
-def sweep(a: list[int], b: list[int], sizes_a, sizes_b) -> tuple[str, list[int]]:
-    """The groups of two token runs over the same bytes, as text, and their links as ``a << 32 | b``."""
-    links, groups, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-    end_a, end_b = int(sizes_a[a[0]]), int(sizes_b[b[0]])
-    while True:
-        links.append(a[i] << 32 | b[j])
-        ahead = end_a - end_b
-        if ahead <= 0:
-            i += 1
-            end_a += int(sizes_a[a[i]]) if i < len(a) else 0
-        if ahead >= 0:
-            j += 1
-            end_b += int(sizes_b[b[j]]) if j < len(b) else 0
-        if ahead == 0:
-            groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-            from_i, from_j = i, j
-            if i == len(a):
-                return ";".join(groups), links
+def _distinct(*sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of windows that stand for all, and for each window its place among them. Windows are runs of ids on each
+    side, given by their starts; equal hashes are compared id by id."""
+    hashes = np.zeros(len(sides[0][1]) - 1, dtype=np.uint64)
+    places = []
+    for ids, starts in sides:
+        sizes = np.diff(starts)
+        place = np.arange(len(ids)) - np.repeat(starts[:-1], sizes)
+        places.append((sizes, place))
+        powers = np.cumprod(np.full(sizes.max(), 0x9E3779B97F4A7C15, dtype=np.uint64))
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(31)
+        hashes = hashes * np.uint64(0xFF51AFD7ED558CCD) + np.add.reduceat(mixed * powers[place], starts[:-1])
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    for (ids, starts), (sizes, place) in zip(sides, places):
+        same = first[which]
+        if not (np.array_equal(sizes[same], sizes) and np.array_equal(ids[np.repeat(starts[same], sizes) + place], ids)):
+            every = np.arange(len(hashes))
+            return every, every
+    return first, which
 
 
 class Aligner:
-    """Both vocabularies and the memory of windows: a text of groups and an array of links each."""
+    """Both vocabularies and the memory of windows: a text of groups and the bytes of links (``a << 32 | b``) each."""
 
     def __init__(self, byte_name: str, piece_name: str):
         self.a, self.b = byte_vocabulary(byte_name), piece_vocabulary(piece_name)
-        self.known: dict[tuple[bytes, bytes], tuple[str, np.ndarray]] = {}
-
-    def window(self, key: tuple[bytes, bytes]) -> tuple[str, np.ndarray]:
-        found = self.known.get(key)
-        if found is None:
-            a, b = (np.frombuffer(k, dtype=np.uint32).tolist() for k in key)
-            groups, links = sweep(a, b, self.a.sizes, self.b.sizes)
-            found = groups, np.array(links, dtype=np.int64)
-            if len(a) + len(b) <= MEMORABLE:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[key] = found
+        # what an id writes inside and at the end of its group's side
+        self.names = [np.array([f"{k}{end}" for k in range(len(v.tokens))], dtype=object) for v, end in zip((self.a, self.a, self.b, self.b), ",|,;")]
+        #: By the ids of A, then those of B with their sign bit set: one sequence that has one reading.
+        self.known: dict[bytes, tuple[str, bytes]] = {}
+
+    def windows(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[tuple[str, bytes]]:
+        """The alignments of windows given one after the other, with their numbers of tokens of both sides."""
+        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        # groups: those before a token's own say where its text stands
+        first_a = np.append(0, np.searchsorted(ends_a, shared, "right"))
+        first_b = np.append(0, np.searchsorted(ends_b, shared, "right"))
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        words = np.empty(len(a) + len(b), dtype=object)
+        last = shared[group_a] == ends_a
+        words[np.arange(len(a)) + first_b[group_a]] = np.where(last, self.names[1][a], self.names[0][a])
+        last = shared[group_b] == ends_b
+        words[np.arange(len(b)) + first_a[group_b + 1]] = np.where(last, self.names[3][b], self.names[2][b])
+        words = words.tolist()
+        # links: between two consecutive ends of either side lies one pair
+        every = np.union1d(ends_a, ends_b)
+        links = a[np.searchsorted(ends_a, every)].astype(np.int64) << 32 | b[np.searchsorted(ends_b, every)]
+        links = links.tobytes()
+        cuts = np.append(0, np.cumsum(sizes_a + sizes_b)).tolist()
+        link_cuts = np.append(0, 8 * np.searchsorted(every, ends_a[np.cumsum(sizes_a) - 1], "right")).tolist()
+        texts = ["".join(words[u:v])[:-1] for u, v in zip(cuts, cuts[1:])]
+        return list(zip(texts, [links[u:v] for u, v in zip(link_cuts, link_cuts[1:])]))
+
+    def _learned(self, keys: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+        """Aligns new windows, all at once, and remembers those that are not long."""
+        ids = np.frombuffer(b"".join(keys), dtype=np.uint32)
+        of_b = ids >> np.uint32(31) == 1
+        window = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
+        sizes_b = np.bincount(window[of_b], minlength=len(keys))
+        sizes_a = np.bincount(window[~of_b], minlength=len(keys))
+        found = dict(zip(keys, self.windows(ids[~of_b], ids[of_b] & np.uint32(0x7FFFFFFF), sizes_a, sizes_b)))
+        if len(self.known) + len(found) > REMEMBERED:
+            self.known.clear()
+        some = islice(((k, f) for k, f in found.items() if len(k) <= 4 * MEMORABLE), REMEMBERED)
+        self.known.update(some)
         return found
 
-    def align(self, text: bytes, a_ids: list[int], b_ids: list[int]):
-        """Numbers of tokens and groups, the groups and all links of a text; None if its tokens do not give it back."""
-        raw = b" " + text
-        if not text or not a_ids or not b_ids:
-            return None
-        for vocabulary, ids in ((self.a, a_ids), (self.b, b_ids)):
-            if b"".join(map(vocabulary.tokens.__getitem__, ids)) != raw:
-                return None
-        a, b = np.array(a_ids, dtype=np.uint32), np.array(b_ids, dtype=np.uint32)
+    def align(self, texts: list[bytes], a_lists: list[list[int]], b_lists: list[list[int]]) -> list:
+        """Per text the numbers of its tokens and groups, its groups and all links; None if its tokens do not give it back."""
+        out: list = [None] * len(texts)
+        usable = []
+        for k, (text, a_ids, b_ids) in enumerate(zip(texts, a_lists, b_lists)):
+            raw = b" " + text
+            if text and all(b"".join(map(v.tokens.__getitem__, i)) == raw for v, i in ((self.a, a_ids), (self.b, b_ids))):
+                usable.append(k)
+        if not usable:
+            return out
+        counts_a, counts_b = (np.array([len(x[k]) for k in usable]) for x in (a_lists, b_lists))
+        a, b = (np.fromiter(chain.from_iterable(x[k] for k in usable), np.uint32, n.sum()) for x, n in ((a_lists, counts_a), (b_lists, counts_b)))
+        # texts stand one after the other: each ends with tokens of both sides and the next begins with a space
         ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
         met = np.searchsorted(ends_b, ends_a)
         shared = np.flatnonzero(ends_b[met] == ends_a)
         next_a, next_b = shared[:-1] + 1, met[shared[:-1]] + 1
-        anchors = np.append(np.flatnonzero(self.a.marked[a[next_a]] & self.b.marked[b[next_b]]), len(shared) - 1)
-        cuts_a = (4 * (shared[anchors] + 1)).tolist()
-        cuts_b = (4 * (met[shared[anchors]] + 1)).tolist()
-        bytes_a, bytes_b = a.tobytes(), b.tobytes()
-        known, found, from_a, from_b = self.known, [], 0, 0
-        for to_a, to_b in zip(cuts_a, cuts_b):
-            key = (bytes_a[from_a:to_a], bytes_b[from_b:to_b])
-            found.append(known.get(key) or self.window(key))
-            from_a, from_b = to_a, to_b
-        groups, links = zip(*found)
-        return len(a), len(b), len(shared), ";".join(groups), np.concatenate(links)
+        anchors = shared[np.append(np.flatnonzero(self.a.marked[a[next_a]] & self.b.marked[b[next_b]]), len(shared) - 1)]
+        starts_a, starts_b = np.append(0, anchors + 1), np.append(0, met[anchors] + 1)
+        first, which = _distinct((a, starts_a), (b, starts_b))
+        cuts = [(4 * starts[first + k]).tolist() for starts in (starts_a, starts_b) for k in (0, 1)]
+        bytes_a, bytes_b = a.tobytes(), (b | np.uint32(1 << 31)).tobytes()
+        keys = [bytes_a[u:v] + bytes_b[x:y] for u, v, x, y in zip(*cuts)]
+        found = list(map(self.known.get, keys))
+        if None in found:
+            new = self._learned(list({k for k, f in zip(keys, found) if f is None}))
+            found = [f or new[k] for k, f in zip(keys, found)]
+        pairs = np.empty((2, len(found)), dtype=object)
+        pairs[0], pairs[1] = zip(*found)
+        groups, links = pairs[0][which].tolist(), pairs[1][which].tolist()
+        last_a = np.cumsum(counts_a) - 1
+        n_groups = np.diff(np.searchsorted(shared, last_a, "right"), prepend=0).tolist()
+        cuts = [0, *np.searchsorted(anchors, last_a, "right").tolist()]
+        for k, n_a, n_b, n, u, v in zip(usable, counts_a.tolist(), counts_b.tolist(), n_groups, cuts, cuts[1:]):
+            out[k] = n_a, n_b, n, ";".join(groups[u:v]), np.frombuffer(b"".join(links[u:v]), dtype=np.int64)
+        return out
 
 
 def _aligner(byte_name: str, piece_name: str) -> Aligner:
@@ -174,12 +218,13 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 def _aligned(batches: Iterable[pa.RecordBatch], byte_name: str, piece_name: str) -> Iterator[pa.RecordBatch]:
     aligner = _aligner(byte_name, piece_name)
     names = [c.split()[0] for c in ALIGNED.split(", ")]
-    for batch in pieces(batches, rows=500, size=8 << 20):
+    # the remembered windows are many small objects without cycles, which the collector would visit again and again
+    gc.disable()
+    for batch in pieces(batches, rows=1000, size=4 << 20):
         texts = strings(batch.column("text"))
         words = batch.column("text").to_pylist()
         numbers, groups, pairs, times = [], [], [], []
-        for text, a_ids, b_ids in zip(texts, aligner.a.encode(words), aligner.b.encode(words)):
-            found = aligner.align(text, a_ids, b_ids)
+        for found in aligner.align(texts, aligner.a.encode(words), aligner.b.encode(words)):
             if found is None:
                 numbers.append((0, 0, 0, 0))
                 groups.append("")

@@ -82,7 +82,7 @@ def expected(rows):
 @pytest.mark.parametrize("text", ODD)
 def test_groups_and_links_of_a_text(text):
     aligner = T._aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
-    got = aligner.align(text.encode(), aligner.a.encode([text])[0], aligner.b.encode([text])[0])
+    (got,) = aligner.align([text.encode()], aligner.a.encode([text]), aligner.b.encode([text]))
     want = by_hand(text)
     if want is None:
         assert got is None
@@ -94,10 +94,10 @@ def test_groups_and_links_of_a_text(text):
 def test_forgetting_changes_nothing(monkeypatch):
     aligner = T.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
     text = " ".join(ODD[13:] * 3)
-    one = aligner.align(text.encode(), aligner.a.encode([text])[0], aligner.b.encode([text])[0])
+    (one,) = aligner.align([text.encode()], aligner.a.encode([text]), aligner.b.encode([text]))
     monkeypatch.setattr(T, "REMEMBERED", 2)
     aligner.known.clear()
-    two = aligner.align(text.encode(), aligner.a.encode([text])[0], aligner.b.encode([text])[0])
+    (two,) = aligner.align([text.encode()], aligner.a.encode([text]), aligner.b.encode([text]))
     assert one[:4] == two[:4] and one[4].tolist() == two[4].tolist() and len(aligner.known) <= 2
 
 
