@@ -32,7 +32,7 @@ from tallymill.llm.frames import documents, pieces, strings
 from tallymill.sources.work import new_folder, settle
 
 #: Windows that a Python worker remembers; then it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 MEMORABLE = 64
 #: Id pairs whose counts are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_500_000
@@ -218,9 +218,9 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 def _aligned(batches: Iterable[pa.RecordBatch], byte_name: str, piece_name: str) -> Iterator[pa.RecordBatch]:
     aligner = _aligner(byte_name, piece_name)
     names = [c.split()[0] for c in ALIGNED.split(", ")]
-    # the remembered windows are many small objects without cycles, which the collector would visit again and again
-    gc.disable()
-    for batch in pieces(batches, rows=1000, size=4 << 20):
+    # windows are many small objects without cycles: the collector need not look after every few hundred of them
+    gc.set_threshold(50_000, 20, 20)
+    for batch in pieces(batches, rows=500, size=2 << 20):
         texts = strings(batch.column("text"))
         words = batch.column("text").to_pylist()
         numbers, groups, pairs, times = [], [], [], []
