@@ -91,7 +91,6 @@ def read_events_json(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one JSON array of events each; a file that is none ends the read with an error.
 
     Arrays are cut into byte ranges at any comma, on one line or many, so a large array is read by several tasks.
-    Text between an element and the next comma is not looked at.
     """
     names = [n for names in EVENT_COLUMNS.values() for n in names]
     schema = ", ".join(f"{n} string" for n in names)
@@ -103,7 +102,9 @@ def read_events_json(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("depth") == 0, F.regexp_replace(opened, r"\]\s*$", "")).otherwise(opened).alias("text")
     )
     given = bare.filter(F.regexp_replace("text", r"\s", "") != "")
-    return normalize_events(given.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+    # as an array of one, so that anything behind the element is an error too
+    one = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), f"array<struct<{schema.replace(' string', ': string')}>>", {"mode": "FAILFAST"})
+    return normalize_events(given.select(F.explode(one).alias("r")).select("r.*"))
 
 
 def _from_replay(rows: DataFrame, tenant: str) -> DataFrame:

@@ -96,7 +96,7 @@ def test_json_elements_equal_those_of_whole_files(spark, tmp_path, seed, size, i
     assert len(found) == 17
 
 
-@pytest.mark.parametrize("text", ["no json", '[{"metric": 1}, {"metric": ]'])
+@pytest.mark.parametrize("text", ["no json", '[{"metric": 1}, {"metric": ]', '[{"metric": "a"} {"metric": "b"}]'])
 def test_what_is_no_array_ends_the_read(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
     with pytest.raises(Exception, match="(?i)malformed|parse"):
