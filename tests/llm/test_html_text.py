@@ -2,7 +2,9 @@
 
 import html
 import os
+import random
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -48,6 +50,59 @@ def test_whole_articles_are_kept(given):
     assert html_text.main_text(given) == LONG.strip()
 
 
+@pytest.mark.parametrize(
+    "given",
+    [
+        f"<body><a name='top'><p>{LONG}</p></body>",
+        f"<body><a name='top'/><p>{LONG}</p></body>",
+        f"<body><a href='#top'><p>{LONG}</p></body>",
+        f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><h1></h1><p>{LONG}</p></form></body>",
+        f"<body><form action=x><p>{LONG}</p></body>",
+        f"<body><p>{LONG}</p><form><input name=a><p>{LONG}</p></form></body>",
+        f"<body><button>Press<p>{LONG}</p></body>",
+        f"<body><audio src=x><p>{LONG}</p><audio src=y>old</audio></body>",
+        f"<body><p title=it's class=a>{LONG}</p></body>",
+        f'<body><p title="a > b" class=\'"\'>{LONG}</p></body>',
+        f"<body><nav><a href=x>Home</a><article><p>{LONG}</p></article></body>",
+    ],
+)
+def test_unbalanced_pages(given):
+    assert html_text.main_text(given) == LONG.strip()
+
+
+def test_other_languages():
+    text = "これは日本語の文章です。記事の本文は長く、いくつかの文からなります。" * 4
+    given = f"<body><ul><li><a href=1>一覧</a></li></ul><h1>見出し</h1><p>{text}</p><p>短い文。</p><p>{text}</p><div>日本 東京 大阪 京都 奈良 神戸 札幌 福岡 仙台 広島 千葉 横浜</div></body>"
+    assert html_text.main_text(given) == f"見出し\n{text}\n短い文。\n{text}"
+    assert html_text.main_text("<body><div>" + "red blue green shop " * 30 + "</div></body>") == ""
+
+
+@pytest.mark.parametrize(
+    "given",
+    ["<div>ab</div>" * 100_000, '<a "' * 100_000, "<div>" * 100_000, "<!" * 100_000, "<a b=\"x" * 100_000, "<script>" + "</script" * 100_000, "<form><nav>" * 50_000],
+)
+def test_long_pages_take_linear_time(given):
+    begin = time.process_time()
+    html_text.main_text(given)
+    assert time.process_time() - begin < 5
+
+
+def by_scanning(blocks, first, k):
+    """Nearest decided neighbour, looked for outwards."""
+    near = sorted((abs(j - k), j < k, j) for j, b in enumerate(blocks) if j != k and b.inside == 0 and first[j] != "short" and not b.aside)
+    return first[near[0][2]] if near else "bad"
+
+
+def test_neighbours_equal_a_scan():
+    rng = random.Random(2)
+    for _ in range(200):
+        blocks = [html_text.Block(rng.choice(["x", LONG, "zzz " * 40]), 0, 0, rng.random() < 0.2, False) for _ in range(rng.randrange(1, 25))]
+        done = html_text.decide([html_text.Block(**vars(b)) for b in blocks])
+        # blocks that are not short keep their first label
+        first = ["short" if len(b.text) < html_text.SHORT and not b.aside else d.label for b, d in zip(blocks, done)]
+        assert [d.label for d in done] == [by_scanning(blocks, first, k) if f == "short" else f for k, f in enumerate(first)]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (3, "u", "a < b"), (3, "u", "a < b")]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
