@@ -8,8 +8,8 @@ final k-th score, and the second pass starts with it in every shard. Ties are ne
 truly smaller are left out.
 
 Defined cases: rows with a null id, and vectors null or holding null or non-finite components, take no part; vectors
-meet only vectors of their own length; components are integers of at most 2**27 in size, so that scores are exact (rows
-beyond take no part); a row never meets rows of its own id; repeated rows of a query ask once, repeated candidates each
+meet only vectors of their own length; components are 64-bit integers and scores are exact, in whole numbers of any size
+where 64 bits might not hold a sum; a score that 64 bits do not hold ends the search with an error; a row never meets rows of its own id; repeated rows of a query ask once, repeated candidates each
 count; empty tables give no rows; other columns are ignored.
 """
 
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 LEAF = 64
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
-LARGEST = 1 << 27
 _NONE = np.iinfo(np.int64).min
 _RESULT = "query_id long, query_key long, vec_id long, score long"
 
@@ -93,18 +92,23 @@ def search(
 ) -> Best:
     """Branch and bound of all queries of a block over one shard."""
     tree, best = BallTree(points), Best(own, k, floor)
-    # doubles hold the products exactly while they stay below 2**53
-    small = points.shape[1] * float(max(np.abs(points).max(), 1)) * float(max(np.abs(queries).max(), 1)) < 2**53
-    kind = float if small else np.int64
-    rows, row_ids, asked = points[tree.order].astype(kind), ids[tree.order], queries.astype(kind)
     exact = queries.astype(float)
+    largest = points.shape[1] * max(np.abs(points.astype(float)).max(), 1.0) * max(np.abs(exact).max(), 1.0)
+    # doubles hold the products exactly while they stay below 2**53, words of 64 bits below 2**63
+    kind = float if largest < 2**53 else np.int64 if largest < 2**62 else object
+    rows, row_ids, asked = points[tree.order].astype(kind), ids[tree.order], queries.astype(kind)
     norms = np.sqrt((exact**2).sum(axis=1))
 
     def visit(which: np.ndarray, leaves: np.ndarray) -> None:
         order = np.argsort(leaves, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1):
             low, high = tree.low[leaves[part[0]]], tree.high[leaves[part[0]]]
-            best.offer(which[part], row_ids[low:high], (asked[which[part]] @ rows[low:high].T).astype(np.int64))
+            scores = asked[which[part]] @ rows[low:high].T
+            if kind is object:
+                scores[own[which[part]][:, None] == row_ids[low:high]] = 0  # its own row is no candidate
+                if (scores <= _NONE).any() or (scores >= -_NONE).any():
+                    raise ValueError("an inner product is beyond 64 bits")
+            best.offer(which[part], row_ids[low:high], scores.astype(np.int64))
 
     which, nodes = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64)
     if first_leaf_only:
@@ -158,7 +162,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SH
     ``vectors`` has ``vec_id`` and ``vector`` (integers); ``is_query`` marks the rows that ask.
     """
     usable = F.col("vec_id").isNotNull() & F.col("vector").isNotNull()
-    usable &= F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) <= LARGEST)) & (F.size("vector") > 0)
+    usable &= F.forall("vector", lambda x: x.isNotNull()) & (F.size("vector") > 0)
     rows = vectors.where(usable).select(
         F.col("vec_id").cast("long"), F.col("vector").cast("array<long>"), F.size("vector").alias("width"), is_query.alias("asks")
     )

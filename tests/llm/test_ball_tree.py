@@ -11,7 +11,6 @@ from tallymill.llm import ball_tree
 def by_hand(rows, asks, k):
     out = []
     usable = [(i, v) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None for x in v)]
-    usable = [(i, v) for i, v in usable if max(map(abs, v)) <= ball_tree.LARGEST]
     for i, v in {(i, tuple(v)) for i, v in usable if asks(i)}:
         scores = [(-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i and len(w) == len(v)]
         out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
@@ -38,6 +37,19 @@ def test_large_values_are_exact(spark):
     assert sorted(tuple(r) for r in got) == by_hand(rows, lambda i: i == 0, 5)
 
 
+def test_values_beyond_any_double(spark):
+    rows = [(0, [3 * 10**8, 1]), (50, [-4 * 10**8, 1]), (51, [4 * 10**8, 5]), (1, [1, 6])]
+    rows += [(100, [2**61, 1]), (2, [3, 2**40 + 1]), (3, [3, 2**40]), (4, [-3, 1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    wide = F.col("vec_id").isin(0, 50, 51, 1)
+    got = ball_tree.top_k(vectors.where(wide), F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(tuple(r) for r in got) == by_hand(rows[:4], lambda i: i % 50 == 0, 5)
+    got = ball_tree.top_k(vectors.where(~wide), F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(tuple(r) for r in got) == by_hand(rows[4:], lambda i: i % 50 == 0, 5)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        ball_tree.top_k(vectors, F.col("vec_id") % 50 == 0, 5).collect()
+
+
 def test_nodes_hold_their_points():
     points = np.random.default_rng(1).integers(-9, 9, (1000, 4))
     tree = ball_tree.BallTree(points)
