@@ -2,139 +2,108 @@
 
 Each source's documents are cut into blocks of ``block`` documents. Block ``i`` (from 0) of a source with weight ``w``
 may run from slot ``floor(i / w)`` on and has to by ``ceil((i + 1) / w)``; in every slot the released block with the
-earliest deadline runs. With weights that are multiples of ``1 / grain`` and sum to one, every block meets its deadline,
-so that at any slot each source has got its share of the slots so far up to less than one block; the schedule
-repeats after ``grain`` slots. One repetition per *phase* is worked out ahead (a phase ends when a source has no
-more blocks; the others go on with their weights scaled up), at most one phase per source; documents find their slot by
-an equality join on phase, source and place within the repetition. No document is left out.
+earliest deadline runs. Weights are exact fractions of their sum, never rounded, so every block meets its deadline and
+at any slot each source has got its share of the slots so far up to less than one block. When a source has no more
+blocks, a new *phase* begins: the others go on with their weights scaled up and slots counted from there.
+
+The schedule is one row per block. Blocks hold ``block`` documents or, in larger tables, so many that about
+``MOST_BLOCKS`` of them hold all; so the schedule stays small while documents are counted, numbered and placed by
+Spark, and deviations stay below one block of that size. Any number of sources may take part; working the schedule out
+takes time with the number of blocks and with sources times phases (at most one phase per source). No document is left
+out.
 
 Defined cases: a null source is a source of its own; sources without a target weight get none while others last and
-follow in the last phases; weights may be any non-negative numbers; repeated rows each get a place; ties are settled by
-text; an empty table gives no rows; other columns are ignored.
+follow in the last phases; weights may be any finite numbers, those below zero count as zero; repeated rows each get a
+place; ties are settled by text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 16
-GRAIN = 1000
+#: About so many blocks at most, besides one that each source has; larger tables get larger blocks.
+MOST_BLOCKS = 1 << 20
+#: Schedules of at most so many rows are broadcast; longer ones are joined like any table.
+BROADCAST_ROWS = 1 << 18
 #: Hash cells of each source, numbered by themselves.
 CELLS = 4096
-#: Sources beyond this number need a coarser grouping: the schedule holds ``GRAIN`` rows per source.
-MOST_SOURCES = 500
-
-
-def in_units(weights: dict, grain: int = GRAIN) -> dict:
-    """Weights as whole numbers that sum to ``grain``: at least one each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w) / Fraction(total) * grain if total else Fraction(grain, len(weights)) for s, w in weights.items()}
-    units = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (exact[s] - units[s], str(s)), reverse=True)
-    k = 0
-    while sum(units.values()) < grain:
-        units[order[k % len(order)]] += 1
-        k += 1
-    while sum(units.values()) > grain:
-        largest = max(units, key=lambda s: (units[s], str(s)))
-        units[largest] -= 1
-    return units
-
-
-def schedule(units: dict) -> list:
-    """The source of each slot of one repetition: earliest deadline first among released blocks."""
-    grain = sum(units.values())
-    waiting = sorted((0, -(-grain // u), str(s), s, 0) for s, u in units.items())
-    heapq.heapify(waiting)
-    ready: list = []
-    slots = []
-    for slot in range(grain):
-        while waiting and waiting[0][0] <= slot:
-            _, deadline, name, source, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, name, source, k))
-        deadline, name, source, k = heapq.heappop(ready)
-        slots.append(source)
-        u = units[source]
-        if k + 1 < u:
-            heapq.heappush(waiting, ((k + 1) * grain // u, -(-(k + 2) * grain // u), name, source, k + 1))
-    return slots
 
 
-def phases(blocks: dict, weights: dict, grain: int = GRAIN) -> tuple[list[tuple], list[tuple]]:
-    """Rows (phase, source, from block, first slot, blocks per repetition) and (phase, source, k, offset).
+def whole_weights(weights: dict) -> dict:
+    """Weights as whole numbers in exactly the same proportions."""
+    exact = {s: max(Fraction(w), Fraction(0)) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
 
-    ``blocks``: how many each source has. Sources of weight zero wait until all others have ended.
+def schedule(blocks: dict, weights: dict) -> list[tuple]:
+    """(source, block, slot, phase) of every block. ``blocks``: how many each source has.
+
+    Sources of weight zero wait until all others have ended, and then share alike.
     """
     left = {s: n for s, n in blocks.items() if n}
+    units = whole_weights({s: weights.get(s, 0) for s in left})
     done = dict.fromkeys(left, 0)
-    at, spans, offsets = 0, [], []
+    slots: list[tuple] = []
     phase = 0
     while left:
-        active = {s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
-        # as many repetitions as the first source to end allows, then the slots up to its last block
-        units = in_units(active, max(grain, len(active)))
-        slots = schedule(units)
-        rounds = min(left[s] // u for s, u in units.items())
-        counts = dict.fromkeys(units, 0)
-        rest = 0
-        for source in slots:
-            if any(counts[s] + rounds * units[s] >= left[s] for s in units):
-                break
-            counts[source] += 1
-            rest += 1
-        seen = dict.fromkeys(units, 0)
-        for offset, source in enumerate(slots):
-            offsets.append((phase, source, seen[source], offset))
-            seen[source] += 1
-        for s, u in units.items():
-            ran = rounds * u + counts[s]
-            spans.append((phase, s, done[s], done[s] + ran, at, u))
-            done[s] += ran
-            left[s] -= ran
-        at += rounds * len(slots) + rest
-        left = {s: n for s, n in left.items() if n}
+        active = {s: units[s] for s in left if units[s]} or dict.fromkeys(left, 1)
+        total, at = sum(active.values()), len(slots)
+        waiting = sorted((0, -(-total // u), str(s), s, 0) for s, u in active.items())
+        ready: list = []
+        ended = False
+        while not ended:
+            while waiting and waiting[0][0] <= len(slots) - at:
+                _, deadline, name, source, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (deadline, name, source, k))
+            _, name, source, k = heapq.heappop(ready)
+            slots.append((source, done[source], len(slots), phase))
+            done[source] += 1
+            ended = done[source] == left[source]
+            u = active[source]
+            heapq.heappush(waiting, ((k + 1) * total // u, -(-(k + 2) * total // u), name, source, k + 1))
+        left = {s: n for s, n in left.items() if n > done[s]}
         phase += 1
-    return spans, offsets
+    return slots
 
 
-def mix(
-    docs: DataFrame, weights: dict | None = None, block: int = BLOCK, grain: int = GRAIN, carry: list[str] | None = None
-) -> DataFrame:
+def block_rows(documents: int, block: int = BLOCK, most: int = MOST_BLOCKS) -> int:
+    """Documents per block."""
+    return max(block, -(-documents // most))
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, carry: list[str] | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """``row`` (the columns ``carry`` of ``docs``, all if None; ``doc_id`` among them), ``source_name``, ``block`` (of its source), ``slot`` (of all blocks),
     ``place`` (in the block) and ``phase`` of every document. ``weights``: target weights by source (the square roots
     of the sources' sizes, if None: large sources are held back, small ones brought forward)."""
-    spark = docs.sparkSession
     sizes = _sizes(docs)
     weights = {s: n**0.5 for s, n in sizes.items()} if weights is None else weights
-    spans, offsets = phases({s: -(-n // block) for s, n in sizes.items()}, weights, grain)
-    plan = spark.createDataFrame(
-        [(p, _name(s), *rest, sum(u for q, _, _, _, _, u in spans if q == p)) for p, s, *rest in spans],
-        "phase int, of string, low long, high long, at long, units long, slots long",
-    )
-    offset = spark.createDataFrame([(p, _name(s), k, o) for p, s, k, o in offsets], "in_phase int, of_source string, k long, offset long")
+    rows = block_rows(sum(sizes.values()), block, most_blocks)
+    slots = schedule({s: -(-n // rows) for s, n in sizes.items()}, weights)
+    names = [_name(s) for s, _, _, _ in slots]
+    numbers = [pa.array([r[k] for r in slots], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))]
+    columns = pa.Table.from_arrays([pa.array(names, pa.string()), *numbers], names=["of", "of_block", "slot", "phase"])
+    plan = docs.sparkSession.createDataFrame(columns)
+    if len(slots) <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
     numbered = _numbered(docs, carry or docs.columns)
-    blocks = numbered.withColumn("block", F.floor(F.col("number") / block)).withColumn("place", (F.col("number") % block).cast("int"))
-    # both plans are bounded: at most MOST_SOURCES phases of as many sources, or of GRAIN slots
-    phased = blocks.join(
-        F.broadcast(plan), (F.col("source_name") == F.col("of")) & (F.col("block") >= F.col("low")) & (F.col("block") < F.col("high"))
-    )
-    within = phased.withColumn("turn", F.col("block") - F.col("low"))
-    placed = within.join(
-        F.broadcast(offset),
-        (F.col("phase") == F.col("in_phase")) & (F.col("source_name") == F.col("of_source")) & (F.col("turn") % F.col("units") == F.col("k")),
-    )
-    slot = F.col("at") + F.floor(F.col("turn") / F.col("units")) * F.col("slots") + F.col("offset")
-    return placed.select("row", "source_name", "block", slot.alias("slot"), "place", "phase")
-
-
-def in_mixed_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, grain: int = GRAIN) -> DataFrame:
+    blocks = numbered.withColumn("block", F.floor(F.col("number") / rows)).withColumn("place", (F.col("number") % rows).cast("int"))
+    # at most one block of documents has each key
+    placed = blocks.join(plan, (F.col("source_name") == F.col("of")) & (F.col("block") == F.col("of_block")))
+    return placed.select("row", "source_name", "block", "slot", "place", "phase")
+
+
+def in_mixed_order(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """All rows and columns of ``docs``, laid out in the mixed order: written files hold it, in the order of their
     names and rows (``stored_order`` reads it back)."""
-    placed = mix(docs, weights, block, grain)
+    placed = mix(docs, weights, block)
     return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
@@ -148,10 +117,9 @@ def _name(source: str | None) -> str:
 
 
 def _sizes(docs: DataFrame) -> dict:
-    rows = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    return {r["source"]: r["n"] for r in rows}
+    """Documents per source: one row per source, as many as a table of target weights has."""
+    rows = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).collect()
+    return {r["source"]: r["n"] for r in sorted(rows, key=lambda r: _name(r["source"]))}
 
 
 def _numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
