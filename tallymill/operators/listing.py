@@ -63,6 +63,76 @@ def page(
     return rows.orderBy(order, F.col(key).asc()).offset(offset).limit(limit)
 
 
+#: Bins of one counting pass, and rows that are few enough to be sorted.
+BINS = 4096
+SORTED_ROWS = 100_000
+#: Bytes of a key that make one number.
+_CHUNK = 7
+
+
+def _ordinals(rows: DataFrame, sort: str, direction: str, key: str):
+    """Whole numbers in the order of the listing: one for the sort column, then one per part of the key."""
+    kinds = dict(rows.dtypes)
+    if kinds[sort] not in ("timestamp", "date", "bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"no order of whole numbers for {sort}: {kinds[sort]}")
+    number = {"timestamp": F.unix_micros, "date": F.unix_date}.get(kinds[sort], lambda c: c)(F.col(sort)).cast("bigint")
+    # missing values come first in ascending order and last in descending, as in a sort
+    yield F.coalesce(F.bitwise_not(number), F.lit(2**63 - 1)) if direction == "desc" else F.coalesce(number, F.lit(-(2**63)))
+    if kinds[key] in ("bigint", "int", "smallint", "tinyint"):
+        yield F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
+        return
+    if kinds[key] != "string":
+        raise ValueError(f"the key {key} is no text and no whole number")
+    longest = rows.agg(F.max(F.octet_length(key))).first()[0] or 0
+    for at in range(0, longest, _CHUNK):
+        part = F.rpad(F.hex(F.substring(F.encode(F.coalesce(F.col(key), F.lit("")), "UTF-8"), at + 1, _CHUNK)), 2 * _CHUNK, "0")
+        yield F.conv(part, 16, 10).cast("bigint")
+
+
+def deep_page(
+    rows: DataFrame, sort: str, direction: str = "desc", key: str = "id", limit: int = PAGE_SIZE, offset: int = 0, few: int = SORTED_ROWS
+) -> DataFrame:
+    """The page of ``page``, however far down, without a sort of what stands before it.
+
+    Counts per bin of the sort column find the range of values that holds the page; further passes narrow it, at equal
+    values by parts of the key, until it has ``few`` rows. Only those are sorted, and where a page spans values far apart
+    or several values of many rows each, what lies between its ends. The passes run while the query is
+    built and bring ``BINS`` counts each. ``sort``: timestamps, dates or whole numbers; ``key``: text or whole numbers.
+    """
+    limit = min(limit, MAX_PAGE_SIZE)
+    within, before = rows, 0
+    for ordinal in _ordinals(rows, sort, direction, key):
+        edge = within.agg(F.min(ordinal).alias("low"), F.max(ordinal).alias("high"), F.count("*").alias("n")).first()
+        low, high, n = edge["low"], edge["high"], edge["n"]
+        while n > few and low < high:
+            width = (high - low) // BINS + 1
+            spot = ordinal.cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)")
+            place = F.call_function("div", spot, F.lit(str(width)).cast("decimal(20,0)")).cast("int")
+            counts = dict(sorted(map(tuple, within.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).collect())))
+            first = last = None
+            seen = before
+            for bin_, m in counts.items():
+                if first is None and seen + m > offset:
+                    first, before = bin_, seen
+                seen += m
+                if first is not None and seen >= offset + limit:
+                    last = bin_
+                    break
+            if first is None:  # the page lies behind all rows
+                return within.limit(0)
+            last = max(counts) if last is None else last
+            n = sum(m for b, m in counts.items() if first <= b <= last)
+            span = high - low
+            low, high = low + first * width, min(high, low + (last + 1) * width - 1)
+            within = within.filter(ordinal.between(low, high))
+            if width == 1 or high - low == span:
+                break
+        if n <= few or low < high:
+            break
+    order = F.col(sort).desc() if direction == "desc" else F.col(sort).asc()
+    return within.orderBy(order, F.col(key).asc()).offset(offset - before).limit(limit)
+
+
 def with_total(page_rows: DataFrame, all_rows: DataFrame) -> DataFrame:
     """Adds the count of the whole listing, one value, to the rows of the page."""
     return page_rows.withColumn("total", all_rows.agg(F.count("*").alias("n")).scalar())

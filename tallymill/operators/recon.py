@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import compare, identity
 from tallymill.operators.counters import upsert
-from tallymill.operators.joins import attach, lookup
+from tallymill.operators.joins import lookup, spread
 from tallymill.operators.rating import billable_usage
 from tallymill.schemas import RECON_EPSILON, SUM
 
@@ -173,13 +173,13 @@ def suggestions(found: DataFrame, customers: DataFrame) -> DataFrame:
     counts = customers.groupBy(*keys).agg(F.count("*").alias("_customers"))
     per_item = missing.select(*keys, "local_total", (F.col("stripe_total") - F.col("local_total")).cast(SUM).alias("_gap"))
     per_item = per_item.join(counts, keys)
-    spread = attach(customers, per_item, keys, "inner")
+    shared = spread(customers, per_item, keys, counts, "_customers", ["customer_ref"])
     one = F.lit(1).cast(SUM)
     delta = F.when(
         F.col("local_total") > 0, share_of(F.col("_gap"), F.col("quantity"), F.col("local_total"))
     ).otherwise(share_of(F.col("_gap"), one, F.col("_customers").cast(SUM)))
     return (
-        spread.withColumn("delta", delta)
+        shared.withColumn("delta", delta)
         .filter(F.col("delta") > F.lit("0.01").cast("decimal(4,2)"))
         .select(
             "tenant_id", "metric", "customer_ref", "period_start", "subscription_item_id", "delta",

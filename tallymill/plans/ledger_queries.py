@@ -13,7 +13,7 @@ from tallymill.plans.oracle import event_key, sql, values
 from tallymill.plans.registry import query
 from tallymill.schemas import CKEY, KEY
 from tallymill.sources import sinks
-from tallymill.sources.work import new_folder
+from tallymill.sources.work import new_folder, settle
 
 _COUNTER = "tenant_id, metric, customer_ref, period_start, period_end, agg_sum, agg_max, agg_last, watermark_ts"
 
@@ -209,6 +209,16 @@ def list_events(spark, folder):
     return listing.with_total(page.select("idempotency_key", "metric", "customer_ref", "quantity", "ts"), rows)
 
 
+@query(
+    "deep_event_page",
+    sql("SELECT idempotency_key, metric, customer_ref, quantity, ts FROM ledger ORDER BY ts DESC, idempotency_key LIMIT 100 OFFSET 600"),
+)
+def deep_event_page(spark, folder):
+    """A page far down, found by counts; a few hundred rows are sorted."""
+    rows = T.ledger(spark, folder).select("idempotency_key", "metric", "customer_ref", "quantity", "ts")
+    return listing.deep_page(settle(rows, "listed"), "ts", "desc", key="idempotency_key", limit=100, offset=600, few=500)
+
+
 @query(
     "count_events",
     sql("SELECT count(*) AS total FROM ledger WHERE tenant_id = 't0' AND metric = 'view'"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallymill.operators import adjustments as A
 from tallymill.operators import alerts as L
 from tallymill.operators import counters as C
-from tallymill.operators import listing, recon, validate
+from tallymill.operators import listing, recon, sketches, validate
 from tallymill.functions import compare
 from tallymill.plans import tables as T
 from tallymill.plans.oracle import cte, half_up, literal, micros, sql, values
@@ -663,6 +663,40 @@ def recon_summary(spark, folder):
     return recon.summary_with_total(_drift(spark, folder))
 
 
+_MONTHS = "period_start BETWEEN DATE '{}-01' AND DATE '{}-01'"
+_HALVES = (("1995-01", "1995-12"), ("1996-01", "1996-12"))
+
+
+@query(
+    "items_by_range",
+    sql(
+        f"""
+        SELECT metric, count(DISTINCT (tenant_id, subscription_item_id)) AS items,
+               count(DISTINCT (tenant_id, subscription_item_id)) FILTER (WHERE status = 'investigate') AS drifting
+        FROM reports WHERE {_MONTHS.format('1995-01', '1996-12')} GROUP BY ALL
+        """
+    ),
+)
+def items_by_range(spark, folder):
+    """Distinct items over two years from monthly sketches, exact at this size."""
+    return sketches.items_over(sketches.item_sketches(found_reports(spark, folder)), "1995-01", "1996-12")
+
+
+@query(
+    "items_drifting_twice",
+    sql(
+        f"""
+        SELECT metric, count(*) FILTER (WHERE a AND b) AS items FROM (
+          SELECT metric, tenant_id, subscription_item_id, coalesce(bool_or(status = 'investigate' AND {_MONTHS.format(*_HALVES[0])}), false) AS a,
+                 coalesce(bool_or(status = 'investigate' AND {_MONTHS.format(*_HALVES[1])}), false) AS b
+          FROM reports WHERE {_MONTHS.format('1995-01', '1996-12')} GROUP BY ALL) GROUP BY metric
+        """
+    ),
+)
+def items_drifting_twice(spark, folder):
+    return sketches.drifting_in_both(sketches.item_sketches(found_reports(spark, folder)), *_HALVES)
+
+
 @query("recon_total", sql("SELECT * FROM drift_all"))
 def recon_total(spark, folder):
     return recon.drift_total(_drift(spark, folder))

@@ -266,6 +266,21 @@ def arrival_lag(spark, folder):
     return windows.arrival_lag(T.plain_events(spark, folder), exact=True)
 
 
+@query(
+    "stream_arrival_lag",
+    sql(
+        """
+        SELECT time_bucket(INTERVAL '5 minutes', inserted_at) AS window_start, quantile_disc(lag, 0.5) AS p50, quantile_disc(lag, 0.95) AS p95, count(*) AS n_events
+        FROM (SELECT inserted_at, CAST(floor(epoch(inserted_at)) - floor(epoch(ts)) AS BIGINT) AS lag FROM plain) GROUP BY ALL
+        """
+    ),
+)
+def stream_arrival_lag(spark, folder):
+    """Quantiles of lags from sketches of micro-batches, merged on reading; events may arrive at any time."""
+    merged = _merged(spark, _plain_stream(spark, folder), windows.lag_sketches, ["window_start"], add=("n_events",), sketches=("lags",))
+    return windows.lag_of_sketches(merged)
+
+
 _STAGE = {"click": "past_due", "view": "email_sent", "purchase": "retry_scheduled", "error": "blocked", "signup": "recovered"}
 cte(
     "stages",
