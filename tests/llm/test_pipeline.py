@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
-from test_simhash import by_hand, groups
+from corpora import with_clashes
 from test_token_files import whole
+from test_wide_simhash import classes_by_hand, shingles
 
 import corpus_pipeline
 from tallymill.llm import mixing, toxicity
@@ -22,9 +23,9 @@ def test_pipeline(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     scores = toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()
     clean = sorted(r.doc_id for r in scores if r.predicted == 0)
-    fps = {d: by_hand(rows[d].text) for d in clean}
-    of = groups(clean, [(a, b) for a in clean for b in clean if a < b and bin(fps[a] ^ fps[b]).count("1") <= 3])
-    single = [d for d in clean if of[d] == d]
+    of = classes_by_hand([rows[d].text for d in clean])
+    empty = [k for k, d in enumerate(clean) if not shingles(rows[d].text)]
+    single = [d for k, d in enumerate(clean) if of[k] == k and k not in empty[1:]]
 
     def plain(text):
         return " ".join(text.lower().split())
@@ -51,9 +52,11 @@ def test_stages_keep_the_columns(spark):
     folder = tempfile.mkdtemp()
     empty[0].write.parquet(f"{folder}/labels.parquet")
     empty[1].write.parquet(f"{folder}/benchmark.parquet")
+    docs = with_clashes(docs, "row", "copy", "__id", "component", "slot", "place", "first")
+    columns = docs.columns
     sizes = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == columns
         sizes.append(docs.count())
     assert sizes == [4, 2, 2, 2]
