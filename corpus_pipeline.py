@@ -3,6 +3,11 @@ mixed to target weights, and the rest becomes token files.
 
 Each stage takes ``(spark, docs, folder)`` with the documents that the stage before kept, and returns documents with the
 same columns; the last returns the digest of its files.
+
+Defined cases: a null text is empty; an empty text is not toxic and holds no benchmark question; all texts without words
+are one group of near duplicates, of which one document stays; of repeated rows one stays; a null id is an id of its own,
+after all others; without labels nothing is toxic, without benchmark items nothing is contaminated; a null source is a
+source; empty tables give no rows; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm import mixing, simhash, templates, token_files, toxicity
+from tallymill.llm import mixing, templates, token_files, toxicity, wide_simhash
 from tallymill.llm.frames import ship, table
 from tallymill.llm.keys import KEY, key_of, rows_with, with_key
 from tallymill.sources.work import new_folder, settle
@@ -23,10 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group: the one with the smallest id (of equal ids, the smallest hash)."""
+    """One document of each group of five-word shingle similarity 0.8: the one with the smallest id (of equal ids, the
+    smallest hash). Texts without words are one group."""
     ship(spark)
-    found = simhash.near_duplicates(docs)
-    named = found.select("component", *key_of(F.col("doc_id"), F.col("text_hash")))
+    found = wide_simhash.near_duplicates(docs, size=5, percent=80)
+    named = found.select(F.coalesce("component", F.lit(-1)).alias("component"), *key_of(F.col("doc_id"), F.col("text_hash")))
     first = F.min(F.struct("__no_id", "__id", "__text_hash")).alias("first")
     kept = named.groupBy("component").agg(first).select("first.*")
     once = Window.partitionBy(*KEY).orderBy(F.lit(1))
