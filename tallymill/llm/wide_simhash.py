@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.components import components
 from tallymill.llm.frames import documents, pieces, strings
-from tallymill.llm.minhash import BLOCK, _around_leader, _blocks, _bridges, _cross, _sets_of, _spread, shingle_set
+from tallymill.llm.minhash import BLOCK, _around_leader, _blocks, _bridges, _cross, _known, _sets_of, _spread, shingle_set
 from tallymill.sources.work import settle
 
 WORDS = 4
@@ -39,8 +39,6 @@ BITS = 64 * WORDS
 SEGMENTS = BITS // 32
 _random = np.random.default_rng(20240917)
 _FACTORS = _random.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: What a segment is XORed with to reach every value at up to one differing bit.
-_BALL = np.append(np.uint32(0), np.uint32(1) << np.arange(32, dtype=np.uint32))
 
 
 def most_bits(percent: int) -> int:
@@ -67,6 +65,7 @@ def _fingerprints(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.R
     for batch in pieces(batches):
         found = pa.array([fingerprint(t, size) for t in strings(batch.column("text"))], type=pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), found], names=["doc_id", "text_hash", "fp"])
+    _known.clear()  # workers live on; later stages need the memory
 
 
 def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -79,19 +78,19 @@ def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WORDS)
 
 
-def _stored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The node under every value of its segments' balls; the segment's number stands above the value."""
-    places = np.arange(SEGMENTS, dtype=np.int64)[None, :, None] << 32
-    for batch in pieces(batches, rows=2000):
-        segments = _words(batch.column("fp")).view("<u4")
-        keys = (segments[:, :, None] ^ _BALL).astype(np.int64) | places
-        nodes = np.repeat(batch.column("node").to_numpy(), SEGMENTS * len(_BALL))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], names=["key", "node"])
+def _stored(nodes: DataFrame) -> DataFrame:
+    """``key`` and ``node``: each node under every value of its segments' balls; the segment's number stands above it."""
+    value = lambda k: F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long")
+    segments = F.explode(F.array(*[value(k) + F.lit(k << 32) for k in range(SEGMENTS)]))
+    flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)]))
+    return nodes.select("node", segments.alias("segment")).select("node", "segment", flips.alias("flip")).select(
+        F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), "node"
+    )
 
 
 def met_in_buckets(nodes: DataFrame) -> DataFrame:
     """``leader`` and ``node`` of all nodes that share a bucket with a lesser one, its least node being the leader."""
-    stored = nodes.select("node", "fp").mapInArrow(_stored, "key long, node long")
+    stored = _stored(nodes)
     least = stored.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     # written, so that both sides of the join are plain shuffles, whose hot keys can be split
     least = settle(least.select(F.col("key").alias("of_key"), "leader"), "wide-buckets")
