@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.llm.components import components
@@ -37,6 +37,8 @@ from tallymill.sources.work import settle
 WORDS = 4
 BITS = 64 * WORDS
 SEGMENTS = BITS // 32
+#: Keys of one task, about.
+KEYS = 1 << 20
 _random = np.random.default_rng(20240917)
 _FACTORS = _random.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -89,13 +91,17 @@ def _stored(nodes: DataFrame) -> DataFrame:
 
 
 def met_in_buckets(nodes: DataFrame) -> DataFrame:
-    """``leader`` and ``node`` of all nodes that share a bucket with a lesser one, its least node being the leader."""
-    stored = _stored(nodes)
-    least = stored.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    # written, so that both sides of the join are plain shuffles, whose hot keys can be split
-    least = settle(least.select(F.col("key").alias("of_key"), "leader"), "wide-buckets")
-    met = stored.join(least, F.col("key") == F.col("of_key")).where("node > leader")
-    return met.select("leader", "node").distinct()
+    """``leader`` and ``node`` of all nodes that share a bucket with a lesser one, its least node being the leader.
+
+    A node gives 264 keys, so tasks are cut by the number of keys, not by the few bytes of the nodes; the keys are
+    shuffled once and sorted, as nearly all stand alone and an aggregate would only hold them in memory. A large group's
+    keys are as many as any node's, so they lie on many tasks.
+    """
+    parts = max(1, -(-nodes.count() * SEGMENTS * 33 // KEYS))
+    stored = _stored(nodes.repartition(parts, "node")).repartition(parts, "key")
+    up_to_here = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = stored.select(F.first("node").over(up_to_here).alias("leader"), "node").where("node > leader")
+    return met.distinct()
 
 
 def _near(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:

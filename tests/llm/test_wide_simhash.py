@@ -102,5 +102,27 @@ def test_bits_follow_the_similarity():
     assert wide_simhash.fingerprint(b"") is None and len(wide_simhash.fingerprint(b"a")) == 32
 
 
+def test_keys_are_shuffled_once_in_tasks_of_bounded_size(spark):
+    """Few bytes of nodes give many keys: their tasks follow the keys, and no aggregate holds them."""
+    rng = random.Random(2)
+    one = rng.getrandbits(256)
+    fps = [one ^ (1 << rng.randrange(256)) for _ in range(300)] + [rng.getrandbits(256) for _ in range(9700)]
+    rows = [(k * 7, x.to_bytes(32, "little")) for k, x in enumerate(dict.fromkeys(fps))]
+    nodes = spark.createDataFrame(rows, "node long, fp binary").coalesce(1)
+    buckets = {}
+    for node, fp in rows:
+        for k in range(wide_simhash.SEGMENTS):
+            value = int.from_bytes(fp[4 * k : 4 * k + 4], "big")
+            for flip in [0, *[1 << b for b in range(32)]]:
+                buckets.setdefault((k, value ^ flip), []).append(node)
+    want = {(min(b), x) for b in buckets.values() for x in b if x > min(b)}
+    met = wide_simhash.met_in_buckets(nodes)
+    assert {tuple(r) for r in met.collect()} == want
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    parts = -(-len(rows) * 264 // wide_simhash.KEYS)
+    assert parts > 1
+    assert plan.count(f", {parts}), REPARTITION_BY_NUM") == 2 and "functions=[partial_min" not in plan and "SortMergeJoin" not in plan
+
+
 def test_empty(spark):
     assert wide_simhash.near_duplicates(documents(spark, [])).count() == 0
