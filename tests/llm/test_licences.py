@@ -37,5 +37,19 @@ def test_scan(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_every_ordinary_paragraph_is_learnt(spark):
+    """Training counts all paragraphs of all documents, more than a sample of 2,000 documents would hold."""
+    rng = random.Random(5)
+    rows = [(k, f"the software number {words(rng, 2)}\n{words(rng, 4)}\n\nMIT License\nReleased under CC0 1.0 Universal.", "en", "s", 0) for k in range(6000)]
+    known = licences.templates(spark)
+    judged, plain = licences.featured(spark.createDataFrame(rows, SCHEMA), licences.vocabulary_of(known))
+    sets = licences.ordinary_sets(judged, known).collect()
+    # the third line is marked by its words, the fourth is a template
+    assert {tuple(r.terms) for r in sets} == {("software", "the software")}
+    assert sum(r.learnt + r.kept_back for r in sets) == 6000
+    assert judged.count() == 18000
+    assert 4000 < plain < 5000 and 4000 < sum(r.learnt for r in sets) < 5000
+
+
 def test_empty(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).count() == 0
