@@ -11,9 +11,12 @@ by their text; an empty table gives an empty folder of files that reads back as
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,44 +29,96 @@ from tallymill.llm.frames import documents, pieces, strings
 END_ID = 1
 #: Words whose ids a Python worker remembers; then it forgets all and starts anew.
 REMEMBERED = 600_000
+#: The same of their lower-case letters and the marks after them.
+REMEMBERED_STEMS = 300_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
+# composed letters of one case rule, that no normal form changes, and marks after them that open no contraction
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]*)")
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _loaded: dict = {}
 
 
-def _tokenizer(vocabulary: str):
-    """One tokenizer and one memory of words per Python worker."""
-    if vocabulary not in _loaded:
+class _Encoder:
+    """One tokenizer per Python worker, and its memory of words and of plain words' stems."""
+
+    def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
-        _loaded[vocabulary] = Tokenizer.from_file(str(path)), {}
+        self.whole = Tokenizer.from_file(str(path))
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        rules = json.loads(Path(path).read_text())
+        #: Plain words may be cut only if this is how the vocabulary treats them.
+        self.of_stems = None
+        if rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER:
+            only_bytes = _PRE_TOKENIZER["pretokenizers"][1]
+            self.of_stems = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": only_bytes}))
+
+    @staticmethod
+    def _encoded(tokenizer, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
+            yield from map(raw.__getitem__, map(slice, cuts, cuts[1:]))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of new words."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        cut = [None] * len(texts) if self.of_stems is None else list(map(_PLAIN.fullmatch, texts))
+        odd = [k for k, m in enumerate(cut) if m is None]
+        self.words.update(zip([words[k] for k in odd], self._encoded(self.whole, [texts[k] for k in odd])))
+        plain = [(w, m[1].lower(), m[2]) for w, m in zip(words, cut) if m]
+        for which, tokenizer in ((1, self.of_stems), (2, self.whole)):
+            new = list({p[which] for p in plain if p[which] not in self.stems})
+            if len(self.stems) + len(new) > REMEMBERED_STEMS:
+                self.stems.clear()
+                new = list({x for p in plain for x in p[1:]})
+                self.stems.update(zip(new, self._encoded(self.whole, new)))
+                break
+            self.stems.update(zip(new, self._encoded(tokenizer, new)))
+        stems = self.stems
+        self.words.update((w, stems[stem] + stems[mark] if mark else stems[stem]) for w, stem, mark in plain)
+
+
+def _remembered(vocabulary: str) -> _Encoder:
+    if vocabulary not in _loaded:
+        _loaded[vocabulary] = _Encoder(vocabulary)
     return _loaded[vocabulary]
 
 
 def encode_texts(texts: list[bytes], vocabulary: str) -> list[bytes]:
     """The ids of each UTF-8 text as little-endian unsigned 32-bit integers.
 
-    The vocabulary never joins text across ASCII white space, so each word is encoded once and its ids are reused.
+    The vocabulary never joins text across ASCII white space, so each word is encoded once and its ids are reused. It
+    lower-cases, and keeps letters apart from punctuation, so plain words share the ids of their letters.
     """
-    tokenizer, known = _tokenizer(vocabulary)
+    encoder = _remembered(vocabulary)
+    known = encoder.words
     split = [t.split() for t in texts]
     new = list(set().union(*split).difference(known)) if split else []
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = list(set().union(*split))
-    for at in range(0, len(new), 2000):
-        words = new[at : at + 2000]
-        found = tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        of = np.array(found.word_ids, dtype=np.int64)
-        cuts = np.searchsorted(of, np.arange(len(words) + 1))
-        raw = ids.tobytes()
-        for k, word in enumerate(words):
-            known[word] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
-    return [b"".join([known[w] for w in words]) for words in split]
+    encoder.learn(new)
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _encoder(vocabulary: str, end_id: int):

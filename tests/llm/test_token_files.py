@@ -30,6 +30,23 @@ def test_word_by_word_equals_whole_text(text):
     assert np.frombuffer(found, dtype="<u4").tolist() == whole(text)
 
 
+def test_plain_words_share_the_ids_of_their_letters(monkeypatch):
+    """Words that differ in case and marks after them are encoded once; all others as before, across forgetting."""
+    text = "Straße, STRASSE! ÀÉÎ) àéî. ÿÝ H\u0331 ǅ ªº don't. x'S. İstanbul, <|EndOfText|> a<|endoftext|>. ÑANDÚ?! q.”, ;; a\u0301."
+    want = whole(text)
+    monkeypatch.setattr(T, "_loaded", {})
+    for most in (300_000, 3):
+        monkeypatch.setattr(T, "REMEMBERED_STEMS", most)
+        assert np.frombuffer(T.encode_texts([text.encode()], VOCABULARY)[0], dtype="<u4").tolist() == want
+        T._loaded[VOCABULARY].words.clear()
+    monkeypatch.setattr(T, "REMEMBERED_STEMS", 300_000)
+    encoder = T._remembered(VOCABULARY)
+    assert encoder.of_stems is not None
+    encoder.stems.clear()
+    T.encode_texts([b"Reader, reader. READER reader;"], VOCABULARY)
+    assert set(encoder.stems) == {"reader", ",", ".", ";", ""} and len(encoder.words) == 4
+
+
 def test_round_trip(spark, tmp_path):
     docs = with_clashes(documents(spark), "part", "ids", "start", "local_start", "before", "of")
     path = str(tmp_path / "files")
