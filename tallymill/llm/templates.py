@@ -21,6 +21,7 @@ words or numbers only; an item shorter than a window is one window; null ids are
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -78,14 +79,19 @@ INNER, OPENING, PLAIN = 0, 1, 2
 
 def _form(word: str) -> tuple[int, int, int]:
     """(token, flags, plain token) of one raw word, as far as it does not depend on its neighbours."""
-    bare = _EDGE.sub("", word)
-    flags = _STOPS if _ENDS.search(word) else 0
+    # most words are letters and at most one mark
+    if word.isalpha():
+        bare, flags, letters = word, 0, True
+    elif word[-1] in ".,;!?:" and word[:-1].isalpha():
+        bare, flags, letters = word[:-1], 0 if word[-1] in ",;" else _STOPS, True
+    else:
+        bare, flags, letters = _EDGE.sub("", word), _STOPS if _ENDS.search(word) else 0, False
     lower = bare.lower()
     # signs are plain words
     plain = max(xxhash.xxh64_intdigest((lower or word).encode()) >> 8, 4)
     if not bare:
         return 0, flags | _EMPTY, plain
-    if _NUMBER.match(bare) or lower in NUMBER_WORDS:
+    if lower in NUMBER_WORDS or not letters and _NUMBER.match(bare):
         return NUMBER, flags | _IS_NUMBER, plain
     if lower in UNITS:
         flags |= _IS_UNIT
@@ -97,17 +103,30 @@ def _form(word: str) -> tuple[int, int, int]:
 
 
 class _Forms(dict):
-    def __missing__(self, word: str) -> tuple[int, int, int]:
+    """The number of each word met, by which its form stands in a table."""
+
+    def __init__(self):
+        super().__init__()
+        self.table = array("q")
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.table.extend(_form(word))
+        return number
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row of token, flags and plain token for each word."""
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = found = _form(word)
-        return found
+            self.table = array("q")
+        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.frombuffer(self.table, dtype=np.int64).reshape(-1, 3)[numbers]
 
 
-def _words_of(text: str, forms: dict) -> tuple[list[str], np.ndarray]:
+def _words_of(text: str, forms: _Forms) -> tuple[list[str], np.ndarray]:
     """The words, and the forms of each."""
     words = text.replace("\n", ".\n").split()
-    return words, np.array([forms[w] for w in words], dtype=np.int64).reshape(-1, 3)
+    return words, forms.of(words)
 
 
 def _tokens_of(found: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +150,7 @@ def _tokens_of(found: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[single], kept[single]
 
 
-def canonical(text: str, forms: dict) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def canonical(text: str, forms: _Forms) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Tokens, the place of each token's (first) word, and the words."""
     words, found = _words_of(text, forms)
     return *_tokens_of(found, INNER), words

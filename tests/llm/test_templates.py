@@ -105,3 +105,25 @@ def test_empty(spark):
 def test_window_hashes_tell_order():
     a = templates._hashes(np.array([5, 6, 7, 8]), 3)
     assert len(set(a.tolist()) | set(templates._hashes(np.array([6, 5, 7]), 3).tolist())) == 3
+
+
+def test_plain_words_need_no_patterns(monkeypatch):
+    """Letters with at most one mark take their form without the patterns, which would give the same."""
+    plain = "Paris paris. twelve, Km! you? été; Ünit: A ªº İx".split()
+    want = []
+    for w in plain:  # a second mark is for the patterns
+        token, flags, bare = templates._form(w + "'")
+        want.append((token, flags, bare))
+    monkeypatch.setattr(templates, "_EDGE", None)
+    monkeypatch.setattr(templates, "_NUMBER", None)
+    monkeypatch.setattr(templates, "_ENDS", None)
+    assert [templates._form(w) for w in plain] == want
+
+
+def test_forgotten_words_get_their_form_again(monkeypatch):
+    texts = ["The train to Paris takes 12 hours.", "", "In Paris the 5 trains take hours, he said"] * 3
+    want = [templates._words_of(t, templates._Forms())[1].tolist() for t in texts]
+    monkeypatch.setattr(templates, "REMEMBERED", 5)
+    forms = templates._Forms()
+    assert [templates._words_of(t, forms)[1].tolist() for t in texts] == want
+    assert len(forms) <= 5 + 9
