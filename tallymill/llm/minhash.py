@@ -265,28 +265,30 @@ def _bridges(percent: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(found_a, type=pa.int64()), "b": pa.array(found_b, type=pa.int64())})
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
+def _blocks(members: DataFrame, block: int, whole: bool = False) -> DataFrame:
     """Deals each leader's nodes to blocks that bring every pair of different components together.
 
     The nodes of a leader's largest component (kind 0, side 0) meet the others (side 1); the others meet each other
-    (kind 1). A leader's nodes that all have one label need no block.
+    (kind 1). A leader's nodes that all have one label need no block. With ``whole``, up to twice ``block`` nodes, as many
+    as two sides have, are one block, all as others.
     """
     shares = members.groupBy("leader", "label").agg(F.count("*").alias("n"))
     of = shares.groupBy("leader").agg(
         F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("labels")
     )
     parts = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    alone = F.lit(whole) & (F.col("total") <= 2 * block)
     of = of.where("labels > 1").select(
         "leader",
-        F.col("main.label").alias("main"),
-        parts(F.col("main.n")).alias("main_parts"),
-        parts(F.col("total") - F.col("main.n")).alias("rest_parts"),
+        F.when(~alone, F.col("main.label")).alias("main"),
+        F.when(alone, 0).otherwise(parts(F.col("main.n"))).alias("main_parts"),
+        F.when(alone, 1).otherwise(parts(F.col("total") - F.col("main.n"))).alias("rest_parts"),
     )
     placed = members.join(settle(of, "leaders"), "leader")
-    of_rest = F.col("label") != F.col("main")
+    of_rest = ~F.col("label").eqNullSafe(F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(of_rest, F.col("rest_parts")).otherwise(F.col("main_parts"))).cast("int")
     placed = placed.withColumn("own", own)
-    others = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    others = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     task = lambda kind, i, j, side: F.struct(
         F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side")
     )
@@ -297,7 +299,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     )
     with_others = F.transform(others("rest_parts"), lambda k: task(0, mine, k, F.lit(0)))
     tasks = F.when(of_rest, F.concat(with_main, with_rest)).otherwise(with_others)
-    return placed.select("leader", "node", "label", F.explode(tasks).alias("t")).select("leader", "node", "label", "t.*")
+    return placed.select(*members.columns, F.explode(tasks).alias("t")).select(*members.columns, "t.*")
 
 
 def _confirmed_stars(docs: DataFrame, nodes: DataFrame, tried: DataFrame, size: int, percent: int, block: int) -> DataFrame:

@@ -10,9 +10,10 @@ ball of radius one around it. Two fingerprints thus meet if some segment differs
 differing bits (a similarity of about 0.92), with probability 0.96 at a similarity of 0.9 and 0.65 at 0.8 (chains of
 copies reach further). Whole distances are verified for all that meet, before any text is read again.
 
-Equal fingerprints are one node. Each value's bucket first forms a star around its least node; what is left are pairs
-of one bucket in different components so far, which go through blocks of bounded size. So a group of near copies costs
-its nodes, not its pairs. At N nodes a bucket holds N * 264 / 2^35 unrelated nodes: under eight up to a thousand million.
+Equal fingerprints are one node. Each value's bucket forms a star around its least node, first those of whole segments
+(8 a node), then those of the balls, where only nodes of another component than the leader's are compared; what is left
+are pairs of one bucket in different components so far, which go through blocks of bounded size. So a group of near
+copies costs its nodes, not its pairs. At N nodes a bucket holds N * 264 / 2^35 unrelated nodes: under eight up to a thousand million.
 
 Defined cases: a null text is empty; texts without words have no fingerprint and no class; repeated rows each get
 their row; an empty table gives no rows; other columns are ignored.
@@ -80,28 +81,35 @@ def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WORDS)
 
 
-def _stored(nodes: DataFrame) -> DataFrame:
-    """``key`` and ``node``: each node under every value of its segments' balls; the segment's number stands above it."""
+def _stored(nodes: DataFrame, balls: bool) -> DataFrame:
+    """``key`` and the columns of ``nodes`` but ``fp``: each node under its segments' values, or every value of their
+    balls; the segment's number stands above it."""
+    own = [c for c in nodes.columns if c != "fp"]
     value = lambda k: F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long")
     segments = F.explode(F.array(*[value(k) + F.lit(k << 32) for k in range(SEGMENTS)]))
+    if not balls:
+        return nodes.select(segments.alias("key"), *own)
     flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)]))
-    return nodes.select("node", segments.alias("segment")).select("node", "segment", flips.alias("flip")).select(
-        F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), "node"
+    return nodes.select(*own, segments.alias("segment")).select(*own, "segment", flips.alias("flip")).select(
+        F.col("segment").bitwiseXOR(F.col("flip")).alias("key"), *own
     )
 
 
-def met_in_buckets(nodes: DataFrame) -> DataFrame:
-    """``leader`` and ``node`` of all nodes that share a bucket with a lesser one, its least node being the leader.
+def met_in_buckets(nodes: DataFrame, balls: bool = True) -> DataFrame:
+    """``leader`` and ``node`` of all nodes that share a bucket with a lesser one, its least node being the leader; if
+    ``nodes`` have a ``label``, ``leader_label`` and ``label`` too.
 
     A node gives 264 keys, so tasks are cut by the number of keys, not by the few bytes of the nodes; the keys are
     shuffled once and sorted, as nearly all stand alone and an aggregate would only hold them in memory. A large group's
     keys are as many as any node's, so they lie on many tasks.
     """
-    parts = max(1, -(-nodes.count() * SEGMENTS * 33 // KEYS))
-    stored = _stored(nodes.repartition(parts, "node")).repartition(parts, "key")
+    parts = max(1, -(-nodes.count() * SEGMENTS * (33 if balls else 1) // KEYS))
+    nodes = nodes.select("node", "fp", *[c for c in nodes.columns if c == "label"])
+    stored = _stored(nodes.repartition(parts, "node"), balls).repartition(parts, "key")
     up_to_here = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = stored.select(F.first("node").over(up_to_here).alias("leader"), "node").where("node > leader")
-    return met.distinct()
+    first = {"node": "leader", "label": "leader_label"}
+    own = [x for c in stored.columns if c != "key" for x in (F.first(c).over(up_to_here).alias(first[c]), F.col(c))]
+    return stored.select(*own).where("node > leader").distinct()
 
 
 def _near(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -110,7 +118,7 @@ def _near(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield batch.select(["leader", "node"]).filter(pa.array(differ <= most))
 
 
-_LIVE = pa.schema([("leader", pa.int64()), ("node", pa.int64()), ("label", pa.int64())])
+_LIVE = pa.schema([(c, pa.int64()) for c in ("leader", "node", "label")] + [(c, pa.int32()) for c in ("kind", "i", "j", "side")])
 
 
 def _live(most: int, table: pa.Table) -> pa.Table:
@@ -142,19 +150,29 @@ def _stars(docs: DataFrame, nodes: DataFrame, met: DataFrame, size: int, percent
 
 def classes(docs: DataFrame, nodes: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
     """``node`` and ``root`` (of its component) of every row of ``nodes`` (``node``, ``fp``, ``doc_id``, ``text_hash``)."""
-    met = settle(met_in_buckets(nodes), "wide-met")
-    labels = settle(components(settle(_stars(docs, nodes, met, size, percent, block), "wide-stars")), "wide-labels")
-
-    named = met.join(labels.withColumnRenamed("root", "label"), "node", "left")
-    named = settle(named.select("leader", "node", F.coalesce("label", "node").alias("label")), "wide-named")
-    task = ["leader", "kind", "i", "j"]
-    looked = _blocks(named, block).join(nodes.select("node", "fp"), "node")
-    most = most_bits(percent)
-    live = looked.groupBy(*task).applyInArrow(lambda t: _live(most, t), "leader long, node long, label long")
-    live = settle(live.distinct(), "wide-live")
+    same = settle(met_in_buckets(nodes, balls=False), "wide-same")
+    stars = settle(_stars(docs, nodes, same, size, percent, block), "wide-stars")
+    labels = components(stars).withColumnRenamed("root", "label")
+    labelled = settle(nodes.join(labels, "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label")), "wide-labelled")
+    met = settle(met_in_buckets(labelled), "wide-met")
+    apart = met.where("label != leader_label").select("leader", "node")
+    more = settle(_stars(docs, nodes, apart, size, percent, block), "wide-more-stars")
+    labels = settle(components(stars.union(more)), "wide-labels")
+
+    # leaders that have met nodes of several components: by their labels so far, which are few, not by their nodes
+    wider = labels.select(F.col("node").alias("label"), "root")
+    roots = met.select("leader", "label").distinct().join(wider, "label", "left").select("leader", F.coalesce("root", "label").alias("root"))
+    mixed = roots.groupBy("leader").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least < last")
+    mixed = settle(mixed.select("leader"), "wide-mixed")
+    labelled = nodes.join(labels.withColumnRenamed("root", "label"), "node", "left")
+    labelled = settle(labelled.select("node", "fp", F.coalesce("label", "node").alias("label")), "wide-labelled")
+    named = settle(met.select("leader", "node").join(mixed, "leader", "left_semi").join(labelled, "node", "left"), "wide-named")
+    task, most = ["leader", "kind", "i", "j"], most_bits(percent)
+    looked = _blocks(named, block, whole=True)
+    live = looked.groupBy(*task).applyInArrow(lambda t: _live(most, t), "leader long, node long, label long, kind int, i int, j int, side int")
+    live = settle(live, "wide-live")
     sets = _sets_of(docs, nodes, live.select("node").distinct(), size)
-    blocks = _blocks(live, block).join(sets, "node")
-    bridges = blocks.groupBy(*task).applyInArrow(lambda t: _bridges(percent, t), "a long, b long")
+    bridges = live.join(sets, "node").groupBy(*task).applyInArrow(lambda t: _bridges(percent, t), "a long, b long")
     wider = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("wider"))
 
     rooted = nodes.select("node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -7,7 +7,7 @@ import pytest
 from corpora import documents, with_clashes, words
 from test_simhash import groups
 
-from tallymill.llm import wide_simhash
+from tallymill.llm import minhash, wide_simhash
 
 
 def shingles(text, size=5):
@@ -96,6 +96,28 @@ def test_a_large_group_of_near_copies(spark):
     assert len(got) == 601 and len({r.component for r in got}) == 1
 
 
+def test_nodes_that_are_linked_are_not_compared_again(spark, monkeypatch):
+    rng = random.Random(4)
+    base = words(rng, 200, 5000)
+    texts = [base] + [changed(rng, base, 1) for _ in range(600)]
+    compared, stars = [], wide_simhash._stars
+    monkeypatch.setattr(wide_simhash, "_stars", lambda docs, nodes, met, *a: compared.append(met.count()) or stars(docs, nodes, met, *a))
+    got = wide_simhash.near_duplicates(documents(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()
+    assert len({r.component for r in got}) == 1
+    assert sum(compared) <= 10 * len(texts)  # a node shares buckets with more than 30 leaders
+
+
+def test_small_groups_are_one_block(spark):
+    """Each node of a leader that has few is in one block once, others are dealt as before."""
+    rows = [(1, k, k) for k in range(20)] + [(2, k, 7 if k < 18 else k) for k in range(20)]
+    rows += [(3, k, 5) for k in range(4)] + [(4, k, 7 if k < 18 else k) for k in range(21)]
+    members = spark.createDataFrame(rows, "leader long, node long, label long")
+    dealt = lambda df: [(r.leader, r.kind, r.i, r.j, r.side, r.node) for r in df.collect()]
+    got = dealt(minhash._blocks(members, 10, whole=True))
+    assert sorted(x for x in got if x[0] < 4) == [(leader, 1, 0, 0, 0, k) for leader in (1, 2) for k in range(20)]
+    assert sorted(x for x in got if x[0] > 3) == sorted(dealt(minhash._blocks(members.where("leader = 4"), 10)))
+
+
 def test_bits_follow_the_similarity():
     assert wide_simhash.most_bits(100) == 0
     assert 30 < wide_simhash.most_bits(90) < wide_simhash.most_bits(80) < 60
