@@ -24,6 +24,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -123,14 +124,20 @@ class _Forms(dict):
         return np.frombuffer(self.table, dtype=np.int64).reshape(-1, 3)[numbers]
 
 
+def _split(text: str) -> list[str]:
+    """The words; a line's end is a sentence's."""
+    return text.replace("\n", ".\n").split()
+
+
 def _words_of(text: str, forms: _Forms) -> tuple[list[str], np.ndarray]:
     """The words, and the forms of each."""
-    words = text.replace("\n", ".\n").split()
+    words = _split(text)
     return words, forms.of(words)
 
 
-def _tokens_of(found: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of one form of a text, and the place of each token's (first) word."""
+def _tokens_of(found: np.ndarray, form: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of one form of a text, and the place of each token's (first) word; ``of``: the text's number of each word,
+    if there are several."""
     flags = found[:, 1]
     if form == PLAIN:
         # a line's end alone is no word
@@ -138,15 +145,18 @@ def _tokens_of(found: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray]:
         return found[kept, 2], kept
     if not len(found):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    opens = np.append(True, flags[:-1] & _STOPS != 0)
+    begins = np.append(True, np.zeros(len(found) - 1, dtype=bool) if of is None else of[1:] != of[:-1])
+    opens = begins | np.append(True, flags[:-1] & _STOPS != 0)
     if form == OPENING:
         opens &= flags & _OPENER != 0
-    after_number = np.append(False, flags[:-1] & _IS_NUMBER != 0)
+    after_number = ~begins & np.append(False, flags[:-1] & _IS_NUMBER != 0)
     tokens = np.where((flags & _CAPITAL != 0) & ~opens, NAME, found[:, 0])
     tokens = np.where((flags & _IS_UNIT != 0) & after_number, UNIT, tokens)
     kept = np.flatnonzero(flags & _EMPTY == 0)
     tokens = tokens[kept]
     single = np.append(True, (tokens[1:] != NAME) | (tokens[:-1] != NAME))[: len(tokens)]
+    if of is not None:
+        single[1:] |= of[kept[1:]] != of[kept[:-1]]
     return tokens[single], kept[single]
 
 
@@ -191,17 +201,19 @@ def _hashes(tokens: np.ndarray, window: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _slot_values(tokens: np.ndarray, places: np.ndarray, words: list[str], at: int, window: int) -> list[str]:
-    """The values of a window's placeholders, each with its type."""
-    out = []
-    for k in range(at, at + window):
-        if tokens[k] <= UNIT:
-            last = places[k] + 1
-            if tokens[k] == NAME:
-                while last < (places[k + 1] if k + 1 < len(places) else len(words)):
-                    last += 1
-            out.append(f"{tokens[k]} " + " ".join(_EDGE.sub("", w) for w in words[places[k] : last]).lower())
-    return out
+def _slot_values(tokens: np.ndarray, places: np.ndarray, ends: np.ndarray, words: list[str], starts: np.ndarray, size: int) -> list[list[str]]:
+    """The values of the placeholders of each window, each with its type; names go on to ``ends``."""
+    slots = np.flatnonzero(tokens <= UNIT)
+    lasts = np.where(tokens[slots] == NAME, ends[slots], places[slots] + 1)
+    first, last = np.searchsorted(slots, starts).tolist(), np.searchsorted(slots, starts + size).tolist()
+    needed = np.zeros(len(slots) + 1, dtype=np.int64)
+    np.add.at(needed, first, 1)
+    np.add.at(needed, last, -1)
+    values = [
+        f"{kind} " + " ".join([_EDGE.sub("", w) for w in words[a:b]]).lower() if n else ""
+        for kind, a, b, n in zip(tokens[slots].tolist(), places[slots].tolist(), lasts.tolist(), np.cumsum(needed).tolist())
+    ]
+    return [values[a:b] for a, b in zip(first, last)]
 
 
 def _windows(
@@ -211,27 +223,35 @@ def _windows(
     ``lengths``: sizes of windows by form, None for items."""
     forms = _Forms()
     known = {} if shared is None else shared.value
-    for batch in pieces(batches, rows=500):
+    for batch in pieces(batches, rows=500, size=2 << 20):
         rows, hashes, places, totals, kinds, slots = [], [], [], [], [], []
-        for row, text in enumerate(strings(batch.column("text"))):
-            words, found = _words_of(text.decode("utf-8", "replace"), forms)
-            for form in _item_forms(found, window, literals) if lengths is None else lengths.value:
-                tokens, at = _tokens_of(found, form)
-                for size in [min(window, len(tokens))] if lengths is None else lengths.value[form]:
-                    start = _usable(tokens, form, size, window, literals, known.get(form))
-                    if not len(start):
-                        continue
-                    # a form meets itself only
-                    hashes.append(_hashes(tokens, size)[start] ^ np.int64(form))
-                    rows.append(np.full(len(start), row))
-                    places.append(start)
-                    totals.append(np.full(len(start), len(start)))
-                    kinds.append(np.full(len(start), form))
-                    if form == PLAIN:
-                        slots += [[]] * len(start)
-                        continue
-                    placeholder = tokens <= UNIT
-                    slots += [_slot_values(tokens, at, words, s, size) if placeholder[s : s + size].any() else [] for s in start.tolist()]
+        split = [_split(text.decode("utf-8", "replace")) for text in strings(batch.column("text"))]
+        words = list(chain.from_iterable(split))
+        found = forms.of(words)
+        cuts = np.append(0, np.cumsum([len(w) for w in split]))
+        # all texts at once; items may differ in form and size
+        of = np.repeat(np.arange(len(split)), np.diff(cuts))
+        if lengths is None:
+            asked = [(form, k) for k in range(len(split)) for form in _item_forms(found[cuts[k] : cuts[k + 1]], window, literals)]
+        else:
+            asked = [(form, None) for form in lengths.value]
+        for form, k in asked:
+            part = slice(None) if k is None else slice(cuts[k], cuts[k + 1])
+            tokens, at = _tokens_of(found[part], form, of[part])
+            own, at = of[part][at], at + (0 if k is None else cuts[k])
+            ends = np.minimum(np.append(at[1:], len(words)), cuts[own + 1])
+            for size in [min(window, len(tokens))] if lengths is None else lengths.value[form]:
+                start = _usable(tokens, form, size, window, literals, known.get(form))
+                start = start[own[start] == own[start + size - 1]]
+                if not len(start):
+                    continue
+                # a form meets itself only
+                hashes.append(_hashes(tokens, size)[start] ^ np.int64(form))
+                rows.append(own[start])
+                places.append(start - np.searchsorted(own, own[start]))
+                totals.append(np.bincount(own[start])[own[start]])
+                kinds.append(np.full(len(start), form))
+                slots += [[]] * len(start) if form == PLAIN else _slot_values(tokens, at, ends, words, start, size)
         if not hashes:
             continue
         of = pa.array(np.concatenate(rows))

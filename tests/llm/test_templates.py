@@ -1,8 +1,10 @@
 """Template matches: exact, re-parameterised and inconsistent questions, clean texts, odd cases."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import SCHEMA, with_clashes, words
 
@@ -127,3 +129,22 @@ def test_forgotten_words_get_their_form_again(monkeypatch):
     forms = templates._Forms()
     assert [templates._words_of(t, forms)[1].tolist() for t in texts] == want
     assert len(forms) <= 5 + 9
+
+
+def test_windows_of_many_texts_are_cut_at_once(monkeypatch):
+    """Texts of a batch share one pass; what one says of its ends, names and numbers does not reach the next."""
+    rng = random.Random(5)
+    some = ["The", "John", "Smith", "3", "5.", "km", "--", ".", "dog", "Ann,", "x", "\n", "$5"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(200)]
+    lengths = SimpleNamespace(value={templates.INNER: [3, 1], templates.OPENING: [3], templates.PLAIN: [2]})
+
+    def cut(ids, of):
+        batch = pa.record_batch({"doc_id": ids, "text": of})
+        found = templates._windows([batch], 3, 1, ("doc_id",), None, lengths)
+        return sorted(str(row) for b in found for row in b.to_pylist())
+
+    alone = sorted(row for k, t in enumerate(texts) for row in cut([k], [t]))
+    passes, usable = [], templates._usable
+    monkeypatch.setattr(templates, "_usable", lambda *a: passes.append(1) or usable(*a))
+    assert cut(list(range(200)), texts) == alone and len(alone) > 1000
+    assert len(passes) == 4
