@@ -5,6 +5,10 @@ that space itself). Where tokens of both end at one byte and space-marked tokens
 cut: the token ids between two such anchors are a window, and since token bytes depend on ids alone, a window's
 alignment is looked up by its two id tuples. Only windows not seen before are aligned, those of some hundred texts at once.
 
+Where the vocabularies' rules begin anew at every single space between other characters, as those of the defaults do, a
+text is its words: each is encoded and aligned once, many new ones at a time, and texts are put together from their
+words' alignments. Texts with very long words, or with words that their tokens do not give back, are encoded whole.
+
 Groups are the token runs between consecutive bytes where both sides end a token; links are the pairs of tokens whose
 bytes overlap. How many documents hold an id pair linked is counted over all of them: distinct pairs per document are
 stored with their multiplicities, counted by one aggregate, and joined back.
@@ -18,6 +22,7 @@ are ignored. Special tokens' strings are plain text. A window of any length is a
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -28,16 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.frames import documents, pieces, strings
+from tallymill.llm.frames import documents, pieces
 from tallymill.sources.work import new_folder, settle
 
 #: Windows that a Python worker remembers; then it forgets all and starts anew.
 REMEMBERED = 200_000
 MEMORABLE = 64
+#: The same of words, those encoded in one text, and the characters of a word that is still looked up as one.
+REMEMBERED_WORDS = 300_000
+TOGETHER = 50
+LONGEST = 64
 #: Id pairs whose counts are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_500_000
 _loaded: dict = {}
 
+#: Single spaces between characters that are neither white space nor the pieces' sign for it.
+_CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+
 
 # ---- vocabularies -----------------------------------------------------------
 
@@ -50,10 +62,11 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """The bytes of each id, their number, and whether they begin with a space."""
+    """The bytes of each id, their number, and whether they begin with a space; ``by_words``: no token or rule reaches
+    across a single space between other characters, so a text's ids are those of its words."""
 
-    def __init__(self, encode, tokens: list[bytes]):
-        self.encode, self.tokens = encode, tokens
+    def __init__(self, encode, tokens: list[bytes], by_words: bool):
+        self.encode, self.tokens, self.by_words = encode, tokens, by_words
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         self.marked = np.array([t[:1] == b" " for t in tokens])
 
@@ -72,13 +85,41 @@ def byte_vocabulary(name: str) -> Vocabulary:
 
     tokenizer = Tokenizer.from_file(_path(name))
     tokenizer.encode_special_tokens = True
+    rules = json.loads(tokenizer.to_str())
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    by_words = (
+        rules["normalizer"] is None
+        and rules["pre_tokenizer"] == byte_level
+        and rules["model"]["type"] == "BPE"
+        and not rules["model"]["dropout"]
+        and all(t["special"] for t in rules["added_tokens"])
+    )
     letters = byte_letters()
     tokens = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    return Vocabulary(encode, [bytes(letters[c] for c in t) if set(t) <= letters.keys() else t.encode() for t in tokens])
+    return Vocabulary(encode, [bytes(letters[c] for c in t) if set(t) <= letters.keys() else t.encode() for t in tokens], by_words)
+
+
+def _pieces_by_words(model) -> bool:
+    """Only pair merges, no rewriting, and no piece with a space after another character."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:  # its rules cannot be read without protobuf
+        return False
+    rules = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    form, trained = rules.normalizer_spec, rules.trainer_spec
+    return (
+        trained.model_type == trained.BPE
+        and not trained.treat_whitespace_as_suffix
+        and not form.precompiled_charsmap
+        and not form.remove_extra_whitespaces
+        and form.add_dummy_prefix
+        and form.escape_whitespaces
+        and not any(re.search("[^▁]▁", p.piece) for p in rules.pieces)
+    )
 
 
 def piece_vocabulary(name: str) -> Vocabulary:
@@ -90,7 +131,7 @@ def piece_vocabulary(name: str) -> Vocabulary:
         piece = model.id_to_piece(k)
         raw = re.fullmatch("<0x([0-9A-F]{2})>", piece) if model.is_byte(k) else None
         tokens.append(bytes([int(raw[1], 16)]) if raw else piece.replace("▁", " ").encode())
-    return Vocabulary(lambda texts: model.encode(texts, num_threads=1), tokens)
+    return Vocabulary(lambda texts: model.encode(texts, num_threads=1), tokens, _pieces_by_words(model))
 
 
 # ---- one document -----------------------------------------------------------
@@ -127,6 +168,8 @@ class Aligner:
         self.names = [np.array([f"{k}{end}" for k in range(len(v.tokens))], dtype=object) for v, end in zip((self.a, self.a, self.b, self.b), ",|,;")]
         #: By the ids of A, then those of B with their sign bit set: one sequence that has one reading.
         self.known: dict[bytes, tuple[str, bytes]] = {}
+        #: Of words: numbers of tokens and groups, groups, links; None for a word that its tokens do not give back.
+        self.words: dict[str, tuple[int, int, int, str, bytes] | None] = {}
 
     def windows(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[tuple[str, bytes]]:
         """The alignments of windows given one after the other, with their numbers of tokens of both sides."""
@@ -165,13 +208,16 @@ class Aligner:
         self.known.update(some)
         return found
 
+    def _given_back(self, text: bytes, a_ids: list[int], b_ids: list[int]) -> bool:
+        raw = b" " + text
+        return all(b"".join(map(v.tokens.__getitem__, i)) == raw for v, i in ((self.a, a_ids), (self.b, b_ids)))
+
     def align(self, texts: list[bytes], a_lists: list[list[int]], b_lists: list[list[int]]) -> list:
         """Per text the numbers of its tokens and groups, its groups and all links; None if its tokens do not give it back."""
         out: list = [None] * len(texts)
         usable = []
         for k, (text, a_ids, b_ids) in enumerate(zip(texts, a_lists, b_lists)):
-            raw = b" " + text
-            if text and all(b"".join(map(v.tokens.__getitem__, i)) == raw for v, i in ((self.a, a_ids), (self.b, b_ids))):
+            if text and self._given_back(text, a_ids, b_ids):
                 usable.append(k)
         if not usable:
             return out
@@ -202,6 +248,59 @@ class Aligner:
             out[k] = n_a, n_b, n, ";".join(groups[u:v]), np.frombuffer(b"".join(links[u:v]), dtype=np.int64)
         return out
 
+    def _of_words(self, words: list[str], together: int) -> dict[str, tuple[int, int, int, str, bytes] | None]:
+        """The alignments of words, ``together`` of them in one text; its tokens are dealt by the words' bytes."""
+        out: dict = {}
+        some = [words[k : k + together] for k in range(0, len(words), together)]
+        texts = [" ".join(x) for x in some]
+        good, a_lists, b_lists = [], [], []
+        for own, text, a_ids, b_ids in zip(some, texts, self.a.encode(texts), self.b.encode(texts)):
+            if self._given_back(text.encode(), a_ids, b_ids):
+                good += own
+                a_lists.append(a_ids)
+                b_lists.append(b_ids)
+            else:
+                out |= dict.fromkeys(own) if together == 1 else self._of_words(own, 1)
+        if not good:
+            return out
+        a, b = (np.array(list(chain.from_iterable(x)), dtype=np.uint32) for x in (a_lists, b_lists))
+        ends = np.cumsum([len(w.encode()) + 1 for w in good])
+        sizes_a, sizes_b = (
+            np.diff(np.searchsorted(np.cumsum(v.sizes[ids]), ends, "right"), prepend=0) for v, ids in ((self.a, a), (self.b, b))
+        )
+        found = self.windows(a, b, sizes_a, sizes_b)
+        for word, n_a, n_b, (groups, links) in zip(good, sizes_a.tolist(), sizes_b.tolist(), found):
+            out[word] = n_a, n_b, groups.count(";") + 1, groups, links
+        return out
+
+    def align_texts(self, texts: list[str]) -> list:
+        """Encodes the texts and gives for each what ``align`` gives, from the alignments of its words if it can be cut."""
+        split = [()] * len(texts)
+        if self.a.by_words and self.b.by_words:
+            split = [w if max(map(len, w)) <= LONGEST else () for w in map(_CUT.split, texts)]
+        every = set().union(*split)
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED_WORDS:
+            self.words.clear()
+            new = every
+        # only words that show no white space at their ends may stand beside others
+        alone = [w for w in new if "▁" in w or not w or w[0].isspace() or w[-1].isspace()]
+        self.words.update(self._of_words(alone, 1))
+        self.words.update(self._of_words(list(new.difference(alone)), TOGETHER))
+        out: list = [None] * len(texts)
+        whole = []
+        for k, words in enumerate(split):
+            found = list(map(self.words.__getitem__, words))
+            if not found or None in found:
+                whole.append(k)
+                continue
+            n_a, n_b, n_groups, groups, links = zip(*found)
+            out[k] = sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(links), dtype=np.int64)
+        left = [texts[k] for k in whole]
+        for k, found in zip(whole, self.align([t.encode() for t in left], self.a.encode(left), self.b.encode(left))):
+            out[k] = found
+        return out
+
 
 def _aligner(byte_name: str, piece_name: str) -> Aligner:
     """One per Python worker."""
@@ -221,10 +320,8 @@ def _aligned(batches: Iterable[pa.RecordBatch], byte_name: str, piece_name: str)
     # windows are many small objects without cycles: the collector need not look after every few hundred of them
     gc.set_threshold(50_000, 20, 20)
     for batch in pieces(batches, rows=500, size=2 << 20):
-        texts = strings(batch.column("text"))
-        words = batch.column("text").to_pylist()
         numbers, groups, pairs, times = [], [], [], []
-        for found in aligner.align(texts, aligner.a.encode(words), aligner.b.encode(words)):
+        for found in aligner.align_texts(batch.column("text").to_pylist()):
             if found is None:
                 numbers.append((0, 0, 0, 0))
                 groups.append("")

@@ -1,6 +1,7 @@
 """Token alignment against all pairs of byte ranges."""
 
 import hashlib
+import random
 from collections import Counter
 from functools import lru_cache
 
@@ -111,3 +112,32 @@ def test_documents(spark, most):
 
 def test_empty(spark):
     assert T.digest(documents(spark, [])).count() == 0
+
+
+def same(got, want):
+    return got is want is None or (got[:4] == want[:4] and sorted(got[4].tolist()) == sorted(want[4].tolist()))
+
+
+def test_texts_from_words_equal_whole_texts(monkeypatch):
+    rng = random.Random(1)
+    parts = [" ", " ", " ", "  ", "\n", "\t", " ", "\x1c", "▁", "a", "The", "'s", "don't", "12", "!!", "é", "ﬁ", "́", "你好", "<s>", "<|endoftext|>", "x" * 70]
+    texts = ["", *ODD, *["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(500)]]
+    aligner = T.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
+    want = aligner.align([t.encode() for t in texts], aligner.a.encode(texts), aligner.b.encode(texts))
+    assert aligner.a.by_words and aligner.b.by_words
+    assert all(map(same, aligner.align_texts(texts), want))
+    monkeypatch.setattr(T, "REMEMBERED_WORDS", 3)
+    for k, t in enumerate(texts):
+        assert same(aligner.align_texts([t])[0], want[k])
+
+
+def test_a_word_is_encoded_once():
+    aligner = T.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
+    encoded = []
+    for side in (aligner.a, aligner.b):
+        side.encode = lambda texts, f=side.encode: encoded.extend(texts) or f(texts)
+    aligner.align_texts(["some words come again", "words come again and again"])
+    assert sorted(" ".join(encoded).split()) == sorted(["again", "and", "come", "some", "words"] * 2)
+    encoded.clear()
+    (found,) = aligner.align_texts(["again some words"])
+    assert not encoded and found[:3] == by_hand("again some words")[:3]
