@@ -91,6 +91,10 @@ class Vocabulary:
         self.heads, self.size, self.tails = heads, size, tails
         self.counts = dict(top)
         self.symbols = {w: k for k, (w, _) in enumerate(top[: heads * size])}
+        rare = [heads * size + tail_class(w, tails) for w, _ in top[heads * size :]]
+        #: Symbols and base sums in the order of ``counts``.
+        self.symbol_of = np.array([*range(len(self.symbols)), *rare], dtype=np.int32)
+        self.base_of = np.log10(np.array([n for _, n in top], dtype=float) + 1)
         sums = [tail_counts.get(k, (0, 0)) for k in range(tails)]
         self.tail_log = np.array([np.log10(n + v + 1) for n, v in sums])
         inner = np.zeros(heads * size)
@@ -98,36 +102,42 @@ class Vocabulary:
         self.word_counts = inner.reshape(heads, size)
         self.class_counts = np.append(self.word_counts.sum(axis=1), [n + 1 for n, _ in sums])
 
-    def symbol(self, word: bytes) -> int:
-        found = self.symbols.get(word)
-        return self.heads * self.size + tail_class(word, self.tails) if found is None else found
 
-
-class _Words(dict):
-    """Symbols by word; others are worked out once and remembered up to a bound."""
+class _Ranks(dict):
+    """Ranks of the remembered words; of others ``-1 - class`` by their first bytes, kept by these."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.symbols)
-        self.vocabulary = vocabulary
+        super().__init__(zip(vocabulary.counts, range(len(vocabulary.counts))))
+        self.heads, self.tails = vocabulary.heads * vocabulary.size, vocabulary.tails
+        self.symbol_of = np.append(vocabulary.symbol_of, np.int32(0))
+        self.classes: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-            self.update(self.vocabulary.symbols)
-        self[word] = found = self.vocabulary.symbol(word)
+        first = word[:3]
+        found = self.classes.get(first)
+        if found is None:
+            if len(self.classes) > 300_000:
+                self.classes.clear()
+            self.classes[first] = found = -1 - tail_class(word, self.tails)
         return found
 
+    def symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks and the symbols of a text's tokens."""
+        rank = np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        return rank, np.where(rank < 0, self.heads - 1 - rank, self.symbol_of[rank])
+
 
-def _symbols(words: _Words, tokens: list[bytes]) -> np.ndarray:
-    out = np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-    return np.append(out, np.int32(words[END]))
+def _tokens(text: bytes) -> list[bytes]:
+    tokens = text.lower().split()
+    tokens.append(END)
+    return tokens
 
 
 def _train(batches: Iterable[pa.RecordBatch], vocabulary, weights, settings: dict) -> Iterator[pa.RecordBatch]:
-    words = _Words(vocabulary.value)
+    ranks = _Ranks(vocabulary.value)
     trainer = recurrent.Trainer(weights.value, **settings)
     for batch in pieces(batches):
-        texts = [_symbols(words, t.lower().split()) for t in strings(batch.column("text"))]
+        texts = [ranks.symbols(_tokens(t))[1] for t in strings(batch.column("text"))]
         # parts of a long text train side by side
         trainer.add([t[at : at + PART] for t in texts for at in range(0, len(t), PART)])
     trainer.finish()
@@ -172,25 +182,25 @@ def train(
 
 def _score(batches: Iterable[pa.RecordBatch], vocabulary, weights) -> Iterator[pa.RecordBatch]:
     known: Vocabulary = vocabulary.value
-    words = _Words(known)
-    counts = known.counts
+    ranks = _Ranks(known)
     heads = known.heads * known.size
-    # of a remembered word: its base sum and its part within a tail class
-    logs = {w: float(np.log10(n + 1)) for w, n in counts.items()}
+    # by rank, then one entry for words that are not remembered: base sum, part within a tail class
+    base_of = np.append(known.base_of, 0.0)
+    within_of = np.where(ranks.symbol_of >= heads, base_of, 0.0)
     # many texts at once: a batch takes as many steps as its longest text has tokens
     for batch in pieces(batches, rows=8192):
         symbols, n_known, sums, within, rest = [], [], [], [], []
         for text in strings(batch.column("text")):
-            tokens = text.lower().split()
-            own = _symbols(words, tokens)
-            tokens.append(END)
-            found = [logs[w] for w in tokens if w in logs]
-            n_known.append(len(found))
-            sums.append(float(np.sum(found)))
+            tokens = _tokens(text)
+            rank, own = ranks.symbols(tokens)
+            other = rank < 0
+            rank[other] = len(base_of) - 1
+            others = np.flatnonzero(other).tolist()
+            n_known.append(len(tokens) - len(others))
+            sums.append(float(base_of[rank].sum()))
             tail = np.bincount(own[own >= heads] - heads, minlength=known.tails)
-            in_tail = sum(logs[w] for w in tokens if w in logs and w not in known.symbols)
-            within.append(in_tail - float(tail @ known.tail_log))
-            rest.append([{"word": w, "times": n} for w, n in Counter(w for w in tokens if w not in logs).items()])
+            within.append(float(within_of[rank].sum()) - float(tail @ known.tail_log))
+            rest.append([{"word": w, "times": n} for w, n in Counter(map(tokens.__getitem__, others)).items()])
             symbols.append(own)
         network = recurrent.score(weights.value, symbols) / LOG10
         yield pa.RecordBatch.from_pydict(

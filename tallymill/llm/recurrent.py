@@ -28,14 +28,18 @@ class Weights:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
-    def like(self, values: np.ndarray) -> Weights:
+    def over(self, values: np.ndarray) -> Weights:
+        """Weights of the same shapes whose arrays are views of the given ones."""
         out, at = [], 0
         for f in fields(self):
             old = getattr(self, f.name)
-            out.append(values[at : at + old.size].reshape(old.shape).astype(np.float32))
+            out.append(values[at : at + old.size].reshape(old.shape))
             at += old.size
         return Weights(*out)
 
+    def like(self, values: np.ndarray) -> Weights:
+        return self.over(np.array(values, dtype=np.float32))
+
 
 def start(class_counts: np.ndarray, word_counts: np.ndarray, hidden: int, seed: int = 1) -> Weights:
     """Random gates; the output's biases are the logarithms of the counts, so training starts from frequencies.
@@ -58,44 +62,101 @@ def start(class_counts: np.ndarray, word_counts: np.ndarray, hidden: int, seed:
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _squash(x: np.ndarray) -> np.ndarray:
+    """The logistic function in place; beyond -80 it is nothing that a float keeps apart from zero."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _halves(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrent parts of the gates and of the candidate."""
+    n = w.loop.shape[0]
+    return np.ascontiguousarray(w.loop[:, : 2 * n]), np.ascontiguousarray(w.loop[:, 2 * n :])
+
+
+def _gated(given: np.ndarray, state: np.ndarray, loops, gates=None, reset=None, c=None, new=None) -> np.ndarray:
+    """One gated step into the given arrays: keep gate ``z`` and reset gate ``r``, candidate ``c``, new state."""
+    n = state.shape[1]
+    gates = np.matmul(state, loops[0], out=gates)
+    gates += given[:, : 2 * n]
+    _squash(gates)
+    reset = np.multiply(gates[:, n:], state, out=reset)
+    c = np.matmul(reset, loops[1], out=c)
+    c += given[:, 2 * n :]
+    np.tanh(c, out=c)
+    new = np.subtract(state, c, out=new)  # z * state + (1 - z) * c
+    new *= gates[:, :n]
+    new += c
+    return new
 
 
 def _step(w: Weights, symbols: np.ndarray, state: np.ndarray):
-    """One gated step: keep gate ``z``, reset gate ``r``, candidate ``c``."""
+    """One gated step: the new state, and keep gate ``z``, reset gate ``r``, reset state, candidate ``c``."""
     n = state.shape[1]
-    given = w.table[symbols] + w.bias
-    gates = _sigmoid(given[:, : 2 * n] + state @ w.loop[:, : 2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    reset = r * state
-    c = np.tanh(given[:, 2 * n :] + reset @ w.loop[:, 2 * n :])
-    return z * state + (1 - z) * c, (z, r, reset, c)
+    gates, reset, c = (np.empty((len(symbols), k * n), dtype=np.float32) for k in (2, 1, 1))
+    new = _gated(w.table[symbols] + w.bias, state, _halves(w), gates, reset, c)
+    return new, (gates[:, :n], gates[:, n:], reset, c)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _classes(w: Weights, targets: np.ndarray) -> np.ndarray:
+    heads, _, size = w.words.shape
+    return np.where(targets < heads * size, targets // size, targets - heads * size + heads)
 
 
-def _by_class(classes: np.ndarray, heads: int):
-    """The places of each frequent class that occurs."""
+def _word_scores(w: Weights, states: np.ndarray, classes: np.ndarray):
+    """The places of targets of frequent classes, class by class, with the runs of each class that occurs, and their
+    states and scores of all words of their class."""
+    heads, _, size = w.words.shape
     order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(heads + 1))
-    return [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    cuts = np.searchsorted(classes[order], np.arange(heads + 1)).tolist()
+    order = order[: cuts[-1]]
+    runs = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    own = states[order]
+    inner = np.empty((len(order), size), dtype=np.float32)
+    for k, a, b in runs:
+        np.matmul(own[a:b], w.words[k], out=inner[a:b])
+    inner += w.word_bias[classes[order]]
+    return order, runs, own, inner
 
 
-def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray, rows: int = 8192) -> np.ndarray:
+def _small(w: Weights, states: np.ndarray) -> bool:
+    """Whether no score can come near the largest power of e that a float holds, nor near zero."""
+    most = max(float(states.max(initial=0)), -float(states.min(initial=0)))
+    sums = np.abs(w.classes).sum(axis=0).max() + np.abs(w.class_bias).max(), np.abs(w.words).sum(axis=1).max() + np.abs(w.word_bias).max()
+    return max(sums) * max(most, 1) < 75
+
+
+def _log_share(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """The log-softmax of each row at one place; overwrites ``x``."""
+    if not small:
+        x -= x.max(axis=1, keepdims=True)
+    found = x[np.arange(len(x)), at]
+    return found - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _softmax(x: np.ndarray, small: bool) -> np.ndarray:
+    if not small:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray, rows: int = 2048) -> np.ndarray:
     """Natural logarithms of each target symbol's class, times its word in a frequent class; ``rows`` at a time."""
-    if len(targets) > rows:
-        parts = range(0, len(targets), rows)
-        return np.concatenate([log_probabilities(w, states[a : a + rows], targets[a : a + rows], rows) for a in parts])
-    heads, _, size = w.words.shape
-    classes = np.where(targets < heads * size, targets // size, targets - heads * size + heads)
-    out = np.take_along_axis(_log_softmax(states @ w.classes + w.class_bias), classes[:, None], axis=1)[:, 0]
-    for k, at in _by_class(classes, heads):
-        inner = _log_softmax(states[at] @ w.words[k] + w.word_bias[k])
-        out[at] += inner[np.arange(len(at)), targets[at] % size]
+    out = np.empty(len(targets), dtype=np.float32)
+    small = _small(w, states)
+    for at in range(0, len(targets), rows):
+        some, goals, found = states[at : at + rows], targets[at : at + rows], out[at : at + rows]
+        classes = _classes(w, goals)
+        scores = some @ w.classes
+        scores += w.class_bias
+        found[:] = _log_share(scores, classes, small)
+        order, _, _, inner = _word_scores(w, some, classes)
+        found[order] += _log_share(inner, goals[order] % w.words.shape[2], small)
     return out
 
 
@@ -108,6 +169,7 @@ def score(w: Weights, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
     total = np.zeros(len(texts))
     states = np.zeros((len(texts), hidden), dtype=np.float32)
     previous = np.full(len(texts), opening)
+    table, loops = w.table + w.bias, _halves(w)
     for at in range(0, int(sizes.max(initial=0)), window):
         live = int(np.searchsorted(-sizes, -at))  # longer than ``at``, in front
         width = min(window, int(sizes[0]) - at)
@@ -115,71 +177,99 @@ def score(w: Weights, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
         for k in range(live):
             part = texts[order[k]][at : at + width]
             block[k, : len(part)] = part
-        seen, goals, owner = [], [], []
-        for t in range(width):
-            n = int(np.searchsorted(-sizes[:live], -(at + t)))
-            states[:n], _ = _step(w, previous[:n], states[:n])
-            seen.append(states[:n].copy())
-            goals.append(block[:n, t])
-            owner.append(np.arange(n))
-            previous[:n] = block[:n, t]
-        got = log_probabilities(w, np.concatenate(seen), np.concatenate(goals))
-        total += np.bincount(np.concatenate(owner), weights=got, minlength=len(texts))
+        block = np.ascontiguousarray(block.T)
+        counts = np.searchsorted(-sizes[:live], -(at + np.arange(width))).tolist()
+        seen = np.empty((sum(counts), hidden), dtype=np.float32)
+        goals = []
+        now, done = states, 0
+        for t, n in enumerate(counts):
+            now = _gated(table[previous[:n]], now[:n], loops, new=seen[done : done + n])
+            goals.append(block[t, :n])
+            previous = block[t]
+            done += n
+        states = now.copy()  # of the texts that reach the last step; others have ended
+        got = log_probabilities(w, seen, np.concatenate(goals))
+        done = 0
+        for n in counts:
+            total[:n] += got[done : done + n]
+            done += n
     out = np.zeros(len(texts))
     out[order] = total
     return out
 
 
-def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray):
-    """Gradient of the mean loss of one window (rows: texts, columns: steps), truncated at its start; the last state."""
+def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray, g: Weights | None = None):
+    """Gradient of the mean loss of one window (rows: texts, columns: steps), truncated at its start; the last state.
+
+    ``g``: zeros that take the gradient.
+    """
+    if g is None:
+        g = w.over(np.zeros(sum(getattr(w, f.name).size for f in fields(w)), dtype=np.float32))
     heads, hidden, size = w.words.shape
-    width = inputs.shape[1]
-    kept, befores, states = [], [], []
+    n, width = inputs.shape
+    full = live.all(axis=0).tolist()
+    loops = _halves(w)
+    given = w.table[inputs.T]
+    given += w.bias
+    gates = np.empty((width, n, 2 * hidden), dtype=np.float32)
+    befores, resets, candidates, states = np.empty((4, width, n, hidden), dtype=np.float32)
     for t in range(width):
-        befores.append(state)
-        new, parts = _step(w, inputs[:, t], state)
-        state = np.where(live[:, t, None], new, state)
-        kept.append(parts)
-        states.append(new)
-    all_states = np.concatenate(states)
+        befores[t] = state
+        new = _gated(given[t], state, loops, gates[t], resets[t], candidates[t], states[t])
+        state = new if full[t] else np.where(live[:, t, None], new, state)
+    all_states = states.reshape(-1, hidden)
     goals, alive = targets.T.ravel(), live.T.ravel()
-    share = alive.astype(np.float32) / max(int(alive.sum()), 1)
-    classes = np.where(goals < heads * size, goals // size, goals - heads * size + heads)
+    share = (alive.astype(np.float32) / max(int(alive.sum()), 1))[:, None]
+    classes = _classes(w, goals)
 
-    g = Weights(*[np.zeros_like(getattr(w, f.name)) for f in fields(w)])
-    wrong = np.exp(_log_softmax(all_states @ w.classes + w.class_bias))
+    wrong = all_states @ w.classes
+    wrong += w.class_bias
+    small = _small(w, all_states)
+    _softmax(wrong, small)
     wrong[np.arange(len(goals)), classes] -= 1
-    wrong *= share[:, None]
-    g.classes, g.class_bias = all_states.T @ wrong, wrong.sum(axis=0)
+    wrong *= share
+    np.matmul(all_states.T, wrong, out=g.classes)
+    wrong.sum(axis=0, out=g.class_bias)
     into = wrong @ w.classes.T
-    for k, at in _by_class(classes, heads):
-        inner = np.exp(_log_softmax(all_states[at] @ w.words[k] + w.word_bias[k]))
-        inner[np.arange(len(at)), goals[at] % size] -= 1
-        inner *= share[at, None]
-        g.words[k], g.word_bias[k] = all_states[at].T @ inner, inner.sum(axis=0)
-        into[at] += inner @ w.words[k].T
-    into = into.reshape(width, len(inputs), hidden)
-
-    back = np.zeros_like(state)
-    given = np.zeros((width, len(inputs), 3 * hidden), dtype=np.float32)
+    order, runs, own, inner = _word_scores(w, all_states, classes)
+    _softmax(inner, small)
+    inner[np.arange(len(order)), goals[order] % size] -= 1
+    inner *= share[order]
+    of_words = np.empty_like(own)
+    for k, a, b in runs:
+        np.matmul(own[a:b].T, inner[a:b], out=g.words[k])
+        np.matmul(inner[a:b], w.words[k].T, out=of_words[a:b])
+    if runs:
+        g.word_bias[[k for k, _, _ in runs]] = np.add.reduceat(inner, [a for _, a, _ in runs], axis=0)
+    into[order] += of_words
+    into = into.reshape(width, n, hidden)
+
+    z, r = gates[..., :hidden], gates[..., hidden:]
+    by_candidate = (1 - z) * (1 - candidates * candidates)
+    by_keep = (befores - candidates) * z * (1 - z)
+    by_reset = befores * r * (1 - r)
+    back = np.zeros((n, hidden), dtype=np.float32)
     for t in range(width - 1, -1, -1):
-        z, r, reset, c = kept[t]
-        before, on = befores[t], live[:, t, None]
-        d = into[t] + np.where(on, back, 0)
-        dc = d * (1 - z) * (1 - c * c)
-        dreset = dc @ w.loop[:, 2 * hidden :].T
-        dz = d * (before - c) * z * (1 - z)
-        dr = dreset * before * r * (1 - r)
-        both = np.concatenate([dz, dr], axis=1)
-        given[t] = np.concatenate([both, dc], axis=1)
-        g.loop[:, : 2 * hidden] += before.T @ both
-        g.loop[:, 2 * hidden :] += reset.T @ dc
-        back = np.where(on, d * z + dreset * r + both @ w.loop[:, : 2 * hidden].T, back)
-    g.bias = given.sum(axis=(0, 1))
+        d, own = into[t], given[t]  # what was given is read no more: its place takes the gradient
+        d += back if full[t] else np.where(live[:, t, None], back, 0)
+        dc = np.multiply(d, by_candidate[t], out=own[:, 2 * hidden :])
+        dreset = dc @ loops[1].T
+        np.multiply(d, by_keep[t], out=own[:, :hidden])
+        np.multiply(dreset, by_reset[t], out=own[:, hidden : 2 * hidden])
+        d = d * z[t]
+        dreset *= r[t]
+        d += dreset
+        d += own[:, : 2 * hidden] @ loops[0].T
+        back = d if full[t] else np.where(live[:, t, None], d, back)
+    flat = given.reshape(-1, 3 * hidden)
+    g.loop[:, : 2 * hidden] = befores.reshape(-1, hidden).T @ flat[:, : 2 * hidden]
+    g.loop[:, 2 * hidden :] = resets.reshape(-1, hidden).T @ flat[:, 2 * hidden :]
+    flat.sum(axis=0, out=g.bias)
     read = inputs.T.ravel()
     order = np.argsort(read, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(read[order]) != 0))
-    g.table[read[order][first]] = np.add.reduceat(given.reshape(-1, 3 * hidden)[order], first, axis=0)
+    read = read[order]
+    first = np.flatnonzero(np.append(True, np.diff(read) != 0))
+    g.table[read[first]] = np.add.reduceat(flat[order], first, axis=0)
     return g, state
 
 
@@ -187,11 +277,16 @@ class Trainer:
     """Adam steps over windows of several texts at once; a row that ends takes the next text, with a fresh state."""
 
     def __init__(self, w: Weights, rate: float = 0.01, rows: int = 64, window: int = 16):
-        self.w, self.rate, self.rows, self.window = w, rate, rows, window
-        self.mean = self.square = None
+        self.rate, self.rows, self.window = rate, rows, window
+        self.flat = w.flat().astype(np.float32)
+        self.w = w.over(self.flat)
+        self.found, self.mean, self.square = (np.zeros_like(self.flat) for _ in range(3))
+        self.gradient = w.over(self.found)
         self.steps = self.seen = 0
         self.waiting: list[np.ndarray] = []
-        self.at = [np.zeros(0, dtype=np.int64)] * rows
+        # each row's text, its length and what was read of it
+        self.texts = np.zeros((rows, window + 1), dtype=np.int64)
+        self.sizes, self.at = np.zeros((2, rows), dtype=np.int64)
         self.state = np.zeros((rows, w.loop.shape[0]), dtype=np.float32)
 
     def add(self, texts: list[np.ndarray]) -> None:
@@ -201,30 +296,35 @@ class Trainer:
             self._window()
 
     def finish(self) -> None:
-        while self.waiting or any(len(a) > 1 for a in self.at):
+        while self.waiting or (self.sizes - self.at > 1).any():
             self._window()
 
     def _window(self) -> None:
-        inputs = np.zeros((self.rows, self.window), dtype=np.int64)
-        targets = np.zeros_like(inputs)
-        live = np.zeros(inputs.shape, dtype=bool)
-        for k in range(self.rows):
-            if len(self.at[k]) < 2 and self.waiting:
-                self.at[k] = self.waiting.pop()
-                self.state[k] = 0
-            part = self.at[k][: self.window + 1]
-            n = max(len(part) - 1, 0)
-            inputs[k, :n], targets[k, :n], live[k, :n] = part[:n], part[1 : n + 1], True
-            self.at[k] = self.at[k][self.window :]
-        g, self.state = gradient(self.w, inputs, targets, live, self.state)
-        flat = np.clip(g.flat(), -1, 1)
-        if self.mean is None:
-            self.mean, self.square = np.zeros_like(flat), np.zeros_like(flat)
+        for k in np.flatnonzero(self.sizes - self.at < 2)[: len(self.waiting)].tolist():
+            text = self.waiting.pop()
+            if (more := len(text) + self.window - self.texts.shape[1]) > 0:
+                self.texts = np.pad(self.texts, ((0, 0), (0, more)))
+            self.texts[k, : len(text)] = text
+            self.sizes[k], self.at[k], self.state[k] = len(text), 0, 0
+        steps = np.minimum(self.at, self.sizes)[:, None] + np.arange(self.window + 1)
+        read = np.take_along_axis(self.texts, np.minimum(steps, self.texts.shape[1] - 1), axis=1)
+        live = steps[:, 1:] < self.sizes[:, None]
+        self.at += self.window
+        self.found[:] = 0
+        inputs, targets = np.where(live, read[:, :-1], 0), np.where(live, read[:, 1:], 0)
+        _, self.state = gradient(self.w, inputs, targets, live, self.state, self.gradient)
+        flat = np.clip(self.found, -1, 1, out=self.found)
         self.steps += 1
         self.seen += int(live.sum())
         self.mean *= 0.9
         self.mean += 0.1 * flat
+        flat *= flat
+        flat *= 0.01
         self.square *= 0.99
-        self.square += 0.01 * flat * flat
-        step = (self.mean / (1 - 0.9**self.steps)) / (np.sqrt(self.square / (1 - 0.99**self.steps)) + 1e-6)
-        self.w = self.w.like(self.w.flat() - self.rate * step)
+        self.square += flat
+        step = np.sqrt(self.square)
+        step *= (1 - 0.99**self.steps) ** -0.5
+        step += 1e-6
+        np.divide(self.mean, step, out=step)
+        step *= self.rate / (1 - 0.9**self.steps)
+        self.flat -= step

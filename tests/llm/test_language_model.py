@@ -128,3 +128,45 @@ def test_every_training_document_is_learnt_from(spark):
 
 def test_empty(spark):
     assert language_model.score_documents(documents(spark, []), heads=2, size=2, remembered=10).count() == 0
+
+
+def test_classes_are_worked_out_once_for_equal_first_bytes(monkeypatch):
+    vocabulary = language_model.Vocabulary([(b"a", 5), (b"b", 4), (language_model.END, 3), (b"rare", 2), (b"c", 1)], 1, 3, 4, {})
+    called = []
+    plain = language_model.tail_class
+    monkeypatch.setattr(language_model, "tail_class", lambda word, tails: called.append(word) or plain(word, tails))
+    ranks = language_model._Ranks(vocabulary)
+    rank, symbols = ranks.symbols(language_model._tokens(b"A rare newer newest b c"))
+    new = plain(b"new", 4)
+    assert rank.tolist() == [0, 3, -1 - new, -1 - new, 1, 4, 2] and called == [b"newer"]
+    assert symbols.tolist() == [0, 3 + plain(b"rare", 4), 3 + new, 3 + new, 1, 3 + plain(b"c", 4), 2]
+
+
+def test_trainer_follows_the_plain_rule():
+    """Texts of several lengths, windows with ended rows: the weights, one array changed in place, follow Adam's rule."""
+    rng = np.random.default_rng(5)
+    trainer = recurrent.Trainer(small(), rate=0.05, rows=3, window=4)
+    flat, views = trainer.flat, trainer.w
+    trainer.add([rng.integers(0, 8, n) for n in (1, 9, 4, 13, 2, 30, 0, 5)])
+    trainer.finish()
+    assert trainer.seen == 64 and trainer.w is views and np.shares_memory(views.table, flat)
+
+    rng = np.random.default_rng(5)
+    w, opening = small(), len(small().table) - 1
+    waiting = [np.append(opening, t) for t in (rng.integers(0, 8, n) for n in (1, 9, 4, 13, 2, 30, 0, 5)) if len(t)]
+    rows, state, steps = [np.zeros(0, dtype=np.int64)] * 3, np.zeros((3, 4), dtype=np.float32), 0
+    mean = square = np.zeros(len(flat))
+    while waiting or any(len(r) > 1 for r in rows):
+        inputs, targets, live = np.zeros((3, 4), dtype=np.int64), np.zeros((3, 4), dtype=np.int64), np.zeros((3, 4), dtype=bool)
+        for k in range(3):
+            if len(rows[k]) < 2 and waiting:
+                rows[k], state[k] = waiting.pop(), 0
+            n = max(min(len(rows[k]) - 1, 4), 0)
+            inputs[k, :n], targets[k, :n], live[k, :n] = rows[k][:n], rows[k][1 : n + 1], True
+            rows[k] = rows[k][4:]
+        g, state = recurrent.gradient(w, inputs, targets, live, state)
+        steps += 1
+        found = np.clip(g.flat(), -1, 1).astype(float)
+        mean, square = 0.9 * mean + 0.1 * found, 0.99 * square + 0.01 * found**2
+        w = w.like(w.flat() - 0.05 * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.99**steps)) + 1e-6))
+    assert np.allclose(flat, w.flat(), atol=1e-3)
