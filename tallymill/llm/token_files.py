@@ -11,30 +11,34 @@ by their text; an empty table gives an empty folder of files that reads back as
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
+from operator import add
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm.frames import documents, pieces, strings
+from tallymill.llm.frames import documents, pieces
 
 END_ID = 1
-#: Words whose ids a Python worker remembers; then it forgets all and starts anew.
+#: Words whose ids a Python worker remembers; then it forgets all but those of the texts at hand.
 REMEMBERED = 600_000
-#: The same of their lower-case letters and the marks after them.
+#: The same of the lower-case letters of words and the marks after them.
 REMEMBERED_STEMS = 300_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 
-# composed letters of one case rule, that no normal form changes, and marks after them that open no contraction
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"]*)")
+# lines of composed letters of one case rule, that no normal form changes, and marks that open no contraction; others
+_PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)[!-&(-/:-@\[-`{-~]*$|^.*$", re.MULTILINE)
 _NORMALIZER = {
     "type": "Sequence",
     "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -47,6 +51,9 @@ _PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
+# how the byte-level rule writes each byte: those that are no printable characters of their own follow at 256
+_ODD_BYTES = [*range(33), *range(127, 161), 173]
+_BYTES = "".join("\n" if b == 10 else chr(256 + _ODD_BYTES.index(b)) if b in _ODD_BYTES else chr(b) for b in range(256))
 _loaded: dict = {}
 
 
@@ -64,38 +71,71 @@ class _Encoder:
         self.stems: dict[str, bytes] = {}
         rules = json.loads(Path(path).read_text())
         #: Plain words may be cut only if this is how the vocabulary treats them.
-        self.of_stems = None
-        if rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER:
-            only_bytes = _PRE_TOKENIZER["pretokenizers"][1]
-            self.of_stems = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": only_bytes}))
+        plain = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER
+        self.of_stems = self.whole.model if plain else None
 
-    @staticmethod
-    def _encoded(tokenizer, words: list[str]) -> Iterator[bytes]:
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
         """The ids of each word."""
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
-            yield from map(raw.__getitem__, map(slice, cuts, cuts[1:]))
+            found = self.whole.encode(some, is_pretokenized=True, add_special_tokens=False)
+            cuts = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1))
+            yield from _cut(found.ids, cuts)
+
+    def _encoded_stems(self, stems: list[str]) -> Iterator[bytes]:
+        """The same of lower-case letters, which the rules leave as they are: only the model is left to apply."""
+        for at in range(0, len(stems), 2000):
+            joined = "\n".join(stems[at : at + 2000])
+            if not joined.isascii():
+                joined = codecs.charmap_decode(joined.encode(), "strict", _BYTES)[0]
+            found = list(map(self.of_stems.tokenize, joined.split("\n")))
+            yield from _cut([token.id for tokens in found for token in tokens], np.cumsum([0, *map(len, found)]))
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the different words."""
+        found = list(map(self.words.get, words))
+        unknown = [k for k, ids in enumerate(found) if ids is None]
+        if unknown:
+            if len(self.words) + len(unknown) > REMEMBERED:
+                self.words.clear()
+                self.words.update((w, ids) for w, ids in zip(words, found) if ids is not None)
+            new = [words[k] for k in unknown]
+            self.learn(new)
+            for k, ids in zip(unknown, map(self.words.__getitem__, new)):
+                found[k] = ids
+        return found
 
     def learn(self, words: list[bytes]) -> None:
         """Remembers the ids of new words."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        cut = [None] * len(texts) if self.of_stems is None else list(map(_PLAIN.fullmatch, texts))
-        odd = [k for k, m in enumerate(cut) if m is None]
-        self.words.update(zip([words[k] for k in odd], self._encoded(self.whole, [texts[k] for k in odd])))
-        plain = [(w, m[1].lower(), m[2]) for w, m in zip(words, cut) if m]
-        for which, tokenizer in ((1, self.of_stems), (2, self.whole)):
-            new = list({p[which] for p in plain if p[which] not in self.stems})
-            if len(self.stems) + len(new) > REMEMBERED_STEMS:
-                self.stems.clear()
-                new = list({x for p in plain for x in p[1:]})
-                self.stems.update(zip(new, self._encoded(self.whole, new)))
-                break
-            self.stems.update(zip(new, self._encoded(tokenizer, new)))
-        stems = self.stems
-        self.words.update((w, stems[stem] + stems[mark] if mark else stems[stem]) for w, stem, mark in plain)
+        joined = b"\n".join(words).decode("utf-8", "replace")
+        if self.of_stems is None:
+            self.words.update(zip(words, self._encoded(joined.split("\n"))))
+            return
+        plain, texts = _PLAIN.findall(joined), joined.split("\n")  # no letters for a word that is not plain
+        odd = [not letters for letters in plain]
+        self.words.update(zip(compress(words, odd), self._encoded(list(compress(texts, odd)))))
+        marks = [text[len(letters) :] for text, letters in zip(texts, plain) if letters]
+        if not marks:
+            return
+        # letters of these kinds stay as many when they are lower-cased
+        letters = "\n".join(filter(None, plain)).lower().split("\n")
+        stems, different = self.stems, (set(letters), set(marks))
+        used = different[0] | different[1]
+        if len(stems) + len(used.difference(stems)) > REMEMBERED_STEMS:
+            kept = {x: stems[x] for x in used.intersection(stems)}
+            stems.clear()
+            stems.update(kept)
+        new = list(different[0].difference(stems))
+        stems.update(zip(new, self._encoded_stems(new)))
+        new = list(different[1].difference(stems))
+        stems.update(zip(new, self._encoded(new)))
+        ids = map(add, map(stems.__getitem__, letters), map(stems.__getitem__, marks))
+        self.words.update(zip(compress(words, plain), ids))
+
+
+def _cut(ids: list[int], cuts: np.ndarray) -> Iterator[bytes]:
+    raw, places = np.array(ids, dtype="<u4").tobytes(), (4 * cuts).tolist()
+    return map(raw.__getitem__, map(slice, places, places[1:]))
 
 
 def _remembered(vocabulary: str) -> _Encoder:
@@ -104,46 +144,52 @@ def _remembered(vocabulary: str) -> _Encoder:
     return _loaded[vocabulary]
 
 
-def encode_texts(texts: list[bytes], vocabulary: str) -> list[bytes]:
-    """The ids of each UTF-8 text as little-endian unsigned 32-bit integers.
+def encode(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in one row, and where each text's ids end.
 
     The vocabulary never joins text across ASCII white space, so each word is encoded once and its ids are reused. It
     lower-cases, and keeps letters apart from punctuation, so plain words share the ids of their letters.
     """
-    encoder = _remembered(vocabulary)
-    known = encoder.words
-    split = [t.split() for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(set().union(*split))
-    encoder.learn(new)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    split = pc.ascii_split_whitespace(texts)  # white space at either end leaves an empty word, which has no ids
+    words = split.flatten().dictionary_encode()
+    ids = _remembered(vocabulary).ids_of(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    flat, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+    words = words.indices.to_numpy()
+    sizes = sizes[words]
+    ends = np.append(0, np.cumsum(sizes))
+    # each word's ids stand in ``flat`` as far from their place here as its first one does
+    found = flat[np.repeat(first[words] - ends[:-1], sizes) + np.arange(ends[-1])]
+    return found, ends[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))][1:]
 
 
-def _encoder(vocabulary: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+def encode_texts(texts: list[bytes], vocabulary: str) -> list[bytes]:
+    """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+    found, ends = encode(pa.array(texts, pa.binary()).view(pa.string()), vocabulary)
+    return [x.tobytes() for x in np.split(found, ends[:-1])] if texts else []
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _encoder(vocabulary: str, end_id: int):
+    def encode_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in pieces(batches):
-            raw = [x + end for x in encode_texts(strings(batch.column("text")), vocabulary)]
-            n = np.array([len(x) // 4 for x in raw], dtype=np.int32)
-            ends = np.cumsum(n, dtype=np.int64)
-            ids = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
+            found, ends = encode(batch.column("text"), vocabulary)
+            ids = np.insert(found.astype(np.int32), ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            n = np.diff(ends, prepend=0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(np.full(len(raw), part, dtype=np.int32)),
+                    pa.array(np.full(len(n), part, dtype=np.int32)),
                     pa.array(start + ends - n),
-                    pa.array(n),
+                    pa.array(n.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids)),
                 ],
                 names=["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
             start += int(ends[-1])
 
-    return encode
+    return encode_all
 
 
 def write_token_files(

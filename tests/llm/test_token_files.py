@@ -47,6 +47,27 @@ def test_plain_words_share_the_ids_of_their_letters(monkeypatch):
     assert set(encoder.stems) == {"reader", ",", ".", ";", ""} and len(encoder.words) == 4
 
 
+def test_words_are_looked_up_once_a_batch_and_new_letters_meet_only_the_model(monkeypatch):
+    """Whatever marks follow: words of a batch are numbered, plain ones never go through the library's rules; those
+    of the batch at hand outlast forgetting."""
+    texts = ["Reader### reader&&& RÉADER", "", " \t", "été### reader Été ÉTÉ### don't x\xad a__ __a b^`~ (c)"] * 2
+    monkeypatch.setattr(T, "_loaded", {})
+    encoder = T._remembered(VOCABULARY)
+    asked, odd, plain = [], [], encoder._encoded
+    ids_of = encoder.ids_of
+    monkeypatch.setattr(encoder, "ids_of", lambda words: asked.extend(words) or ids_of(words))
+    monkeypatch.setattr(encoder, "_encoded", lambda words: odd.extend(words) or plain(words))
+    found = T.encode_texts([t.encode() for t in texts], VOCABULARY)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in found] == [whole(t) for t in texts]
+    assert len(asked) == len(set(asked)) == len({w for t in texts for w in t.encode().split()} | {b""})
+    assert set(odd) == {"", "###", "&&&", "__", "^`~", "don't", "x\xad", "__a", "(c)"}
+    monkeypatch.setattr(T, "REMEMBERED", 3)
+    odd.clear()
+    assert T.encode_texts([b"don't x^ x^"], VOCABULARY)[0] == np.array(whole("don't x^ x^"), dtype="<u4").tobytes()
+    assert set(encoder.words) == {b"don't", b"x^"} and "don't" not in odd
+    assert T.encode_texts([], VOCABULARY) == []
+
+
 def test_round_trip(spark, tmp_path):
     docs = with_clashes(documents(spark), "part", "ids", "start", "local_start", "before", "of")
     path = str(tmp_path / "files")
