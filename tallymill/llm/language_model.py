@@ -17,25 +17,23 @@ and classes are uniform; an empty table gives no rows; other columns are ignored
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import recurrent
-from tallymill.llm.frames import documents, pieces, remainder, strings
+from tallymill.llm.frames import documents, pieces, remainder
 from tallymill.sources.work import settle
 
 #: Cannot be a word: words hold no white space.
 END = b" "
 HELD_OUT = (7, 2)
 LOG10 = float(np.log(10))
-#: Distinct words that a counter holds before it hands them on.
-FLUSH = 400_000
 GROUPS = 64
 #: Tokens of a text that one row of the trainer takes; scoring does not cut.
 PART = 512
@@ -45,23 +43,27 @@ def tail_class(word: bytes, tails: int) -> int:
     return zlib.crc32(word[:3]) % tails
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of texts, lower-cased, with the end token as the last; the word's number of every token,
+    each text's end included; and where each text's tokens end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    words, number = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    ends = np.cumsum(pc.list_value_length(split).to_numpy())
+    empty = pc.index(words, b"").as_py()
+    if empty >= 0:  # white space at either end of a text, or no word
+        kept = number != empty
+        number, ends = number[kept], np.append(0, np.cumsum(kept))[ends]
+    number = np.insert(number, ends, len(words))
+    return pa.concat_arrays([words, pa.array([END], pa.binary())]), number, ends + np.arange(1, len(ends) + 1)
 
-    def flushed():
-        return pa.RecordBatch.from_pydict(
-            {"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())}
-        )
 
-    for batch in pieces(batches):
-        for text in strings(batch.column("text")):
-            counts.update(text.lower().split())
-        counts[END] += batch.num_rows
-        if len(counts) > FLUSH:
-            yield flushed()
-            counts.clear()
-    if counts:
-        yield flushed()
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, rows=10_000):
+        words, number, _ = _numbered(batch.column("text"))
+        times = np.bincount(number)
+        met = np.flatnonzero(times)
+        yield pa.RecordBatch.from_pydict({"word": words.take(pa.array(met)), "n": pa.array(times[met], pa.int64())})
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -122,9 +124,13 @@ class _Ranks(dict):
         return found
 
     def symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ranks and the symbols of a text's tokens."""
+        """The ranks and the symbols of tokens."""
         rank = np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-        return rank, np.where(rank < 0, self.heads - 1 - rank, self.symbol_of[rank])
+        return rank, np.where(rank < 0, self.heads - 1 - rank, self.symbol_of[np.maximum(rank, 0)])
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -137,7 +143,8 @@ def _train(batches: Iterable[pa.RecordBatch], vocabulary, weights, settings: dic
     ranks = _Ranks(vocabulary.value)
     trainer = recurrent.Trainer(weights.value, **settings)
     for batch in pieces(batches):
-        texts = [ranks.symbols(_tokens(t))[1] for t in strings(batch.column("text"))]
+        words, number, ends = _numbered(batch.column("text"))
+        texts = np.split(ranks.symbols(_listed(words))[1][number], ends[:-1])
         # parts of a long text train side by side
         trainer.add([t[at : at + PART] for t in texts for at in range(0, len(t), PART)])
     trainer.finish()
@@ -183,35 +190,35 @@ def train(
 def _score(batches: Iterable[pa.RecordBatch], vocabulary, weights) -> Iterator[pa.RecordBatch]:
     known: Vocabulary = vocabulary.value
     ranks = _Ranks(known)
-    heads = known.heads * known.size
-    # by rank, then one entry for words that are not remembered: base sum, part within a tail class
-    base_of = np.append(known.base_of, 0.0)
-    within_of = np.where(ranks.symbol_of >= heads, base_of, 0.0)
-    # many texts at once: a batch takes as many steps as its longest text has tokens
+    heads, base_of = known.heads * known.size, np.append(known.base_of, 0.0)
+    # many texts at once, so that those of about the same length stand together
     for batch in pieces(batches, rows=8192):
-        symbols, n_known, sums, within, rest = [], [], [], [], []
-        for text in strings(batch.column("text")):
-            tokens = _tokens(text)
-            rank, own = ranks.symbols(tokens)
-            other = rank < 0
-            rank[other] = len(base_of) - 1
-            others = np.flatnonzero(other).tolist()
-            n_known.append(len(tokens) - len(others))
-            sums.append(float(base_of[rank].sum()))
-            tail = np.bincount(own[own >= heads] - heads, minlength=known.tails)
-            within.append(float(within_of[rank].sum()) - float(tail @ known.tail_log))
-            rest.append([{"word": w, "times": n} for w, n in Counter(map(tokens.__getitem__, others)).items()])
-            symbols.append(own)
+        words, number, ends = _numbered(batch.column("text"))
+        n_tokens = np.diff(ends, prepend=0)
+        text = np.repeat(np.arange(len(ends)), n_tokens)
+        # by word: base sum, part within a tail class
+        rank, symbol = ranks.symbols(_listed(words))
+        base = np.where(rank < 0, 0, base_of[np.maximum(rank, 0)])
+        tail = symbol >= heads
+        within = np.where(tail, base - known.tail_log[np.maximum(symbol - heads, 0)], 0)
+        other = (rank < 0)[number]
+        own = symbol[number]
+        # words that are not remembered, and how often each text has them
+        pairs, times = np.unique(text[other] * len(rank) + number[other], return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(len(ends) + 1) * len(rank))
+        rest = pa.StructArray.from_arrays([words.take(pa.array(pairs % len(rank))), pa.array(times, pa.int64())], ["word", "times"])
+        sums, within = (np.bincount(text, x[number], minlength=len(ends)) for x in (base, within))
+        symbols = np.split(own, ends[:-1])
         network = recurrent.score(weights.value, symbols) / LOG10
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
-                "n_tokens": pa.array([len(s) for s in symbols], pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_known": pa.array(n_tokens - np.bincount(text, other, minlength=len(ends)).astype(np.int64), pa.int64()),
                 "sums": pa.array(sums, pa.float64()),
-                "network": pa.array(network + np.array(within), pa.float64()),
-                "rest": pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))),
+                "network": pa.array(network + within, pa.float64()),
+                "rest": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest),
             }
         )
 

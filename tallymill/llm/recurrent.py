@@ -62,43 +62,55 @@ def start(class_counts: np.ndarray, word_counts: np.ndarray, hidden: int, seed:
     )
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    """The logistic function in place; beyond -80 it is nothing that a float keeps apart from zero."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _parts(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrent parts of the gates, with the sign changed, and of the candidate; the last column is the bias."""
+    n = w.loop.shape[0]
+    both = np.concatenate([w.loop, w.bias[None]]).T
+    return np.negative(both[: 2 * n], order="C"), np.ascontiguousarray(both[2 * n :])
 
 
-def _halves(w: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """The recurrent parts of the gates and of the candidate."""
-    n = w.loop.shape[0]
-    return np.ascontiguousarray(w.loop[:, : 2 * n]), np.ascontiguousarray(w.loop[:, 2 * n :])
-
-
-def _gated(given: np.ndarray, state: np.ndarray, loops, gates=None, reset=None, c=None, new=None) -> np.ndarray:
-    """One gated step into the given arrays: keep gate ``z`` and reset gate ``r``, candidate ``c``, new state."""
-    n = state.shape[1]
-    gates = np.matmul(state, loops[0], out=gates)
-    gates += given[:, : 2 * n]
-    _squash(gates)
-    reset = np.multiply(gates[:, n:], state, out=reset)
-    c = np.matmul(reset, loops[1], out=c)
-    c += given[:, 2 * n :]
+def _given(table: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """What the symbols (steps by texts) add: steps, then gates with the sign changed and candidate, then texts."""
+    n = table.shape[1] // 3
+    rows = table[symbols].transpose(0, 2, 1)
+    out = np.empty(rows.shape, dtype=np.float32)
+    np.negative(rows[:, : 2 * n], out=out[:, : 2 * n])
+    out[:, 2 * n :] = rows[:, 2 * n :]
+    return out
+
+
+def _with_ones(state: np.ndarray) -> np.ndarray:
+    """States of texts as columns, and a row of ones that meets the biases."""
+    out = np.ones((state.shape[1] + 1, len(state)), dtype=np.float32)
+    out[:-1] = state.T
+    return out
+
+
+def _gated(given: np.ndarray, state: np.ndarray, parts, gates, reset, c, new) -> None:
+    """One gated step into the given arrays, texts as columns: keep gate ``z`` over reset gate ``r``, reset state,
+    candidate ``c``, new state. ``state`` and ``reset`` end in a row of ones."""
+    n = len(c)
+    np.dot(parts[0], state, out=gates)
+    gates += given[: 2 * n]
+    np.exp(gates, out=gates)  # may be infinite, which is a gate of zero
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[n:], state[:n], out=reset[:n])
+    np.dot(parts[1], reset, out=c)
+    c += given[2 * n :]
     np.tanh(c, out=c)
-    new = np.subtract(state, c, out=new)  # z * state + (1 - z) * c
-    new *= gates[:, :n]
+    np.subtract(state[:n], c, out=new)  # z * state + (1 - z) * c
+    new *= gates[:n]
     new += c
-    return new
 
 
 def _step(w: Weights, symbols: np.ndarray, state: np.ndarray):
-    """One gated step: the new state, and keep gate ``z``, reset gate ``r``, reset state, candidate ``c``."""
-    n = state.shape[1]
-    gates, reset, c = (np.empty((len(symbols), k * n), dtype=np.float32) for k in (2, 1, 1))
-    new = _gated(w.table[symbols] + w.bias, state, _halves(w), gates, reset, c)
-    return new, (gates[:, :n], gates[:, n:], reset, c)
+    """One gated step of texts as rows: the new state, and keep gate ``z``, reset gate ``r``, reset state, candidate ``c``."""
+    texts, n = state.shape
+    gates, reset, c, new = (np.ones((k, texts), dtype=np.float32) for k in (2 * n, n + 1, n, n))
+    with np.errstate(over="ignore"):
+        _gated(_given(w.table, symbols[None])[0], _with_ones(state), _parts(w), gates, reset, c, new)
+    return new.T, (gates[:n].T, gates[n:].T, reset[:n].T, c.T)
 
 
 def _classes(w: Weights, targets: np.ndarray) -> np.ndarray:
@@ -106,171 +118,190 @@ def _classes(w: Weights, targets: np.ndarray) -> np.ndarray:
     return np.where(targets < heads * size, targets // size, targets - heads * size + heads)
 
 
-def _word_scores(w: Weights, states: np.ndarray, classes: np.ndarray):
-    """The places of targets of frequent classes, class by class, with the runs of each class that occurs, and their
-    states and scores of all words of their class."""
-    heads, _, size = w.words.shape
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(heads + 1)).tolist()
-    order = order[: cuts[-1]]
-    runs = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-    own = states[order]
-    inner = np.empty((len(order), size), dtype=np.float32)
-    for k, a, b in runs:
-        np.matmul(own[a:b], w.words[k], out=inner[a:b])
-    inner += w.word_bias[classes[order]]
-    return order, runs, own, inner
+class _Heads:
+    """The output's weights with their biases as one more input (the ones at the end of states)."""
+
+    def __init__(self, w: Weights):
+        self.classes = np.concatenate([w.classes, w.class_bias[None]]).T
+        self.words = np.concatenate([w.words, w.word_bias[:, None]], axis=1)
+        self.most = max(float(np.abs(self.classes).sum(axis=1).max()), float(np.abs(self.words).sum(axis=1).max()))
 
+    def small(self, states: np.ndarray) -> bool:
+        """Whether no score can come near the largest power of e that a float holds, nor near zero."""
+        return self.most * max(float(states.max(initial=1)), -float(states.min(initial=-1))) < 75
 
-def _small(w: Weights, states: np.ndarray) -> bool:
-    """Whether no score can come near the largest power of e that a float holds, nor near zero."""
-    most = max(float(states.max(initial=0)), -float(states.min(initial=0)))
-    sums = np.abs(w.classes).sum(axis=0).max() + np.abs(w.class_bias).max(), np.abs(w.words).sum(axis=1).max() + np.abs(w.word_bias).max()
-    return max(sums) * max(most, 1) < 75
+    def words_of(self, states: np.ndarray, classes: np.ndarray):
+        """The places of targets of frequent classes, class by class, with the runs of each class that occurs, and their
+        states and scores of all words of their class."""
+        heads, _, size = self.words.shape
+        order = np.argsort(classes.astype(np.int16) if len(self.classes) < 1 << 15 else classes, kind="stable")
+        cuts = np.searchsorted(classes[order], np.arange(heads + 1)).tolist()
+        order = order[: cuts[-1]]
+        runs = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        own = states[order]
+        inner = np.empty((len(order), size), dtype=np.float32)
+        for k, a, b in runs:
+            np.dot(own[a:b], self.words[k], out=inner[a:b])
+        return order, runs, own, inner
 
 
-def _log_share(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
-    """The log-softmax of each row at one place; overwrites ``x``."""
+def _powers(x: np.ndarray, axis: int, small: bool) -> np.ndarray:
+    """Makes scores powers of e, each up to a factor of its row or column, whose sums it returns."""
     if not small:
-        x -= x.max(axis=1, keepdims=True)
-    found = x[np.arange(len(x)), at]
-    return found - np.log(np.exp(x, out=x).sum(axis=1))
+        x -= x.max(axis=axis, keepdims=True)
+    np.exp(x, out=x)
+    return x.sum(axis=0) if axis == 0 else x @ np.ones(x.shape[1], dtype=np.float32)
 
 
-def _softmax(x: np.ndarray, small: bool) -> np.ndarray:
+def _log_share(x: np.ndarray, axis: int, at: tuple, small: bool) -> np.ndarray:
+    """The log-softmax of each row or column at one place; overwrites ``x``."""
     if not small:
-        x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+        x -= x.max(axis=axis, keepdims=True)
+    found = x[at]
+    return found - np.log(_powers(x, axis, True))
 
 
-def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray, rows: int = 2048) -> np.ndarray:
-    """Natural logarithms of each target symbol's class, times its word in a frequent class; ``rows`` at a time."""
+def _log_probabilities(heads: _Heads, states: np.ndarray, targets: np.ndarray, classes: np.ndarray, rows: int) -> np.ndarray:
+    """The same of states that end in ones."""
     out = np.empty(len(targets), dtype=np.float32)
-    small = _small(w, states)
+    small, size = heads.small(states), heads.words.shape[2]
     for at in range(0, len(targets), rows):
-        some, goals, found = states[at : at + rows], targets[at : at + rows], out[at : at + rows]
-        classes = _classes(w, goals)
-        scores = some @ w.classes
-        scores += w.class_bias
-        found[:] = _log_share(scores, classes, small)
-        order, _, _, inner = _word_scores(w, some, classes)
-        found[order] += _log_share(inner, goals[order] % w.words.shape[2], small)
+        some, goals, of, found = (x[at : at + rows] for x in (states, targets, classes, out))
+        found[:] = _log_share(heads.classes @ some.T, 0, (of, np.arange(len(of))), small)
+        order, _, _, inner = heads.words_of(some, of)
+        found[order] += _log_share(inner, 1, (np.arange(len(order)), goals[order] % size), small)
     return out
 
 
-def score(w: Weights, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
-    """The log-likelihood of each whole text of symbols; the state is carried from window to window."""
-    hidden = w.loop.shape[0]
-    opening = len(w.table) - 1
+def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Natural logarithms of each target symbol's class, times its word in a frequent class; ``rows`` at a time."""
+    return _log_probabilities(_Heads(w), np.ascontiguousarray(_with_ones(states).T), targets, _classes(w, targets), rows)
+
+
+def score(w: Weights, texts: list[np.ndarray], window: int = 64, rows: int = 512) -> np.ndarray:
+    """The log-likelihood of each whole text of symbols; the state is carried from window to window.
+
+    ``rows`` texts of about the same length go at a time, so that what a step works on stays near the processor.
+    """
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    sizes = np.array([len(texts[k]) for k in order])
+    out = np.zeros(len(texts))
+    n = w.loop.shape[0]
+    table = w.table.copy()
+    np.negative(table[:, : 2 * n], out=table[:, : 2 * n])
+    parts, heads, class_of = _parts(w), _Heads(w), _classes(w, np.arange(len(w.table)))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(order), rows):
+            some = order[at : at + rows]
+            out[some] = _scores([texts[k] for k in some], table, parts, heads, class_of, window)
+    return out
+
+
+def _scores(texts: list[np.ndarray], table, parts, heads: _Heads, class_of: np.ndarray, window: int) -> np.ndarray:
+    """The log-likelihoods of texts, the longest first; ``table``: with the sign of the gates changed."""
+    hidden = len(parts[1])
+    sizes = np.array([len(t) for t in texts])
     total = np.zeros(len(texts))
-    states = np.zeros((len(texts), hidden), dtype=np.float32)
-    previous = np.full(len(texts), opening)
-    table, loops = w.table + w.bias, _halves(w)
+    state = _with_ones(np.zeros((len(texts), hidden), dtype=np.float32))
+    previous = np.full(len(texts), len(table) - 1)
     for at in range(0, int(sizes.max(initial=0)), window):
         live = int(np.searchsorted(-sizes, -at))  # longer than ``at``, in front
         width = min(window, int(sizes[0]) - at)
         block = np.zeros((live, width), dtype=np.int64)
         for k in range(live):
-            part = texts[order[k]][at : at + width]
+            part = texts[k][at : at + width]
             block[k, : len(part)] = part
         block = np.ascontiguousarray(block.T)
         counts = np.searchsorted(-sizes[:live], -(at + np.arange(width))).tolist()
-        seen = np.empty((sum(counts), hidden), dtype=np.float32)
-        goals = []
-        now, done = states, 0
-        for t, n in enumerate(counts):
-            now = _gated(table[previous[:n]], now[:n], loops, new=seen[done : done + n])
-            goals.append(block[t, :n])
+        seen = np.ones((sum(counts), hidden + 1), dtype=np.float32)
+        done, n = 0, -1
+        for t, count in enumerate(counts):
+            if count != n:  # texts have ended
+                n = count
+                state, after = np.ascontiguousarray(state[:, :n]), np.ones((hidden + 1, n), dtype=np.float32)
+                gates, reset, c = (np.ones((k, n), dtype=np.float32) for k in (2 * hidden, hidden + 1, hidden))
+            _gated(table.take(previous[:n], axis=0).T, state, parts, gates, reset, c, after[:-1])
+            state, after = after, state
+            seen[done : done + n, :-1] = state[:-1].T
             previous = block[t]
             done += n
-        states = now.copy()  # of the texts that reach the last step; others have ended
-        got = log_probabilities(w, seen, np.concatenate(goals))
-        done = 0
-        for n in counts:
-            total[:n] += got[done : done + n]
-            done += n
-    out = np.zeros(len(texts))
-    out[order] = total
-    return out
+        targets = block[np.arange(live) < np.array(counts)[:, None]]
+        got = _log_probabilities(heads, seen, targets, class_of[targets], 1024)
+        text = np.concatenate([np.arange(n) for n in counts])
+        total[:live] += np.bincount(text, got, minlength=live)
+    return total
 
 
 def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray, g: Weights | None = None):
     """Gradient of the mean loss of one window (rows: texts, columns: steps), truncated at its start; the last state.
 
+    A text that has ended (its ``live`` is over) adds nothing, and its last state means nothing.
     ``g``: zeros that take the gradient.
     """
     if g is None:
         g = w.over(np.zeros(sum(getattr(w, f.name).size for f in fields(w)), dtype=np.float32))
     heads, hidden, size = w.words.shape
     n, width = inputs.shape
-    full = live.all(axis=0).tolist()
-    loops = _halves(w)
-    given = w.table[inputs.T]
-    given += w.bias
-    gates = np.empty((width, n, 2 * hidden), dtype=np.float32)
-    befores, resets, candidates, states = np.empty((4, width, n, hidden), dtype=np.float32)
-    for t in range(width):
-        befores[t] = state
-        new = _gated(given[t], state, loops, gates[t], resets[t], candidates[t], states[t])
-        state = new if full[t] else np.where(live[:, t, None], new, state)
-    all_states = states.reshape(-1, hidden)
+    parts, output = _parts(w), _Heads(w)
+    read = np.ascontiguousarray(inputs.T)
+    given = _given(w.table, read)
+    gates, candidates = (np.empty((width, k * hidden, n), dtype=np.float32) for k in (2, 1))
+    resets, states = (np.ones((k, hidden + 1, n), dtype=np.float32) for k in (width, width + 1))
+    states[0, :-1] = state.T
+    with np.errstate(over="ignore"):
+        for t in range(width):
+            _gated(given[t], states[t], parts, gates[t], resets[t], candidates[t], states[t + 1, :-1])
+    seen = states[1:].transpose(0, 2, 1).reshape(-1, hidden + 1)
     goals, alive = targets.T.ravel(), live.T.ravel()
-    share = (alive.astype(np.float32) / max(int(alive.sum()), 1))[:, None]
+    share = alive.astype(np.float32) / max(int(alive.sum()), 1)
     classes = _classes(w, goals)
-
-    wrong = all_states @ w.classes
-    wrong += w.class_bias
-    small = _small(w, all_states)
-    _softmax(wrong, small)
-    wrong[np.arange(len(goals)), classes] -= 1
-    wrong *= share
-    np.matmul(all_states.T, wrong, out=g.classes)
-    wrong.sum(axis=0, out=g.class_bias)
-    into = wrong @ w.classes.T
-    order, runs, own, inner = _word_scores(w, all_states, classes)
-    _softmax(inner, small)
-    inner[np.arange(len(order)), goals[order] % size] -= 1
-    inner *= share[order]
-    of_words = np.empty_like(own)
+    small = output.small(state)  # later states are between these and one
+
+    wrong = output.classes @ seen.T
+    wrong *= share / _powers(wrong, 0, small)
+    wrong[classes, np.arange(len(goals))] -= share
+    of_classes = wrong @ seen
+    g.classes[:], g.class_bias[:] = of_classes[:, :-1].T, of_classes[:, -1]
+    into = wrong.T @ output.classes[:, :-1]
+    order, runs, own, inner = output.words_of(seen, classes)
+    share = share[order]
+    inner *= (share / _powers(inner, 1, small))[:, None]
+    inner[np.arange(len(order)), goals[order] % size] -= share
+    of_words = np.empty((len(order), hidden), dtype=np.float32)
+    both = np.zeros_like(output.words)
+    turned = w.words.transpose(0, 2, 1)
     for k, a, b in runs:
-        np.matmul(own[a:b].T, inner[a:b], out=g.words[k])
-        np.matmul(inner[a:b], w.words[k].T, out=of_words[a:b])
-    if runs:
-        g.word_bias[[k for k, _, _ in runs]] = np.add.reduceat(inner, [a for _, a, _ in runs], axis=0)
+        some = inner[a:b]
+        np.dot(own[a:b].T, some, out=both[k])
+        np.dot(some, turned[k], out=of_words[a:b])
+    g.words[:], g.word_bias[:] = both[:, :-1], both[:, -1]
     into[order] += of_words
-    into = into.reshape(width, n, hidden)
-
-    z, r = gates[..., :hidden], gates[..., hidden:]
-    by_candidate = (1 - z) * (1 - candidates * candidates)
-    by_keep = (befores - candidates) * z * (1 - z)
-    by_reset = befores * r * (1 - r)
-    back = np.zeros((n, hidden), dtype=np.float32)
+    into = np.ascontiguousarray(into.reshape(width, n, hidden).transpose(0, 2, 1))
+
+    befores, z, r = states[:-1, :-1], gates[:, :hidden], gates[:, hidden:]
+    slope = gates * (1 - gates)
+    by_keep = (befores - candidates) * slope[:, :hidden]
+    by_reset = befores * slope[:, hidden:]
+    by_candidate = (1 - candidates * candidates) * (1 - z)
+    loops = np.ascontiguousarray(w.loop[:, : 2 * hidden]), np.ascontiguousarray(w.loop[:, 2 * hidden :])
+    back = np.zeros((hidden, n), dtype=np.float32)
     for t in range(width - 1, -1, -1):
         d, own = into[t], given[t]  # what was given is read no more: its place takes the gradient
-        d += back if full[t] else np.where(live[:, t, None], back, 0)
-        dc = np.multiply(d, by_candidate[t], out=own[:, 2 * hidden :])
-        dreset = dc @ loops[1].T
-        np.multiply(d, by_keep[t], out=own[:, :hidden])
-        np.multiply(dreset, by_reset[t], out=own[:, hidden : 2 * hidden])
-        d = d * z[t]
+        d += back
+        dc = np.multiply(d, by_candidate[t], out=own[2 * hidden :])
+        dreset = np.dot(loops[1], dc)
+        np.multiply(d, by_keep[t], out=own[:hidden])
+        np.multiply(dreset, by_reset[t], out=own[hidden : 2 * hidden])
+        back = np.dot(loops[0], own[: 2 * hidden])
         dreset *= r[t]
-        d += dreset
-        d += own[:, : 2 * hidden] @ loops[0].T
-        back = d if full[t] else np.where(live[:, t, None], d, back)
-    flat = given.reshape(-1, 3 * hidden)
-    g.loop[:, : 2 * hidden] = befores.reshape(-1, hidden).T @ flat[:, : 2 * hidden]
-    g.loop[:, 2 * hidden :] = resets.reshape(-1, hidden).T @ flat[:, 2 * hidden :]
-    flat.sum(axis=0, out=g.bias)
-    read = inputs.T.ravel()
-    order = np.argsort(read, kind="stable")
-    read = read[order]
-    first = np.flatnonzero(np.append(True, np.diff(read) != 0))
-    g.table[read[first]] = np.add.reduceat(flat[order], first, axis=0)
-    return g, state
+        back += dreset
+        d *= z[t]
+        back += d
+    for low, high, seen in ((0, 2 * hidden, states[:-1]), (2 * hidden, 3 * hidden, resets)):
+        both = np.matmul(given[:, low:high], seen.transpose(0, 2, 1)).sum(axis=0)
+        g.loop[:, low:high], g.bias[low:high] = both[:, :-1].T, both[:, -1]
+    places = read[:, None] * (3 * hidden) + np.arange(3 * hidden)[:, None]
+    g.table.reshape(-1)[:] = np.bincount(places.ravel(), given.ravel(), minlength=g.table.size)
+    return g, states[-1, :-1].T
 
 
 class Trainer:
@@ -317,14 +348,14 @@ class Trainer:
         self.steps += 1
         self.seen += int(live.sum())
         self.mean *= 0.9
-        self.mean += 0.1 * flat
+        self.mean += flat
         flat *= flat
-        flat *= 0.01
         self.square *= 0.99
         self.square += flat
-        step = np.sqrt(self.square)
-        step *= (1 - 0.99**self.steps) ** -0.5
-        step += 1e-6
+        # the averages are these sums times 0.1 and 0.01, each over what its weights add up to
+        rate = 0.1 * self.rate / (1 - 0.9**self.steps)
+        step = np.sqrt(self.square, out=flat)
+        step *= (0.01 / (1 - 0.99**self.steps)) ** 0.5 / rate
+        step += 1e-6 / rate
         np.divide(self.mean, step, out=step)
-        step *= self.rate / (1 - 0.9**self.steps)
         self.flat -= step

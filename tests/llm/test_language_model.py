@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import SCHEMA, documents, with_clashes
 
@@ -170,3 +171,41 @@ def test_trainer_follows_the_plain_rule():
         mean, square = 0.9 * mean + 0.1 * found, 0.99 * square + 0.01 * found**2
         w = w.like(w.flat() - 0.05 * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.99**steps)) + 1e-6))
     assert np.allclose(flat, w.flat(), atol=1e-3)
+
+
+def test_different_words_of_a_batch_are_looked_up_once(monkeypatch):
+    """Counts and training number the words of a batch; tokens are those of the texts one by one."""
+    texts = ["B a  b A\x0b", "", " \t", "Ä a\x1cb É\u00a0x", " lead B b"]
+    column = pa.array(["not read", *texts])[1:]
+    words, number, ends = language_model._numbered(column)
+    listed = language_model._listed(words)
+    got = [[listed[k] for k in part] for part in np.split(number, ends[:-1])]
+    want = [language_model._tokens(t.encode()) for t in texts]
+    assert got == want and len(set(listed)) == len(listed)
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    counted = [x for b in language_model._count([batch]) for x in zip(b["word"].to_pylist(), b["n"].to_pylist())]
+    assert dict(counted) == Counter(w for t in want for w in t) and len(counted) == len(dict(counted))
+
+    class Sent:
+        value = language_model.Vocabulary([(b"b", 5), (language_model.END, 4), (b"a", 2)], 1, 2, 2, {})
+
+    asked, plain = [], language_model._Ranks.symbols
+    monkeypatch.setattr(language_model._Ranks, "symbols", lambda self, tokens: asked.append(list(tokens)) or plain(self, tokens))
+
+    class Start:
+        value = recurrent.start(Sent.value.class_counts, Sent.value.word_counts, 4)
+
+    trained = list(language_model._train([batch], Sent, Start, {"rows": 2, "window": 4}))
+    assert [x.to_pylist()[0]["seen"] for x in trained] == [sum(map(len, want))]
+    assert len(asked) == 1 and sorted(asked[0]) == sorted(set(listed))
+
+
+def test_fewer_remembered_words_than_classes(spark):
+    """Only held-out documents, hence no counts, and then a training document of two words."""
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    taught = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2)
+    for rows in ([(k, "some unknown words") for k in held], [*((k, "some unknown words") for k in held), (taught, "some words")]):
+        docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA)
+        got = sorted(tuple(r) for r in language_model.score_documents(docs, remembered=1024, rounds=1).collect())
+        for g, w in zip(got, sorted(by_hand(rows))):
+            assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], abs=1e-6) and np.isfinite(g[6])
